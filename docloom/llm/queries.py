@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import chat, credentials, decontaminate, fertility, harmonic, pseudonyms, simhash, token_scan
+from docloom.llm import chat, credentials, decontaminate, fertility, harmonic, phrase_dedup, pseudonyms, simhash, suffix_dedup, token_scan
 from docloom.llm.common import documents, materialise
 
 #: Stands for a secret from a key store; tests and queries use this one.
@@ -52,6 +52,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.quality(documents(spark, sf_dir))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_strings(documents(spark, sf_dir))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credentials.scan_secrets(documents(spark, sf_dir))
 
@@ -64,8 +68,12 @@ def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), DEMO_KEY)
 
 
+def op10_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_dedup.repeated_phrases(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_decontaminate, op2_simhash, op3_token_counts, op4_chat_format, op5_quality_rules, op7_secret_scan, op8_packing, op9_pseudonyms]
+    own = [op1_decontaminate, op2_simhash, op3_token_counts, op4_chat_format, op5_quality_rules, op6_suffix_dedup, op7_secret_scan, op8_packing, op9_pseudonyms, op10_phrase_dedup]
     return {f.__name__: f for f in own}
 
 
