@@ -45,13 +45,13 @@ _PLACE = U64((1 << _PLACE_BITS) - 1)
 
 @dataclass(frozen=True)
 class Exchange:
-    """length, gram: of windows and anchors, in units. A hot anchor is one that stands in the corpus more than hot_count times. Batches and shards hold about so many bytes of text, and there are at least spread times the shuffle partitions of them."""
+    """length, gram: of windows and anchors, in units. A hot anchor is one that stands in the corpus more than hot_count times. Batches and shards are about as many as the text has batch_bytes, and at least spread times and once the shuffle partitions; each batch sends a row to each shard."""
 
     length: int
     gram: int
     hot_count: int = 512
     batch_bytes: int = 4 << 20
-    spread: int = 4
+    spread: int = 2
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -220,8 +220,8 @@ def recurring(docs: DataFrame, read: Reader, compare: Comparer, finish: Callable
     spark, x = docs.sparkSession, exchange
     base = docs.select(F.col(id_column).cast("long").alias("id"), text_of(text_column).alias("text"))
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_batches = max(x.spread * shuffle_width(spark), -(-total // x.batch_bytes))
-    n_shards = n_batches
+    enough = -(-total // x.batch_bytes)
+    n_batches, n_shards = max(x.spread * shuffle_width(spark), enough), max(shuffle_width(spark), enough)
     # documents without an id come after all others, in batches by their text
     dealt = base.withColumn("batch", F.pmod(F.when(F.col("id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("id")), F.lit(n_batches)).cast("long")).withColumn("id", F.coalesce("id", F.lit(NO_ID)))
     grouped = dealt.groupBy("batch")
