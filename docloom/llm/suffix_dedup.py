@@ -6,8 +6,9 @@ by Larsson-Sadakane refinement (groups of suffixes that are equal so far are
 sorted again by the rank of what follows, which doubles the depth), takes
 Kasai's common prefixes of neighbours, and so finds the groups of suffixes with
 a common prefix of the full length. A shard with more text than one array
-should hold makes several, and merges them by binary search of each group's
-prefix in the other arrays.
+should hold makes several, each of stretches next to each other by anchor, and
+merges two that share an anchor by binary search of the prefixes of the one in
+the other.
 
 Defined cases: a null text counts as empty; documents shorter than the length
 lose nothing; rows that share an id are compared as one document whose copies
@@ -34,7 +35,7 @@ class SuffixDedup:
     """length: of the strings, in bytes; array_bytes: of text in one suffix array."""
 
     length: int = 100
-    array_bytes: int = 2 << 20
+    array_bytes: int = 1 << 19
     exchange: Exchange = field(default_factory=lambda: Exchange(length=100, gram=16))
 
 
@@ -128,11 +129,18 @@ def common_prefixes(raw: np.ndarray, order: np.ndarray, depth: int, chain: int =
 
 def compare_suffixes(depth: int, array_bytes: int, variants: Variants) -> list[np.ndarray]:
     """For each variant, which of its windows stand earlier in another one."""
-    n = len(variants.texts)
     _, rank = np.unique(variants.doc, return_inverse=True)
     lengths = np.array([len(t) for t in variants.texts], dtype=np.int64)
-    part = (np.cumsum(lengths) - lengths) // array_bytes
-    found, prefixes, least = [], [], []
+    by_anchor = np.argsort(variants.anchor, kind="stable")
+    part = np.empty(len(lengths), dtype=np.int64)
+    part[by_anchor] = (np.cumsum(lengths[by_anchor]) - lengths[by_anchor]) // array_bytes
+    # anchors with stretches in more than one array
+    _, name = np.unique(variants.anchor, return_inverse=True)
+    low, high = np.full(name.max() + 1, part.max()), np.zeros(name.max() + 1, dtype=np.int64)
+    np.minimum.at(low, name, part)
+    np.maximum.at(high, name, part)
+    shared = (low < high)[name]
+    found, merged = [], []
     for k in np.unique(part):
         own = np.flatnonzero(part == k)
         raw = np.frombuffer(b"".join(variants.texts[i] for i in own.tolist()) + b"\0" * 16, dtype=np.uint8)
@@ -143,34 +151,30 @@ def compare_suffixes(depth: int, array_bytes: int, variants: Variants) -> list[n
         window = order - (ends - lengths[own])[of]
         fits = window < variants.n_windows[own][of]
         group = np.cumsum(common < depth) - 1
-        where = (rank[own][of] << 40) + variants.start[own][of] + window
-        first = np.full(group[-1] + 1, np.iinfo(np.int64).max)
-        np.minimum.at(first, group[fits], where[fits])
-        used = np.zeros(len(first), dtype=bool)
-        used[group[fits]] = True
-        # the prefix of each group that has a window, in order
-        leader = np.zeros(len(first), dtype=np.int64)
-        leader[group[fits]] = order[fits]
-        places = leader[used]
-        prefix = np.lib.stride_tricks.sliding_window_view(raw, depth)[places].tobytes()
-        renamed = np.cumsum(used) - 1
-        found.append((own[of[fits]], window[fits], renamed[group[fits]], where[fits]))
-        prefixes.append(np.frombuffer(prefix, dtype=f"S{depth}"))
-        least.append(first[used])
-    for a in range(len(prefixes)):  # each group's prefix is sought in the other arrays
-        for b in range(a + 1, len(prefixes)):
-            at = np.minimum(np.searchsorted(prefixes[a], prefixes[b]), len(prefixes[a]) - 1)
-            both = np.flatnonzero(prefixes[a][at] == prefixes[b])
-            low = np.minimum(least[a][at[both]], least[b][both])
-            least[a][at[both]] = least[b][both] = low
-    out = [np.zeros(k, dtype=bool) for k in variants.n_windows.tolist()]
+        order, of, window, group = order[fits], own[of[fits]], window[fits], group[fits]
+        where = (rank[of] << 40) + variants.start[of] + window
+        least = np.full(int(group[-1]) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(least, group, where)
+        found.append((of, window, group, where, least))
+        # the prefixes of the groups that another array may have too, in order
+        groups, at = np.unique(group[shared[of]], return_index=True)
+        places = order[shared[of]][at]
+        merged.append((groups, np.frombuffer(np.lib.stride_tricks.sliding_window_view(raw, depth)[places].tobytes(), dtype=f"S{depth}")))
+    for a in range(len(found)):
+        for b in range(a + 1, len(found)):
+            (groups_a, prefixes_a), (groups_b, prefixes_b) = merged[a], merged[b]
+            if not len(groups_a) or not len(groups_b):
+                continue
+            at = np.minimum(np.searchsorted(prefixes_a, prefixes_b), len(prefixes_a) - 1)
+            both = np.flatnonzero(prefixes_a[at] == prefixes_b)
+            in_a, in_b = groups_a[at[both]], groups_b[both]
+            least_a, least_b = found[a][4], found[b][4]
+            least_a[in_a] = least_b[in_b] = np.minimum(least_a[in_a], least_b[in_b])
     begins = np.cumsum(variants.n_windows) - variants.n_windows
     flat = np.zeros(int(variants.n_windows.sum()), dtype=bool)
-    for (variant, window, group, where), first in zip(found, least, strict=True):
-        flat[begins[variant] + window] = first[group] < where
-    for i in range(n):
-        out[i] = flat[begins[i] : begins[i] + variants.n_windows[i]]
-    return out
+    for variant, window, group, where, least in found:
+        flat[begins[variant] + window] = least[group] < where
+    return [flat[a : a + n] for a, n in zip(begins.tolist(), variants.n_windows.tolist(), strict=True)]
 
 
 def _finish(batch: Batch, marks: np.ndarray) -> pa.RecordBatch:
