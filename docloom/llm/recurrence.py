@@ -45,11 +45,11 @@ _PLACE = U64((1 << _PLACE_BITS) - 1)
 
 @dataclass(frozen=True)
 class Exchange:
-    """length, gram: of windows and anchors, in units. A hot anchor is one that stands in the corpus more than hot_count times. Batches and shards are about as many as the text has batch_bytes, and at least spread times and once the shuffle partitions; each batch sends a row to each shard."""
+    """length, gram: of windows and anchors, in units. A hot anchor is one with more than hot_count stretches, of which equal ones in a batch count once. Batches and shards are about as many as the text has batch_bytes, and at least spread times and once the shuffle partitions; each batch sends a row to each shard."""
 
     length: int
     gram: int
-    hot_count: int = 512
+    hot_count: int = 2000
     batch_bytes: int = 4 << 20
     spread: int = 2
 
@@ -231,11 +231,11 @@ def recurring(docs: DataFrame, read: Reader, compare: Comparer, finish: Callable
         return firsts, counts, anchors, np.searchsorted(batch.bounds, firsts, side="right") - 1
 
     def ask(table: pa.Table) -> pa.Table:
-        """1: the distinct anchors, how often each stands here, and in one document or more."""
+        """1: the distinct anchors, how many distinct stretches each has here, and whether in one document or more."""
         number = table.column("batch")[0].as_py()
         batch = _batches(table, read)
-        _, _, anchors, doc = found(batch)
-        keys, at, counts = np.unique(anchors, return_index=True, return_counts=True)
+        firsts, windows, anchors, doc = found(batch)
+        keys, at, inverse, counts = np.unique(anchors, return_index=True, return_inverse=True, return_counts=True)
         several = np.zeros(len(keys), dtype=np.uint8)
         if across_documents and len(keys):
             order = np.argsort(anchors, kind="stable")  # documents stay in order
@@ -243,6 +243,13 @@ def recurring(docs: DataFrame, read: Reader, compare: Comparer, finish: Callable
             several = (doc[order[ends]] != doc[at]).astype(np.uint8)
         else:
             several = (counts > 1).astype(np.uint8)
+        many = np.flatnonzero(counts[inverse] > 1)
+        if len(many):
+            names = _names(batch, firsts[many], windows[many], x.length)
+            order = np.lexsort((names, inverse[many]))
+            of, names = inverse[many][order], names[order]
+            again = (of[1:] == of[:-1]) & (names[1:] == names[:-1])
+            counts = counts - np.bincount(of[1:][again], minlength=len(keys))
         rows = [(shard, number, *_pack(keys[p], np.minimum(counts[p], 65535).astype(np.uint16), several[p])) for shard, p in _split(_shards(keys, n_shards))]
         columns = list(zip(*rows, strict=True)) if rows else [[] for _ in range(5)]
         return pa.table(dict(zip(("shard", "batch", "keys", "counts", "several"), (pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)), strict=True)))
@@ -300,7 +307,7 @@ def recurring(docs: DataFrame, read: Reader, compare: Comparer, finish: Callable
                 p = cold[p]
                 texts = [batch.text(f, n + x.length - 1) for f, n in zip(firsts[p].tolist(), counts[p].tolist(), strict=True)]
                 lengths = np.array([len(t) for t in texts], dtype=np.int32)
-                rows.append((shard, number, False, *_pack(names[p], lengths, batch.ids[doc[p]], firsts[p] - batch.bounds[doc[p]], counts[p].astype(np.int32), anchors[p]), b"".join(texts)))
+                rows.append((shard, number, False, *_pack(names[p], lengths, batch.ids[doc[p]], firsts[p] - batch.bounds[doc[p]], counts[p].astype(np.int32), anchors[p]), pa.compress(b"".join(texts), codec="zstd", asbytes=True)))
             high, low = _window_names(batch, firsts[warm], counts[warm], x.length)
             of = np.repeat(warm, counts[warm])
             start = firsts[of] - batch.bounds[doc[of]] + _ramp(counts[warm])
@@ -334,8 +341,9 @@ def recurring(docs: DataFrame, read: Reader, compare: Comparer, finish: Callable
             masks: list[bytes] | None = None
             if not hot:
                 lengths, windows = read_("lows", np.int32), read_("windows", np.int32)
-                blob = b"".join(part.column("texts").to_pylist())
                 ends = np.cumsum(lengths.astype(np.int64))
+                filled = np.concatenate(([0], ends[np.cumsum(sizes) - 1]))
+                blob = b"".join(pa.decompress(b, int(n), codec="zstd", asbytes=True) for b, n in zip(part.column("texts").to_pylist(), np.diff(filled), strict=True))
                 texts = [blob[ends[i] - lengths[i] : ends[i]] for i in first.tolist()]
                 masks = [np.packbits(m).tobytes() if m.any() else b"" for m in _compared(Variants(texts, windows[first], docs_[first], starts[first], read_("anchors", U64)[first]), compare)]
             numbers = part.column("batch").to_pylist()

@@ -49,17 +49,20 @@ def _words_at(raw: np.ndarray, n: int, order: str) -> np.ndarray:
 
 
 def read_bytes(gram: int, ids: np.ndarray, texts: list[bytes]) -> Batch:
-    """Units are bytes; a run's hash is that of its first and last 8 bytes, which for 16 is all of it."""
-    if gram != 16:
-        raise ValueError("runs of bytes are hashed 16 at a time")
+    """Units are bytes; a run's hash covers all its bytes, eight at a time."""
+    if gram % 8:
+        raise ValueError("runs of bytes are hashed eight at a time")
     joined = b"".join(texts)
     n = len(joined)
-    padded = np.frombuffer(joined + b"\0" * 32, dtype=np.uint8)
-    words = _words_at(padded, n + 8, "<")
+    padded = np.frombuffer(joined + b"\0" * (gram + 16), dtype=np.uint8)
+    words = _words_at(padded, n + gram, "<")
     grams = np.empty(n, dtype=U64)
-    for at in range(0, n, 1 << 16):
-        stop = min(at + (1 << 16), n)
-        grams[at:stop] = mix(mix(words[at + 8 : stop + 8]) ^ words[at:stop])
+    for at in range(0, n, 1 << 15):
+        stop = min(at + (1 << 15), n)
+        hashed = mix(words[at + gram - 8 : stop + gram - 8])
+        for k in range(gram - 16, -8, -8):
+            hashed = mix(hashed ^ words[at + k : stop + k])
+        grams[at:stop] = hashed
     bounds = np.concatenate(([0], np.cumsum([len(t) for t in texts], dtype=np.int64)))
     return Batch(ids, bounds, grams, lambda first, size: joined[first : first + size], texts)
 
