@@ -88,10 +88,9 @@ def overlaps(docs: DataFrame, items: DataFrame, seeds: Seeds | None = None, id_c
     filter_ = bloom(table.select("hash"), seeds).scalar()
     words = docs.select(F.col(id_column).alias("key"), words_of(F.col(text_column)).alias("words")).where(F.size("words") >= seeds.span)
     rows = words.select("key", "words", F.posexplode("words").alias("at", "word")).where(F.col("at") <= F.size("words") - seeds.span)
-    hashes = _seed_hashes(F.col("words"), F.col("at"), seeds)
-    found = F.array(*(F.when(_passes(h, filter_, seeds), h) for h in hashes))
-    near = rows.select("key", "words", "at", found.alias("found")).where(reduce(lambda a, b: a | b, [F.get("found", F.lit(i)).isNotNull() for i in range(len(seeds.masks))]))
-    near = near.select("key", _around(F.col("words"), F.col("at"), seeds).alias("near"), F.explode("found").alias("hash")).where(F.col("hash").isNotNull())
+    # generating the hashes, one row each, has them computed once, before the filter looks at them
+    hashes = F.explode(F.array(*_seed_hashes(F.col("words"), F.col("at"), seeds))).alias("hash")
+    near = rows.select("key", "words", "at", hashes).where(_passes(F.col("hash"), filter_, seeds)).select("key", _around(F.col("words"), F.col("at"), seeds).alias("near"), "hash")
     reach = seeds.window - seeds.span
     equal = F.zip_with("near", "item_near", lambda a, b: F.when(a == b, 1).otherwise(0))
     # each window around the seed that lies in the item, or all of a short item
