@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 #: Formats in order of precedence where they start at the same place.
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
-PHONE = r"\+1 ?\(?[1-9][0-9]{2}\)?[ .-]?[1-9][0-9]{2}[ .-]?[0-9]{4}(?![0-9])"
+PHONE = r"\+1 ?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])"
 DATE = r"(?<![0-9])(?:1[89]|20|21)[0-9]{2}-[01][0-9]-[0-3][0-9](?![0-9])"
 SSN = r"(?<![0-9-])[0-8][0-9]{2}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 CARD = r"(?<![0-9])[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])"
@@ -84,11 +84,9 @@ def _number(x: Column) -> Column:
 
 def _phone(x: Column, key: str, back: bool) -> Column:
     d = F.substring(_digits(x), 2, 10)
-    # area 100-999, exchange 100-999, line 0000-9999
-    value = ((_number(F.substring(d, 1, 3)) - 100) * 900 + _number(F.substring(d, 4, 3)) - 100) * 10000 + _number(F.substring(d, 7, 4))
-    new = _feistel(value, 900, 9_000_000, key, "phone", back)
-    head, line = F.floor(new / 10000).cast("bigint"), F.pmod(new, F.lit(10000))
-    return _spread(x, F.concat(F.lit("1"), (F.floor(head / 900) + 100).cast("string"), (F.pmod(head, F.lit(900)) + 100).cast("string"), F.lpad(line.cast("string"), 4, "0")))
+    # any ten digits: numbering plans change, and people write numbers that no plan has
+    new = _feistel(_number(d), 10**5, 10**5, key, "phone", back)
+    return _spread(x, F.concat(F.lit("1"), F.lpad(new.cast("string"), 10, "0")))
 
 
 def _date(x: Column, key: str, back: bool) -> Column:

@@ -77,5 +77,29 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in own}
 
 
+_MARKS = [chat.Template.turn_open, chat.Template.turn_text, chat.Template.turn_close, *chat.Template.controls]
+_CONTROLS = "|".join("".join(f"\\{c}" if not c.isalnum() else c for c in m) for m in _MARKS)
+_ESCAPED = "length({0}) + length({0}) - length(replace({0}, chr(92), '')) + len(regexp_extract_all({0}, '" + _CONTROLS + "'))"
+
+ORACLES = {
+    "op4_chat_format": f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+l AS (SELECT conv_id, coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, role, text) FILTER (role = 'assistant'), '') AS learnt, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, text) AS spelt, string_agg(role, ',' ORDER BY turn NULLS LAST, role, text) AS roles, count(*) AS n_turns, sum({sum(map(len, _MARKS[:3]))} + {_ESCAPED.format("role")} + {_ESCAPED.format("text")}) AS chars FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(spelt) AS turns_sha256, length(learnt) AS loss_chars, sha256(learnt) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars, regexp_full_match(roles, '(system,)?user,assistant(,user,assistant)*') AS order_valid FROM l""",
+    "op6_suffix_dedup": """WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents), n AS (SELECT doc_id, x, length(x) // 2 AS n_bytes FROM h),
+win AS (SELECT doc_id, i, substring(x, 2 * i + 1, 200) AS k FROM (SELECT doc_id, x, unnest(range(greatest(n_bytes - 99, 0))) AS i FROM n)),
+hit AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS r FROM win) WHERE r > 1),
+run AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 100 THEN 0 ELSE 1 END AS fresh FROM hit)),
+span AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM run GROUP BY doc_id, g), gap AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS c FROM span),
+kept AS (SELECT g.doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(substring(x, 2 * c + 1, 2 * (a - c)), '' ORDER BY a) || substring(any_value(x), 2 * max(b) + 1) AS y FROM gap g JOIN n USING (doc_id) GROUP BY g.doc_id)
+SELECT n.doc_id, n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(y, x))) AS kept_sha256 FROM n LEFT JOIN kept USING (doc_id)""",
+    "op10_phrase_dedup": r"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents), pos AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w),
+win AS (SELECT doc_id, p, array_to_string(ws[p:p + 12], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS p FROM w)), first AS (SELECT k, min(doc_id) AS m FROM win GROUP BY k),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 13)) AS p FROM win JOIN first USING (k) WHERE m < doc_id),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS y FROM pos ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT w.doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(y, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Fingerprints, tokenisers, Feistel networks and spaced seeds have no SQL form here; those queries are tested against brute force."""
+    return dict(ORACLES)

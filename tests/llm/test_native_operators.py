@@ -50,8 +50,8 @@ def test_op4_returns_the_contract(spark):
         assert (got[c].n_turns, got[c].loss_chars, got[c].loss_sha256) == (len(turns), len(learnt), hashlib.sha256(learnt.encode()).hexdigest())
 
 
-VALUES = ["4845168114407329", "+1 (499) 555-6503", "+1 499-555-6503", "2020-02-29", "1999-12-31", "123-45-6789", "899-01-0001", "152.143.123.131", "0.0.0.0", "255.255.255.255", "4845 1681 1440 7329"]
-INVALID = ["2020-02-31", "666-45-6789", "000-45-6789", "152.343.123.131", "4845168114407328", "+1 (099) 555-6503"]
+VALUES = ["4845168114407329", "+1 (499) 555-6503", "+1 499-555-6503", "+1 (099) 555-6503", "2020-02-29", "1999-12-31", "123-45-6789", "899-01-0001", "152.143.123.131", "0.0.0.0", "255.255.255.255", "4845 1681 1440 7329"]
+INVALID = ["2020-02-31", "666-45-6789", "000-45-6789", "152.343.123.131", "4845168114407328"]
 
 
 def luhn(digits):
@@ -90,21 +90,21 @@ def test_pseudonymise_texts(spark):
 
 def brute_overlaps(docs, items, seeds):
     words = lambda t: [w for w in re.split(r"[^\w]|_", (t or "").lower()) if w]
-    found = set()
+    under = lambda w, at, mask: tuple(w[at + j] for j, one in enumerate(mask) if one == "1")
+    said, table = {i: words(b) for i, b in items}, {}
+    for i, v in said.items():
+        for start in range(len(v) - seeds.span + 1):
+            for m in seeds.masks:
+                table.setdefault((m, under(v, start, m)), []).append((i, start))
+    found, reach = set(), seeds.window - seeds.span
     for d, t in docs:
         w = words(t)
-        for i, b in items:
-            v = words(b)
-            if len(v) < seeds.span:
-                continue
-            for at in range(len(w) - seeds.span + 1):
-                for start in range(len(v) - seeds.span + 1):
-                    if not any(all(w[at + j] == v[start + j] for j, one in enumerate(m) if one == "1") for m in seeds.masks):
-                        continue
-                    reach = seeds.window - seeds.span
-                    same = [int(0 <= at + j < len(w) and 0 <= start + j < len(v) and w[at + j] == v[start + j]) for j in range(-reach, seeds.span + reach)]
-                    if max(sum(same[k : k + seeds.window]) for k in range(reach + 1)) >= -(-min(seeds.window, len(v)) * seeds.share // 1):
-                        found.add((d, i))
+        for at in range(len(w) - seeds.span + 1):
+            for i, start in {x for m in seeds.masks for x in table.get((m, under(w, at, m)), ())}:
+                v = said[i]
+                same = [int(0 <= at + j < len(w) and 0 <= start + j < len(v) and w[at + j] == v[start + j]) for j in range(-reach, seeds.span + reach)]
+                if max(sum(same[k : k + seeds.window]) for k in range(reach + 1)) >= -(-min(seeds.window, len(v)) * seeds.share // 1):
+                    found.add((d, i))
     return found
 
 
