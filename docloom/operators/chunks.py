@@ -43,11 +43,13 @@ def window_ranges(total: Column, window: int, step: int) -> Column:
 
 def chunk(docs: DataFrame, window: int = 510, overlap: int = 128) -> DataFrame:
     """A row per window with its provenance. Documents without tokens have none."""
-    counted = docs.withColumn("toks", tokens(F.col("text")))
-    ranges = counted.withColumn("ranges", window_ranges(F.size("toks"), window, window - overlap))
-    rows = ranges.select(*docs.columns, "toks", F.size("ranges").alias("total_chunks"), F.inline("ranges"))
-    text = F.array_join(F.slice("toks", F.col("token_start") + 1, F.col("token_end") - F.col("token_start")), " ")
-    out = rows.withColumn("chunk_text", text)
+    # generated as a row, the tokens are computed once for all that follows
+    counted = docs.select(*docs.columns, F.explode(F.array(tokens(F.col("text")))).alias("toks"))
+    ranges = window_ranges(F.size("toks"), window, window - overlap)
+    text = lambda r: F.array_join(F.slice("toks", r["token_start"] + 1, r["token_end"] - r["token_start"]), " ")
+    made = F.transform(ranges, lambda r: F.struct(r["chunk_index"].alias("chunk_index"), r["token_start"].alias("token_start"), r["token_end"].alias("token_end"), text(r).alias("chunk_text")))
+    rows = counted.select(*docs.columns, F.explode(F.array(made)).alias("made"))
+    out = rows.select(*docs.columns, F.size("made").alias("total_chunks"), F.inline("made"))
     return out.withColumns(
         {
             "content_token_count": F.col("token_end") - F.col("token_start"),
@@ -109,11 +111,20 @@ def resolve(selected: DataFrame, chunks: DataFrame, text: str) -> DataFrame:
 
 
 def registry(docs: DataFrame, chunks: DataFrame) -> DataFrame:
-    """The ten conditions of each document: its whole text or selected chunks, plain or masked."""
+    """The ten conditions of each document: its whole text or selected chunks, plain or masked.
+
+    Whether a selection takes a chunk follows from the chunk's index and its document's total, so selections need no join; only chosen chunks are masked."""
     whole = masked(docs.select("document_id", "text"), "text")
-    complete = whole.select("document_id", F.inline(F.array(F.struct(F.lit("complete_unmasked").alias("condition"), F.coalesce("text", F.lit("")).alias("text"), F.lit("").alias("source_chunk_ids")), F.struct(F.lit("complete_masked").alias("condition"), F.col("masked_text").alias("text"), F.lit("").alias("source_chunk_ids")))))
-    hidden = masked(chunks.select("document_id", "chunk_index", "chunk_id", "chunk_text"), "chunk_text")
-    taken = selections(chunks.groupBy("document_id").agg(F.max("total_chunks").alias("total_chunks")))
-    parts = [resolve(taken, hidden, c).withColumn("condition", F.concat("condition", F.lit(f"_{kind}"))) for kind, c in (("unmasked", "chunk_text"), ("masked", "masked_text"))]
-    out = complete.unionByName(parts[0]).unionByName(parts[1])
+    kinds = lambda name, plain, hidden, ids: F.inline(F.array(*(F.struct(F.lit(f"{name}_{k}").alias("condition"), t.alias("text"), ids.alias("source_chunk_ids")) for k, t in (("unmasked", plain), ("masked", hidden)))))
+    complete = whole.select("document_id", kinds("complete", F.coalesce("text", F.lit("")), F.col("masked_text"), F.lit("")))
+    i, n = F.col("chunk_index"), F.col("total_chunks")
+    regions = {"beginning_only": i == 0, "middle_only": i == F.floor(n / 2), "end_only": i == n - 1}
+    regions["beginning_middle_end"] = regions["beginning_only"] | regions["middle_only"] | regions["end_only"]
+    chosen = chunks.select("document_id", "chunk_index", "total_chunks", "chunk_id", "chunk_text").where(regions["beginning_middle_end"])
+    hidden = masked(chosen, "chunk_text").select("document_id", "chunk_index", "chunk_id", "chunk_text", "masked_text", F.explode(F.array_compact(F.array(*(F.when(x, F.lit(r)) for r, x in regions.items())))).alias("region"))
+    pieces = hidden.groupBy("document_id", "region").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_id", "chunk_text", "masked_text"))).alias("p"))
+    joined = lambda c, mark: F.array_join(F.transform("p", lambda x: x[c]), mark)
+    texts = pieces.select("document_id", "region", joined("chunk_text", "\n\n").alias("plain"), joined("masked_text", "\n\n").alias("hidden"), joined("chunk_id", ",").alias("ids"))
+    two = F.inline(F.array(*(F.struct(F.concat("region", F.lit(f"_{k}")).alias("condition"), F.col(t).alias("text"), F.col("ids").alias("source_chunk_ids")) for k, t in (("unmasked", "plain"), ("masked", "hidden")))))
+    out = complete.unionByName(texts.select("document_id", two))
     return out.withColumns({"masked": ~F.col("condition").endswith("_unmasked"), "text_fingerprint": T.sha256(F.col("text")), "policy_version": F.lit(POLICY)})
