@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.sources.shared import checkpoint_dir, materialise
+
+__all__ = ["WORD", "checkpoint_dir", "cut", "documents", "materialise", "shuffle_width", "text_of"]
+
 #: Words are maximal runs of anything but ASCII white space; bytes.split() cuts at the same characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,29 +17,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names; one of its own only where none is set (local runs)."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="docloom-checkpoint-"))
-    return sc.getCheckpointDir()
-
-
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared checkpoint folder, so that lost executors cost no recomputation."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table in the shared checkpoint folder. Unlike cut() it keeps no partitioning, so that later joins are dealt out (and split, where skewed) anew."""
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_of(column: str = "text") -> Column:
     """The text, with null as the empty string."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
