@@ -162,7 +162,7 @@ def b35(s, d):
     return corpus(s, d).groupBy(T.size_bucket(F.ceil(F.col("n_chars") / 1000)).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-@query("b36_json_counts", WITH + "SELECT k, sum(v) AS total FROM (SELECT unnest(['a', 'b']) AS k, unnest([doc_id % 3, doc_id % 5]) AS v FROM corpus) GROUP BY k")
+@query("b36_json_counts", WITH + "SELECT k, CAST(sum(v) AS BIGINT) AS total FROM (SELECT unnest(['a', 'b']) AS k, unnest([doc_id % 3, doc_id % 5]) AS v FROM corpus) GROUP BY k")
 def b36(s, d):
     spelt = corpus(s, d).select(F.to_json(F.create_map(F.lit("a"), F.col("doc_id") % 3, F.lit("b"), F.col("doc_id") % 5)).alias("counts"))
     return spelt.select(F.explode(F.from_json("counts", "map<string,int>")).alias("k", "v")).groupBy("k").agg(F.sum("v").alias("total"))

@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from docloom.sources.shared import materialise
+
 SOURCE = "document_id string, filename string, filepath string, agency string, form_number string, document_type string, url string, file_exists boolean, text string, page_count int, text_length int, extraction_success boolean"
 CASE = "method string, document_id string, effective_family_id string, condition string, true_label string, predicted_label string, confidence double, status string, error_type string, attempt_count int, truncated boolean, latency_ms double, prompt_tokens int, completion_tokens int, total_tokens int, estimated_cost_usd double, input_fingerprint string, retrieval_context_fingerprint string, raw_response_hash string, retrieved_chunks array<struct<chunk_id:string,rank:int,similarity:double,parent_document_id:string,effective_family_id:string,effective_agency:string,text_hash:string,masked:boolean>>, cache_key string"
 
@@ -95,11 +97,14 @@ def normalize_metadata(df: DataFrame, agency: str, folder: str, columns: list[st
 
 def numbered(df: DataFrame, order: list[str]) -> DataFrame:
     """document_id 1..n by a declared order. Ranges are sorted in parallel and offset by their counts, so no task holds all rows."""
-    ranged = df.repartitionByRange(*(F.col(c) for c in order)).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id())
-    kept = ranged.persist()
-    counts = kept.groupBy("part").agg(F.count("*").alias("n"), F.min("at").alias("first"))
-    before = counts.withColumn("before", F.coalesce(F.sum("n").over(W.partitionBy().orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    return kept.join(F.broadcast(before.select("part", "before", "first")), "part").withColumn("document_id", (F.col("before") + F.col("at") - F.col("first") + 1).cast("string")).drop("part", "at", "before", "first")
+    part, at, n, before = (f"numbered {c}" for c in ("part", "at", "n", "before"))
+    ranged = df.repartitionByRange(*(F.col(c) for c in order)).sortWithinPartitions(*order)
+    # kept as computed: a partition that is dealt anew would be numbered anew
+    kept = materialise(ranged.withColumn(part, F.spark_partition_id()).withColumn(at, F.monotonically_increasing_id()), "numbered")
+    counts = kept.groupBy(part).agg(F.count("*").alias(n), F.min(at).alias("numbered first"))
+    so_far = F.coalesce(F.sum(n).over(W.partitionBy().orderBy(part).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.withColumn(before, so_far - F.col("numbered first") + 1).select(part, before)  # a row for each partition
+    return kept.join(offsets, part).withColumn("document_id", (F.col(before) + F.col(at)).cast("string")).drop(part, at, before)
 
 
 def links(html: Column) -> Column:
