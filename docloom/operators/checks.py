@@ -76,6 +76,43 @@ def weight_checks(weighted: DataFrame) -> dict[str, DataFrame]:
     return {"weights_do_not_sum_to_one": weighted.groupBy("document_id").agg(F.round(F.sum("weight"), 9).alias("s")).where("s <> 1")}
 
 
+def overlap_checks(split: DataFrame, key: str) -> dict[str, DataFrame]:
+    """Keys that each pair of splits shares."""
+    own = lambda name: split.where(F.col("split") == name).select(key).distinct()
+    pairs = [("train", "validation"), ("train", "test"), ("validation", "test")]
+    return {f"{a}_{b}_{key}": own(a).intersect(own(b)) for a, b in pairs}
+
+
+def index_checks(indexed: DataFrame, split: DataFrame, excluded: DataFrame) -> dict[str, DataFrame]:
+    """Whatever an index of training chunks must not hold. indexed: document_id, effective_family_id; split: those and split."""
+    docs, families = indexed.select("document_id").distinct(), indexed.select("effective_family_id").distinct()
+    of = lambda name, key: split.where(F.col("split") == name).select(key).distinct()
+    known = split.select("document_id", "effective_family_id").distinct()
+    return {
+        "indexed_not_in_train": docs.join(of("train", "document_id"), "document_id", "left_anti"),
+        **{f"{name}_{kind}_indexed": keys.join(of(name, key), key, "left_semi") for name in ("validation", "test") for kind, keys, key in (("document", docs, "document_id"), ("family", families, "effective_family_id"))},
+        "excluded_document_indexed": docs.join(excluded.select("document_id"), "document_id", "left_semi"),
+        "metadata_differs": indexed.select("document_id", "effective_family_id").distinct().join(known, ["document_id", "effective_family_id"], "left_anti"),
+    }
+
+
+def held_out_checks(cases: DataFrame, split: DataFrame, methods: list[str], conditions: list[str]) -> dict[str, DataFrame]:
+    """A test run covers the test split, all of it and nothing else, in each condition, with known labels and confidences."""
+    tested = split.where(F.col("split") == "test").select("document_id")
+    every = lambda names: F.explode(F.array(*(F.lit(x) for x in names)))
+    wanted = tested.withColumn("method", every(methods)).withColumn("condition", every(conditions))
+    done = cases.select("method", "document_id", "condition")
+    return {
+        "document_outside_test": done.join(tested, "document_id", "left_anti"),
+        "unknown_condition": done.where(~F.col("condition").isin(conditions)),
+        "case_missing": wanted.join(done, ["method", "document_id", "condition"], "left_anti"),
+        "case_repeats": done.groupBy("method", "document_id", "condition").agg(F.count("*").alias("n")).where("n > 1"),
+        "success_without_label": cases.where("status = 'success' AND predicted_label IS NULL"),
+        "confidence_out_of_range": cases.where("confidence < 0 OR confidence > 1 OR isnan(confidence)"),
+        "true_label_differs": cases.groupBy("document_id").agg(F.count_distinct("true_label").alias("n")).where("n > 1"),
+    }
+
+
 def declared_inputs(names: list[str], banned: tuple[str, ...] = ("test",)) -> list[str]:
     """The declared inputs of a training step that name a held-out split."""
     return [n for n in names if any(b in n.lower() for b in banned)]

@@ -60,6 +60,19 @@ def chunk(docs: DataFrame, window: int = 510, overlap: int = 128) -> DataFrame:
     ).drop("toks", "text")
 
 
+def model_inputs(ids: Column, width: int = 512, first: int = 101, last: int = 102, pad: int = 0) -> tuple[Column, Column]:
+    """Token ids between the marks of a sequence, cut and padded to width; and the mask of what is no padding."""
+    whole = F.slice(F.concat(F.array(F.lit(first)), ids, F.array(F.lit(last))), 1, width)
+    rest = lambda x: F.array_repeat(F.lit(x), F.lit(width) - F.size(whole))
+    return F.concat(whole, rest(pad)), F.concat(F.transform(whole, lambda _: F.lit(1)), rest(0))
+
+
+def chunk_split(docs: DataFrame, window: int = 510, overlap: int = 128) -> DataFrame:
+    """chunk, with its query failing on a document without tokens: in a saved split each document has text."""
+    some = F.when(F.size(tokens(F.col("text"))) > 0, F.col("text")).otherwise(F.raise_error(F.concat(F.lit("no chunks: "), F.col("document_id"))).cast("string"))
+    return chunk(docs.withColumn("text", some), window, overlap)
+
+
 def first_tokens(x: Column, n: int = 510) -> Column:
     return F.slice(tokens(x), 1, n)
 

@@ -57,6 +57,14 @@ def aggregate_scores(chunks: DataFrame, method: str, labels: list[str] = LABELS)
     raise ValueError(f"unknown method {method!r}")
 
 
+def invalid_scores(chunks: DataFrame, column: str = "probs", labels: list[str] = LABELS) -> DataFrame:
+    """Rows that cannot be aggregated, each with its reason: empty, a wrong number of scores, or a score that is null, NaN or infinite."""
+    a = F.col(column)
+    off = F.exists(a, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    reason = F.when(a.isNull() | (F.size(a) == 0), "empty").when(F.size(a) != len(labels), "shape").when(off, "not_finite")
+    return chunks.withColumn("reason", reason).where(F.col("reason").isNotNull())
+
+
 def confusion(cases: DataFrame, by: list[str], labels: list[str] = LABELS) -> DataFrame:
     """Counts of each true and predicted label, zeros included. Failed cases count under no label."""
     names = F.array(*(F.lit(x) for x in labels))
@@ -176,7 +184,12 @@ def paired_bootstrap(cases: DataFrame, a: str, b: str, n: int = 2000, seed: int
     return counts.coalesce(1).mapInPandas(run, "metric string, point double, low double, high double")  # four rows at most
 
 
+def log_loss(p: Column) -> Column:
+    """Of the probability of the true label; bounded where it is zero."""
+    return -F.log(F.greatest(p, F.lit(1e-9)))
+
+
 def negative_log_likelihood(scores: DataFrame) -> DataFrame:
     """Mean and weighted loss of (p_true, weight)."""
-    loss = -F.log(F.greatest(F.col("p_true"), F.lit(1e-9)))
+    loss = log_loss(F.col("p_true"))
     return scores.agg(F.round(F.avg(loss), 6).alias("mean_nll"), F.round(F.sum(loss * F.col("weight")) / F.sum("weight"), 6).alias("weighted_loss"))

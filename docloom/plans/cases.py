@@ -37,6 +37,21 @@ def context_text(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("query_id").agg(listed.alias("l")).select("query_id", F.array_join(F.transform("l", lambda x: F.concat(F.lit("["), x["new_place"].cast("string"), F.lit("] "), x["text"])), "\n\n").alias("context"))
 
 
+def labelled_context(chunks: DataFrame) -> DataFrame:
+    """(query_id, context) from (query_id, new_place, agency, text), with the labels that the older classifier shows."""
+    listed = F.array_sort(F.collect_list(F.struct("new_place", "agency", "text")))
+    line = lambda x: F.concat(x["new_place"].cast("string"), F.lit(". Agency: "), x["agency"], F.lit("\n   Excerpt: "), x["text"])
+    return chunks.groupBy("query_id").agg(listed.alias("l")).select("query_id", F.array_join(F.transform("l", line), "\n").alias("context"))
+
+
+def guidance_prompts(routed: DataFrame, prompts: dict[str, str]) -> DataFrame:
+    """(document_id, prompt) from (document_id, agency, text): each agency's own template; null for an agency without one."""
+    filled = F.lit(None).cast("string")
+    for agency, prompt in prompts.items():
+        filled = F.when(F.col("agency") == agency, T.render(prompt, {"document": F.col("text")})).otherwise(filled)
+    return routed.select("document_id", filled.alias("prompt"))
+
+
 def run_cases(cases: DataFrame, provider: Provider, attempts: int = 3, backoff: float = 2.0) -> DataFrame:
     """A result for each case. Retryable errors are tried again, waiting twice as long each time; an answer that is no label is invalid and final."""
 

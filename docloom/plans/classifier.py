@@ -6,11 +6,12 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.operators import evaluation
 from docloom.operators.corpus import LABELS
+from docloom.sources.tables import read_or_empty
 
 
 def training_rows(chunks: DataFrame, labels: list[str] = LABELS) -> DataFrame:
@@ -33,6 +34,25 @@ def predict(model: PipelineModel, chunks: DataFrame, method: str = "mean_probabi
     return evaluation.aggregate_scores(scored, method)
 
 
+def save_artifact(model: PipelineModel, base: str, name: str, ready_at: int) -> None:
+    """The model, and last the row that says it is ready; a name is used once."""
+    model.write().save(f"{base}/{name}/model")
+    SparkSession.getActiveSession().createDataFrame([(name, "ready", ready_at)], "name string, status string, ready_at long").coalesce(1).write.mode("errorifexists").parquet(f"{base}/{name}/status")
+
+
+def load_artifact(spark: SparkSession, base: str, name: str) -> PipelineModel:
+    """Raises for a model that was never marked ready."""
+    if not read_or_empty(spark, f"{base}/{name}/status", "name string, status string, ready_at long").where("status = 'ready'").head(1):
+        raise FileNotFoundError(f"no ready model {name!r}")
+    return PipelineModel.load(f"{base}/{name}/model")
+
+
+def scored_chunks(model: PipelineModel, chunks: DataFrame) -> DataFrame:
+    """(document_id, vectors): each document's probabilities in the order of its chunks."""
+    rows = model.transform(chunks).select("document_id", F.struct("chunk_index", vector_to_array("probability").alias("probs")).alias("c"))
+    return rows.groupBy("document_id").agg(F.array_sort(F.collect_list("c")).alias("l")).select("document_id", F.transform("l", lambda x: x["probs"]).alias("vectors"))
+
+
 def best_epoch(metrics: DataFrame) -> DataFrame:
     """The epoch of the largest macro_f1, the earliest of equals."""
     return metrics.agg(F.max_by("epoch", F.struct("macro_f1", -F.col("epoch"))).alias("epoch"))

@@ -10,12 +10,12 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    from docloom.queries import corpus, evaluation, joins, scalars, windows
+    from docloom.queries import corpus, evaluation, integrity, joins, parts, scalars, storage, windows
 
-    return {name: f for m in (scalars, corpus, windows, evaluation, joins) for name, f in m.QUERIES.items()}
+    return {name: f for m in (scalars, corpus, windows, evaluation, joins, parts, storage, integrity) for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    from docloom.queries import corpus, evaluation, joins, scalars, windows
+    from docloom.queries import corpus, evaluation, integrity, joins, parts, scalars, storage, windows
 
-    return {name: sql for m in (scalars, corpus, windows, evaluation, joins) for name, sql in m.ORACLES.items()}
+    return {name: sql for m in (scalars, corpus, windows, evaluation, joins, parts, storage, integrity) for name, sql in m.ORACLES.items()}

@@ -21,7 +21,9 @@ def read_csv(spark: SparkSession, path: str, schema: str = SOURCE) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("errorifexists").option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    """White space at the ends stays. Null and the empty string are both read back as null."""
+    kept = df.write.mode("errorifexists").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+    kept.option("header", True).option("quote", '"').option("escape", '"').csv(path)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str = CASE) -> DataFrame:
@@ -63,6 +65,43 @@ def read_manifest(spark: SparkSession, path: str, schema: StructType | str) -> D
     return spark.read.schema(schema).json(path)
 
 
+def flattened(df: DataFrame) -> DataFrame:
+    """The leaves of nested structs as columns with dotted names."""
+
+    def leaves(kind: StructType, path: tuple[str, ...]) -> list[Column]:
+        out = []
+        for f in kind.fields:
+            at = (*path, f.name)
+            if isinstance(f.dataType, StructType):
+                out += leaves(f.dataType, at)
+            else:
+                out.append(F.col(".".join(f"`{p}`" for p in at)).alias(".".join(at)))
+        return out
+
+    return df.select(*leaves(df.schema, ()))
+
+
+def save_results(df: DataFrame, base: str) -> None:
+    """Predictions or metrics by (method, split); those that df has anew take the place of older ones, others stay."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("method", "split").parquet(base)
+
+
+def load_results(spark: SparkSession, base: str, method: str, split: str) -> DataFrame:
+    """One method's results on one split; no other files are read."""
+    return spark.read.parquet(base).where((F.col("method") == method) & (F.col("split") == split))
+
+
+def is_pdf_response(status: Column, content_type: Column) -> Column:
+    """A successful answer that says it is a PDF; unknown status or type is none."""
+    return F.coalesce((status == 200) & F.contains(F.lower(content_type), F.lit("pdf")), F.lit(False))
+
+
+def index_report(index: DataFrame) -> DataFrame:
+    """Vectors, chunk ids and widths of a vector table."""
+    width = F.size("embedding")
+    return index.agg(F.count("*").alias("vectors"), F.count_distinct("chunk_id").alias("chunks"), F.min(width).alias("least_width"), F.max(width).alias("most_width"))
+
+
 def missing_from(wanted: DataFrame, stored: DataFrame, key: str = "cache_key") -> DataFrame:
     """What a cache does not have: each key once."""
     return wanted.dropDuplicates([key]).join(stored.select(key), key, "left_anti")

@@ -302,3 +302,47 @@ def test_prepare_holds_its_invariants(spark):
     done = prepare(source, spark.createDataFrame([("9", None, None, "include_english_corpus")], corpus.OVERRIDES), 100, 20)
     checks.require(done.checks())
     assert done.registry.count() == 10 * done.split.count() and done.split.where("document_id = '9'").count() == 1
+
+
+def test_settings_are_checked():
+    from docloom.plans import settings
+
+    assert settings.settings('{"window": 20, "overlap": 5}').window == 20
+    assert settings.settings('{"seed": 1, "window": 9, "overlap": 2}').digest() == settings.settings('{"overlap": 2, "window": 9, "seed": 1}').digest()
+    for bad in ('{"windw": 3}', '{"window": 3, "overlap": 3}', '{"ratios": {"train": 0.5}}'):
+        with pytest.raises(ValueError):
+            settings.settings(bad)
+    with pytest.raises(ValueError):
+        settings.prompt('{"template": "no place for the text"}')
+
+
+def test_csv_keeps_what_it_was_given(spark, tmp_path):
+    from docloom.sources import tables
+
+    rows = [("1", ' "quoted", \n two lines '), ("2", ""), ("3", None), ("4", "back\\slash\\")]
+    tables.write_csv(spark.createDataFrame(rows, "document_id string, text string"), str(tmp_path / "c"))
+    back = tables.read_csv(spark, str(tmp_path / "c"), "document_id string, text string")
+    assert sorted((r[0], r[1]) for r in back.collect()) == [(i, t or None) for i, t in rows]
+
+
+def test_unready_models_are_refused(spark, tmp_path):
+    from docloom.plans import classifier
+
+    with pytest.raises(FileNotFoundError):
+        classifier.load_artifact(spark, str(tmp_path), "m1")
+
+
+def test_chunk_split_refuses_documents_without_tokens(spark):
+    from docloom.operators import chunks as K
+
+    docs = spark.createDataFrame([("1", "a b"), ("2", " ")], "document_id string, text string")
+    with pytest.raises(Exception, match="no chunks: 2"):
+        K.chunk_split(docs).collect()
+
+
+def test_model_inputs_cut_and_pad(spark):
+    from docloom.operators import chunks as K
+
+    docs = spark.createDataFrame([([7, 8],), ([],), ([1, 2, 3, 4, 5],)], "ids array<int>")
+    got = [(r[0], r[1]) for r in docs.select(*K.model_inputs(F.col("ids"), 5)).collect()]
+    assert got == [([101, 7, 8, 102, 0], [1, 1, 1, 1, 0]), ([101, 102, 0, 0, 0], [1, 1, 0, 0, 0]), ([101, 1, 2, 3, 4], [1] * 5)]
