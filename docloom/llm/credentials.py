@@ -48,7 +48,8 @@ class SecretRules:
     min_assigned: int = 6
 
 
-def load_tiktoken(name: str):
+def load_tiktoken(name: str, specials: tuple[tuple[str, int], ...] = ()):
+    """The ranks of a vocabulary file; specials are the strings that encode() takes as one id."""
     import base64
 
     import public_tokenizers
@@ -56,7 +57,7 @@ def load_tiktoken(name: str):
 
     with open(vocabulary_path(name), "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=dict(specials))
 
 
 def base_spans(text: str, rules: SecretRules) -> list[tuple[int, int, int]]:

@@ -11,7 +11,8 @@ What a worker's open bins hold at its end is cut into full sequences and a
 remainder of power-of-two sequences, which need no padding.
 
 Defined cases: a null text counts as empty, and an empty one still has its
-end-of-document id; repeated rows are packed each for itself; an empty table
+end-of-document id; a special string inside a text is one id, as the
+vocabulary's tokenizer has it; repeated rows are packed each for itself; an empty table
 gives no rows.
 """
 
@@ -34,9 +35,10 @@ from docloom.llm.credentials import load_tiktoken
 
 @dataclass(frozen=True)
 class Packing:
-    """Parameters. vocabulary: the ranks of the byte-level vocabulary; end_id follows each document."""
+    """Parameters. vocabulary: the ranks of the byte-level vocabulary; specials: the strings that its tokenizer takes as one id wherever they stand in a text; end_id follows each document."""
 
     vocabulary: str = "byte_bpe_50k.tiktoken"
+    specials: tuple[tuple[str, int], ...] = (("<|endoftext|>", 50256),)
     capacity: int = 2048
     end_id: int = 1
     max_waste: float = 0.02
@@ -103,7 +105,7 @@ def pack(docs: DataFrame, packing: Packing | None = None, id_column: str = "doc_
         raise ValueError("capacity must be a power of two")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = load_tiktoken(p.vocabulary)
+        vocabulary = load_tiktoken(p.vocabulary, p.specials)
         bins = _Bins(p, TaskContext.get().partitionId())
 
         def rows(found: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
@@ -117,7 +119,7 @@ def pack(docs: DataFrame, packing: Packing | None = None, id_column: str = "doc_
         for batch in batches:
             kind, found = batch.schema.field(0).type, []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.append(np.array(vocabulary.encode_ordinary(text), dtype="<u4"), np.uint32(p.end_id)).astype("<u4")
+                ids = np.append(np.array(vocabulary.encode(text, allowed_special="all", disallowed_special=()), dtype="<u4"), np.uint32(p.end_id)).astype("<u4")
                 at = 0
                 for n in cut_points(len(ids), p):
                     found += bins.put((key, at, ids[at : at + n], len(ids)))

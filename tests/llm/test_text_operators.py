@@ -1,5 +1,6 @@
 """Quality rules, secrets, packing, token counts and fingerprints against brute force."""
 
+import functools
 import hashlib
 import re
 import zlib
@@ -89,13 +90,16 @@ def test_redaction(spark):
     assert got[2].text is None and got[3].text == "clean"
 
 
-def reference_ids(text):
+@functools.cache
+def reference_tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
-    tokenizer.encode_special_tokens = True
-    return tokenizer.encode(text or "", add_special_tokens=False).ids
+    return Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+
+
+def reference_ids(text):
+    return reference_tokenizer().encode(text or "", add_special_tokens=False).ids
 
 
 def test_packing(docs, texts):
@@ -121,8 +125,8 @@ def test_packing(docs, texts):
     assert padding < 0.02 * total
 
 
-def test_special_strings_are_text(spark):
-    rows = [(1, "a <|endoftext|> b"), (2, "x" * 3000), (3, " " * 3000 + "　​ é\U0001f600")]
+def test_special_strings_are_one_id(spark):
+    rows = [(0, "<|endoftext|><|endoftext|>  \n <|endoftext|"), (1, "a <|endoftext|> b"), (2, "x" * 3000), (3, " " * 3000 + "　​ é\U0001f600")]
     got = {}
     for r in harmonic.pack(spark.createDataFrame(rows, "doc_id long, text string"), with_ids=True).collect():
         got.setdefault(r.doc_id, []).append(r)
