@@ -2,8 +2,11 @@
 
 Fertility is measured under a SentencePiece vocabulary with byte fallback:
 characters per token, the share of tokens that are fallback bytes, and the
-entropy of the token distribution. Rejection bands are declared per script; a
-text outside its script's bands is rejected.
+entropy of the token distribution. Rejection bands are declared per language,
+from the measured distributions of clean texts, and more widely per script; a
+text outside the bands of its language or script is rejected. The language is
+that of the lang column, or a guess by function words where there is none; where
+the label and the guess name two languages, only the bands of the script hold.
 
 Defined cases: a null or empty text has no words, fails the base rules and has
 null measures; repeated rows are measured each for itself; texts are never cut.
@@ -11,6 +14,8 @@ null measures; repeated rows are measured each for itself; texts are never cut.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -43,6 +48,51 @@ BANDS: dict[str, Band] = {
     "none": Band((0.9, 12.0), 0.30, 0.20),
 }
 
+@dataclass(frozen=True)
+class LanguageBand:
+    """What clean texts of a language measure under the default vocabulary. Short texts scatter more, and repeat tokens less:
+    a text of n tokens has at least chars_per_token - chars_slack / sqrt(n) characters per token, and an entropy share of at least
+    entropy_share + entropy_slope * log2(n / 1024). Beyond the measured range of tokens, the ends of the range hold."""
+
+    chars_per_token: float
+    chars_slack: float
+    byte_share: float
+    entropy_share: float
+    entropy_slope: float
+    tokens: tuple[float, float]
+
+    def fits(self, n: int, per_token: float, byte_share: float, entropy_share: float) -> bool:
+        n = min(max(n, self.tokens[0]), self.tokens[1])
+        return per_token >= self.chars_per_token - self.chars_slack / n**0.5 and byte_share <= self.byte_share and entropy_share >= self.entropy_share + self.entropy_slope * float(np.log2(n / 1024))
+
+
+def derive_band(n: np.ndarray, per_token: np.ndarray, byte_share: np.ndarray, entropy_share: np.ndarray, outside: float = 0.002) -> LanguageBand:
+    """The band of the clean texts so measured; each lower bound leaves so small a share of them outside."""
+    doublings = np.log2(n / 1024)
+    slope, level = np.polyfit(doublings, entropy_share, 1)
+    middle = float(np.median(per_token))
+    slack = -np.quantile((per_token - middle) * np.sqrt(n), outside)
+    level += np.quantile(entropy_share - level - slope * doublings, outside)
+    return LanguageBand(middle, float(slack), float(byte_share.max()), float(level), float(slope), (float(n.min()), float(n.max())))
+
+
+#: By derive_band, rounded outwards, from the labelled quality = 1 documents of sf0.1 that pass the base rules (2,013 en, 488 de, 490 fr, 311 es).
+LANGUAGES: dict[str, LanguageBand] = {
+    "en": LanguageBand(2.635, 6.10, 0.06, 0.648, -0.0523, (47, 10184)),
+    "de": LanguageBand(2.625, 4.05, 0.05, 0.636, -0.0543, (47, 11522)),
+    "fr": LanguageBand(2.355, 5.40, 0.05, 0.632, -0.0534, (105, 12515)),
+    "es": LanguageBand(2.296, 3.60, 0.05, 0.628, -0.0530, (68, 7325)),
+}
+
+#: Function words and letters by which a text without a lang column is named; junk may have few of the words.
+FUNCTION_WORDS: dict[str, frozenset[str]] = {
+    "en": frozenset("the of and to a in is that it for was on with be by as this are at from".split()),
+    "de": frozenset("der die das und in den von zu mit sich auf des für ist nicht dem im ein eine als".split()),
+    "fr": frozenset("de la le et les des en un du une que pour est qui par dans sur au pas avec".split()),
+    "es": frozenset("de la que el en y los se del las por un no con su una es para al como".split()),
+}
+LETTERS: dict[str, str] = {"en": "w", "de": "äöüß", "fr": "èêçà", "es": "ñóíá"}
+
 #: First code point of each range, and its script.
 RANGES: list[tuple[int, str]] = [
     (0x0000, "none"), (0x0041, "latin"), (0x005B, "none"), (0x0061, "latin"), (0x007B, "none"), (0x00AA, "latin"), (0x00AB, "none"),
@@ -65,6 +115,7 @@ class QualityRules:
     window: int = 8
     max_repeat_percent: int = 30
     bands: dict[str, Band] = field(default_factory=lambda: dict(BANDS))
+    languages: dict[str, LanguageBand] = field(default_factory=lambda: dict(LANGUAGES))
 
 
 SYMBOLS = b"#*$%&|<>"
@@ -90,6 +141,14 @@ def script_of(text: str) -> str:
     return _NAMES[int(counts.argmax())] if counts.any() else "none"
 
 
+def guess_language(text: str) -> str | None:
+    """The language with the most function words and letters of its own, if they are a hundredth of the words at least and no other language has as many."""
+    lowered = text.lower()
+    counts = Counter(w.strip(".,;:!?#$%&*\"'()") for w in lowered.split())
+    found = sorted(((sum(counts[w] for w in words) + sum(map(lowered.count, LETTERS[name])), name) for name, words in FUNCTION_WORDS.items()), reverse=True)
+    return found[0][1] if found[0][0] > found[1][0] and 100 * found[0][0] >= counts.total() else None
+
+
 def repeat_words(words: list[bytes], window: int) -> int:
     """Words covered by windows of so many words that occur twice or more, first occurrences included."""
     n = len(words) - window + 1
@@ -137,8 +196,9 @@ def _measure(rules: QualityRules):
         is_byte = np.array([model.is_byte(i) for i in range(model.vocab_size())])
         for batch in batches:
             texts = batch.column(1).to_pylist()
+            languages = batch.column(2).to_pylist() if batch.num_columns > 2 else map(guess_language, texts)
             out: list[tuple] = []
-            for text in texts:
+            for text, language in zip(texts, languages, strict=True):
                 base = base_measures(text, rules)
                 failed = base[0] < rules.min_words or 100 * base[4] > rules.max_repeat_percent * base[0]
                 ids = np.array(model.encode(text), dtype=np.int64)
@@ -153,6 +213,11 @@ def _measure(rules: QualityRules):
                 per_token, fallback = len(text) / len(ids), float(is_byte[ids].mean())
                 band = rules.bands[script]
                 fine = band.chars_per_token[0] <= per_token <= band.chars_per_token[1] and fallback <= band.byte_share and entropy >= band.entropy_share
+                # names such as en-GB and EN count as en; a language without bands of its own has those of its script
+                name = re.split("[-_]", language.lower())[0] if language else None
+                if fine and name in rules.languages and not rules.languages[name].fits(len(ids), per_token, fallback, entropy):
+                    # a text that speaks for another language than its label is not measured by the label's bands
+                    fine = guess_language(text) not in (name, None)
                 out.append((*base, len(ids), script, per_token, fallback, entropy, failed, bool(fine and not failed)))
             columns = list(zip(*out, strict=True)) if out else [[] for _ in range(12)]
             kinds = [pa.int64()] * 6 + [pa.string()] + [pa.float64()] * 3 + [pa.bool_()] * 2
@@ -161,22 +226,25 @@ def _measure(rules: QualityRules):
     return run
 
 
-def quality(docs: DataFrame, rules: QualityRules | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def quality(docs: DataFrame, rules: QualityRules | None = None, id_column: str = "doc_id", text_column: str = "text", language_column: str = "lang") -> DataFrame:
     """A row of measures and verdicts per document, in one pass without a shuffle."""
     kind = docs.schema[id_column].dataType.simpleString()
-    return docs.select(F.col(id_column).alias("key"), text_of(text_column).alias("text")).mapInArrow(_measure(rules or QualityRules()), f"key {kind}, {MEASURES}").withColumnRenamed("key", id_column)
+    language = [F.col(language_column).cast("string").alias("lang")] if language_column in docs.columns else []
+    return docs.select(F.col(id_column).alias("key"), text_of(text_column).alias("text"), *language).mapInArrow(_measure(rules or QualityRules()), f"key {kind}, {MEASURES}").withColumnRenamed("key", id_column)
 
 
-def keep_quality(docs: DataFrame, rules: QualityRules | None = None, text_column: str = "text") -> DataFrame:
+def keep_quality(docs: DataFrame, rules: QualityRules | None = None, text_column: str = "text", language_column: str = "lang") -> DataFrame:
     """The documents that pass, with their own columns, in one pass: each batch of whole rows is measured and filtered in place."""
     rules = rules or QualityRules()
     place = docs.columns.index(text_column)
+    named = docs.columns.index(language_column) if language_column in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         measure = _measure(rules)
         for batch in batches:
             texts = batch.column(place).cast(pa.string()).fill_null("")
-            got = next(measure(iter([pa.RecordBatch.from_arrays([texts, texts], names=["key", "text"])])))
+            columns = [texts, texts] if named is None else [texts, texts, batch.column(named).cast(pa.string())]
+            got = next(measure(iter([pa.RecordBatch.from_arrays(columns, names=["key", "text", "lang"][: len(columns)])])))
             yield batch.filter(got.column(got.schema.get_field_index("kept")))
 
     return docs.mapInArrow(run, docs.schema)
