@@ -1,9 +1,13 @@
 """Cases that an operator's own definition covers and its shortcuts once left out."""
 
+import math
+import random
+import re
+
 import duckdb
 import numpy as np
 
-from docloom.llm import fertility
+from docloom.llm import decontaminate, fertility
 
 
 def test_quality_bands_tell_junk_from_prose(spark):
@@ -27,3 +31,49 @@ def test_derived_band_holds_what_it_was_derived_from():
     inside = [band.fits(*x) for x in zip(n, per_token, np.full(2000, 0.01), entropy, strict=True)]
     assert sum(inside) >= 0.995 * 2000
     assert not band.fits(1024, 2.6, 0.01, 0.55) and not band.fits(1024, 2.3, 0.01, 0.65) and not band.fits(1024, 2.6, 0.02, 0.65)
+
+
+def brute_alignments(docs, items, window, share):
+    """Every document and item at every offset, without seeds."""
+    said = lambda t: [w for w in re.split(r"[^\w]|_", (t or "").lower()) if w]
+    found = set()
+    for d, t in docs:
+        w = said(t)
+        for i, b in items:
+            v = said(b)
+            n = min(window, len(v))
+            for shift in range(-len(v) + 1, len(w)):
+                same = [0 <= k + shift < len(w) and w[k + shift] == v[k] for k in range(len(v))]
+                if max(sum(same[k : k + n]) for k in range(len(v) - n + 1)) >= math.ceil(n * share):
+                    found.add((d, i))
+                    break
+    return found
+
+
+def test_masks_miss_no_pattern():
+    seeds = decontaminate.Seeds()
+    assert all(decontaminate.missed_patterns(seeds, n) == [] for n in range(1, 40))
+
+
+def test_overlaps_at_every_alignment(spark):
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(60)]
+    draw = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [(n, draw(n)) for n in (2, 3, 4, 5, 7, 9, 10, 11, 13, 14, 15, 15, 15, 16, 18, 30)]
+    items = [(k, v) for k, (_, v) in enumerate(items)]
+    docs = [(1000, items[6][1][:]), (1001, ["w0"]), (1002, draw(300)), (1003, ["x", *items[13][1][2:-1]])]
+    for k, v in items:
+        for copy in range(6):
+            piece = list(v[: rng.randint(16, 18)])
+            for at in rng.sample(range(len(piece)), min(len(piece), rng.randint(0, 4))):
+                piece[at] = f"y{at}"
+            docs.append((10 * k + copy, draw(rng.choice([0, 3, 40])) + piece + draw(rng.choice([0, 25]))))
+    lost = [0, 11, 12]
+    docs.append((1004, [f"z{j}" if j in lost else w for j, w in enumerate(items[13][1])]))
+    docs, items = ([(d, " ".join(w)) for d, w in x] for x in (docs, items))
+    want = brute_alignments(docs, items, 16, 0.8)
+    frame, table = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.overlaps(frame, table).collect()} == want
+    assert {(1000, 6), (1003, 13), (1004, 13)} <= want
+    assert decontaminate.overlaps(frame, table.where("length(text) > 60")).count() == len({x for x in want if len(items[x[1]][1]) > 60})
+    assert decontaminate.overlaps(frame, spark.createDataFrame([(1, "W0")], "item_id long, text string")).count() == sum("w0" in t.split() for _, t in docs)
