@@ -98,7 +98,7 @@ def suffix_array(raw: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def common_prefixes(raw: np.ndarray, order: np.ndarray, depth: int, chain: int = 256) -> np.ndarray:
-    """Bytes (up to depth) that each suffix in order has in common with the one before it. After Kasai: where the suffix before i + 1 is the one after that before i, their common prefix is one byte shorter, so only the heads of such chains are compared."""
+    """Bytes (up to depth) that each suffix in order has in common with the one before it. After Kasai: where the suffix before i + 1 is the one after that before i, their common prefix is one byte shorter as long as there is one, so only the heads of such chains are compared."""
     n = len(order)
     before = np.full(n, -1, dtype=np.int64)
     before[order[1:]] = order[:-1]
@@ -107,25 +107,31 @@ def common_prefixes(raw: np.ndarray, order: np.ndarray, depth: int, chain: int =
     head[1:] = (before[1:] != before[:-1] + 1) | (before[:-1] < 0)
     since = place - np.maximum.accumulate(np.where(head, place, 0))
     head |= since % chain == 0
-    heads = np.flatnonzero(head)
-    wanted = np.diff(np.append(heads, n)) + depth
     words = np.concatenate((_words_at(raw, n, ">"), np.zeros(chain + depth + 16, dtype=U64)))
-    common = np.zeros(len(heads), dtype=np.int64)
-    live = np.flatnonzero(before[heads] >= 0)
-    at = 0
-    while len(live):
-        i = heads[live] + at
-        a, b = words[i], words[before[heads[live]] + at]
-        differ = a ^ b
-        same = np.full(len(live), 8, dtype=np.int64)
-        for k in range(7, -1, -1):  # the leftmost byte that differs
-            same[(differ >> U64(8 * (7 - k))) & U64(255) != 0] = k
-        common[live] += same
-        at += 8
-        live = live[(same == 8) & (wanted[live] > at) & (np.maximum(heads[live], before[heads[live]]) + at < n)]
-    last = np.maximum.accumulate(np.where(head, place, 0))
     lengths = np.zeros(n, dtype=np.int64)
-    lengths[heads] = common
+    todo = np.flatnonzero(head)
+    while len(todo):
+        heads = np.flatnonzero(head)
+        sizes = np.diff(np.append(heads, n))
+        wanted = sizes[np.searchsorted(heads, todo)] + depth
+        common = np.zeros(len(todo), dtype=np.int64)
+        live = np.flatnonzero(before[todo] >= 0)
+        at = 0
+        while len(live):
+            i = todo[live] + at
+            a, b = words[i], words[before[todo[live]] + at]
+            differ = a ^ b
+            same = np.full(len(live), 8, dtype=np.int64)
+            for k in range(7, -1, -1):  # the leftmost byte that differs
+                same[(differ >> U64(8 * (7 - k))) & U64(255) != 0] = k
+            common[live] += same
+            at += 8
+            live = live[(same == 8) & (wanted[live] > at) & (np.maximum(todo[live], before[todo[live]]) + at < n)]
+        lengths[todo] = common
+        # nothing follows from a common prefix of 0: the next suffix of such a chain is a head too
+        todo = todo[common + 1 < wanted - depth] + common[common + 1 < wanted - depth] + 1
+        head[todo] = True
+    last = np.maximum.accumulate(np.where(head, place, 0))
     lengths = np.clip(lengths[last] - (place - last), 0, depth)
     return lengths[order]
 

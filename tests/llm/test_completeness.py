@@ -1,13 +1,14 @@
 """Cases that an operator's own definition covers and its shortcuts once left out."""
 
 import math
+import os
 import random
 import re
 
 import duckdb
 import numpy as np
 
-from docloom.llm import decontaminate, fertility
+from docloom.llm import decontaminate, fertility, suffix_dedup
 
 
 def test_quality_bands_tell_junk_from_prose(spark):
@@ -77,3 +78,19 @@ def test_overlaps_at_every_alignment(spark):
     assert {(1000, 6), (1003, 13), (1004, 13)} <= want
     assert decontaminate.overlaps(frame, table.where("length(text) > 60")).count() == len({x for x in want if len(items[x[1]][1]) > 60})
     assert decontaminate.overlaps(frame, spark.createDataFrame([(1, "W0")], "item_id long, text string")).count() == sum("w0" in t.split() for _, t in docs)
+
+
+def test_common_prefixes_after_a_prefix_of_zero():
+    """Copies that differ in one byte whose groups are neighbours: the chain runs past a common prefix of 0."""
+    rng = random.Random(4)
+    draw = lambda n: bytes(rng.choice(b"abcdefgh ") for _ in range(n))
+    for size in (20, 60, 150):
+        p, s = draw(size), draw(119)
+        text = p + b"1" + s + p + b"2" + s
+        raw = np.frombuffer(text + b"\0" * 16, dtype=np.uint8)
+        order, _ = suffix_dedup.suffix_array(raw, 100)
+        got = suffix_dedup.common_prefixes(raw, order, 100)
+        for k in range(1, len(text)):
+            a, b = text[order[k] :][:100], text[order[k - 1] :][:100]
+            assert got[k] == len(os.path.commonprefix([a, b])) or len(a) < 100 or len(b) < 100
+        assert sum(got >= 100) >= 20
