@@ -3,7 +3,9 @@
 Text that people write is cheap for a byte-pair vocabulary: few tokens for many
 characters. Random strings are not. Long unbroken strings that take many tokens
 for their length are reported as kind "random", unless they look like a known
-digest or identifier (declared below) or lie in a span that a pattern found.
+digest or identifier (declared below) or overlap a span that a pattern found. Where
+a string with separators (/ _ - =) is not random as a whole, each part of it is
+tested by itself.
 
 Defined cases: a null text counts as empty and has no spans; repeated rows are
 scanned each for itself; offsets are code points and ends are exclusive.
@@ -30,13 +32,16 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "random")
 #: Strings that the token test looks at.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-#: Known digests (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512), UUIDs, plain numbers and times, paths, and content addresses.
+#: Known digests (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512), UUIDs, plain numbers and times, and content addresses.
 KNOWN = re.compile(
     r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64}"
     r"|[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
-    r"|[0-9+/_=-]+|sha(?:1|224|256|384|512)[-=][A-Za-z0-9+/=]+|Qm[1-9A-HJ-NP-Za-km-z]{44}|/?(?:[a-z_-]+/)+[a-z_-]*)"
+    r"|[0-9+/_=-]+|sha(?:1|224|256|384|512)[-=][A-Za-z0-9+/=]+|Qm[1-9A-HJ-NP-Za-km-z]{44})"
 )
-MIXED = re.compile(r"(?=.*[A-Za-z])(?=.*[0-9])|(?=.*[a-z][A-Z])(?=.*[A-Z][a-z].*[A-Z])")
+#: Candidates that are none as a whole but may have a random part.
+PATH = re.compile(r"/?(?:[a-z_-]+/)+[a-z_-]*")
+#: What stands between such characters is looked at by itself too.
+SEGMENT = re.compile(r"[A-Za-z0-9+]{20,}")
 
 
 @dataclass(frozen=True)
@@ -70,12 +75,22 @@ def base_spans(text: str, rules: SecretRules) -> list[tuple[int, int, int]]:
 
 
 def random_spans(text: str, taken: list[tuple[int, int, int]], rules: SecretRules, vocabulary) -> list[tuple[int, int, int]]:
+    def free(a: int, b: int) -> bool:
+        return not any(x < b and a < y for x, _, y in taken)
+
+    def random(piece: str) -> bool:
+        return not KNOWN.fullmatch(piece) and len(piece) < rules.max_chars_per_token * len(vocabulary.encode_ordinary(piece))
+
     found = []
     for m in CANDIDATE.finditer(text):
-        if not MIXED.match(m[0]) or KNOWN.fullmatch(m[0]) or any(a < m.end() and m.start() < b for a, _, b in taken):
+        if KNOWN.fullmatch(m[0]):
             continue
-        if len(m[0]) < rules.max_chars_per_token * len(vocabulary.encode_ordinary(m[0])):
+        if free(m.start(), m.end()) and not PATH.fullmatch(m[0]) and random(m[0]):
             found.append((m.start(), 3, m.end()))
+            continue
+        for part in SEGMENT.finditer(text, m.start(), m.end()):
+            if (part.start(), part.end()) != (m.start(), m.end()) and free(part.start(), part.end()) and random(part[0]):
+                found.append((part.start(), 3, part.end()))
     return found
 
 

@@ -4,11 +4,12 @@ import math
 import os
 import random
 import re
+import string
 
 import duckdb
 import numpy as np
 
-from docloom.llm import decontaminate, fertility, suffix_dedup
+from docloom.llm import credentials, decontaminate, fertility, suffix_dedup
 
 
 def test_quality_bands_tell_junk_from_prose(spark):
@@ -94,3 +95,17 @@ def test_common_prefixes_after_a_prefix_of_zero():
             a, b = text[order[k] :][:100], text[order[k - 1] :][:100]
             assert got[k] == len(os.path.commonprefix([a, b])) or len(a) < 100 or len(b) < 100
         assert sum(got >= 100) >= 20
+
+
+def test_random_strings_of_one_case_and_within_paths():
+    rng, rules, vocabulary = random.Random(2), credentials.SecretRules(), credentials.load_tiktoken("byte_bpe_50k.tiktoken")
+    draw = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    spans = lambda t: credentials.random_spans(t, credentials.base_spans(t, rules), rules, vocabulary)
+    upper, lower = string.ascii_uppercase, string.ascii_lowercase
+    assert sum(spans(f"of {draw(upper, 24)} and") == [(3, 3, 27)] for _ in range(200)) >= 190
+    assert sum(spans(f"of {draw(lower, 24)} and") == [(3, 3, 27)] for _ in range(200)) >= 150
+    path = "/hooks/services/incoming/production/"
+    keys = [draw(string.ascii_letters + string.digits, 20) for _ in range(200)]
+    assert sum(any(a <= len(path) and b >= len(path) + 20 for a, _, b in spans(path + k)) for k in keys) >= 190
+    for clean in (path + "index", "550e8400-e29b-41d4-a716-446655440000", "internationalization-and-localization", "sha256-" + keys[0] * 2, "2020-01-02_2021-03-04/2022"):
+        assert spans(clean) == []
