@@ -2,14 +2,17 @@
 
 The exchange in docloom.llm.recurrence brings the passages that could share a
 phrase of the given number of words to one shard. A shard confirms the phrases
-that recur, compiles them into Aho-Corasick automata of bounded size
-(pyahocorasick, over word numbers), and streams every passage that any document
-sent through them to locate each occurrence.
+that recur, word by word, and names the first document of each. The confirmed
+passages go back to the batches of documents that have them, where they are
+compiled into Aho-Corasick automata of bounded size (pyahocorasick, over word
+numbers), sharded as the documents are. All documents stream through the automata
+of their batch, whole; what they locate is what goes.
 
 Defined cases: a null text has no words; documents with fewer words than a
 phrase lose nothing; rows that share an id are one document, so neither is
-earlier; documents without an id come last; an empty table gives no rows. Ids
-must be integers.
+earlier; documents without an id come last; very long texts are one row in one
+batch, cut nowhere; only the named columns are read, so others may have any name;
+an empty table gives no rows. Ids must be integers.
 """
 
 from __future__ import annotations
@@ -23,15 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.recurrence import NO_ID, U64, Batch, Exchange, Variants, mix, recurring
+from docloom.llm.recurrence import NO_ID, U64, Batch, Exchange, Found, Variants, _ramp, mix, recurring
 
 
 @dataclass(frozen=True)
 class PhraseDedup:
-    """length: of phrases, in words; automaton_phrases: compiled into one automaton at most."""
+    """length: of phrases, in words; automaton_words: of the passages compiled into one automaton, about."""
 
     length: int = 13
-    automaton_phrases: int = 50_000
+    automaton_words: int = 1_000_000
     exchange: Exchange = field(default_factory=lambda: Exchange(length=13, gram=4))
 
 
@@ -54,38 +57,50 @@ def read_words(gram: int, ids: np.ndarray, texts: list[bytes]) -> Batch:
     for j in range(gram):
         grams[:m] = mix(grams[:m] ^ hashes[j : j + m]) + U64(j)
     bounds = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
-    return Batch(ids, bounds, grams, lambda first, size: b" ".join(words[first : first + size]), texts)
+    return Batch(ids, bounds, grams, lambda first, size: b" ".join(words[first : first + size]), texts, numbers)
 
 
-def compare_phrases(length: int, most: int, variants: Variants) -> list[np.ndarray]:
-    """For each passage, which of its phrases also stand in a smaller document."""
-    import ahocorasick
-
+def compare_phrases(length: int, variants: Variants) -> tuple[np.ndarray, np.ndarray]:
+    """The first document of each phrase that stands in several; starts have no part in it, but join the windows of a passage to runs."""
     numbers: dict[bytes, int] = {}
-    passages = [tuple(numbers.setdefault(w, len(numbers)) for w in text.split(b" ")) for text in variants.texts]
-    docs = variants.doc.tolist()
-    # the smallest document of each phrase, and whether it recurs
     first: dict[tuple[int, ...], int] = {}
     recurs: set[tuple[int, ...]] = set()
-    for passage, doc, n in zip(passages, docs, variants.n_windows.tolist(), strict=True):
+    phrases: list[tuple[int, ...]] = []
+    for text, doc, n, several in zip(variants.texts, variants.doc.tolist(), variants.n_windows.tolist(), variants.several.tolist(), strict=True):
+        passage = tuple([numbers.setdefault(w, len(numbers)) for w in text.split(b" ")])
         for i in range(n):
             phrase = passage[i : i + length]
+            phrases.append(phrase)
             known = first.setdefault(phrase, doc)
-            if known != doc:
+            if several or known != doc:
                 recurs.add(phrase)
                 if doc < known:
                     first[phrase] = doc
-    out = [np.zeros(n, dtype=bool) for n in variants.n_windows.tolist()]
-    confirmed = sorted(recurs)
-    for at in range(0, len(confirmed), most):
+    least = np.fromiter((first[p] if p in recurs else NO_ID for p in phrases), dtype=np.int64, count=len(phrases))
+    return least, np.where(least == NO_ID, -1, _ramp(variants.n_windows))
+
+
+def locate_passages(most: int, length: int, batch: Batch, found: Found, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the wanted passages stand in the documents of a batch, by automata of about so many words each."""
+    import ahocorasick
+
+    places, of = [], []
+    words = batch.numbers.tolist()
+    documents = [(a, tuple(words[a:b])) for a, b in zip(batch.bounds[:-1].tolist(), batch.bounds[1:].tolist(), strict=True) if b - a >= length]
+    keys = np.flatnonzero(wanted)
+    sizes = found.counts[keys] + length - 1
+    shards = (np.cumsum(sizes) - sizes) // most
+    for shard in np.unique(shards):
+        own = keys[shards == shard]
         automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for phrase in confirmed[at : at + most]:
-            automaton.add_word(phrase, first[phrase])
+        for k, a, n in zip(own.tolist(), found.firsts[own].tolist(), sizes[shards == shard].tolist(), strict=True):
+            automaton.add_word(tuple(words[a : a + n]), (k, n - 1))
         automaton.make_automaton()
-        for passage, doc, mask in zip(passages, docs, out, strict=True):
-            for end, smallest in automaton.iter(passage):
-                mask[end - length + 1] = smallest < doc
-    return out
+        for begin, document in documents:
+            for end, (k, back) in automaton.iter(document):
+                places.append(begin + end - back)
+                of.append(k)
+    return np.array(places, dtype=np.int64), np.array(of, dtype=np.int64)
 
 
 def _kept(batch: Batch, marks: np.ndarray) -> list[list[bytes]]:
@@ -111,7 +126,7 @@ def _texts(batch: Batch, marks: np.ndarray) -> pa.RecordBatch:
 def _run(docs: DataFrame, p: PhraseDedup, finish, schema: str, id_column: str, text_column: str) -> DataFrame:
     if p.exchange.length != p.length:
         raise ValueError("the exchange must have the same length")
-    out = recurring(docs, partial(read_words, p.exchange.gram), partial(compare_phrases, p.length, p.automaton_phrases), finish, schema, p.exchange, True, id_column, text_column)
+    out = recurring(docs, partial(read_words, p.exchange.gram), partial(compare_phrases, p.length), partial(locate_passages, p.automaton_words, p.length), finish, schema, p.exchange, True, id_column, text_column)
     return out.withColumn("id", F.when(F.col("id") != NO_ID, F.col("id"))).withColumnRenamed("id", id_column)
 
 

@@ -4,24 +4,27 @@ A window is `length` consecutive units (bytes, or words) of one document. Each
 window is named by its anchor, the smallest hash of the `gram`-unit runs inside
 it (the leftmost of equals), so equal windows have equal anchors wherever they
 stand. Consecutive windows with the same anchor form a stretch, some half a
-window long plus one window, and the corpus is compared stretch by stretch:
+window long plus one window. The exchange only brings together what could be
+equal; whether it is, and what goes, is for the operator's own method:
 
 1. Documents are dealt into batches by a hash of their id. A batch sends the
    anchors it holds, a few bytes each, to shards by anchor.
 2. A shard replies to each batch which of its anchors recur, and which of those
-   are hot.
-3. A batch sends the text of the stretches with recurring anchors, each distinct
-   one once, to shards by anchor. Of hot anchors (as of a common line that
-   stands in ever different surroundings) it sends 128-bit names of the windows
-   instead, to shards by name, so that no anchor can fill a shard.
-4. A shard compares stretches exactly, by the operator's own method, and replies
-   to each batch where each stretch first stands and, to the batch where that
-   is, which of its windows stand earlier in another stretch.
-5. A batch marks the units that the recurring windows cover.
+   have so many stretches that they are to be split.
+3. A batch sends each distinct stretch with a recurring anchor once, with its
+   text and first place, to shards by anchor. Stretches of an anchor to be split
+   (as of a common line that stands in ever different surroundings) go as single
+   windows, each with its own text as its anchor, so that no anchor can fill a
+   shard.
+4. A shard has the operator compare the stretches with all their places, and
+   replies to each batch with the least place of each window.
+5. A batch has the operator locate the stretches in its documents, and marks the
+   units of windows that stand later than their least place.
 
 Anything that recurs is sent by each batch once, however often the batch holds
 it, so a group of copies costs a row for each batch. Batches and shards grow in
-number with the input, not in size.
+number with the input, not in size; a row between two of them holds all that
+one has for the other, so there are never more rows than stretches.
 """
 
 from __future__ import annotations
@@ -31,6 +34,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,13 +49,15 @@ _PLACE = U64((1 << _PLACE_BITS) - 1)
 
 @dataclass(frozen=True)
 class Exchange:
-    """length, gram: of windows and anchors, in units. A hot anchor is one with more than hot_count stretches, of which equal ones in a batch count once. Batches and shards are about as many as the text has batch_bytes, and at least spread times and once the shuffle partitions; each batch sends a row to each shard."""
+    """length, gram: of windows and anchors, in units. An anchor with more than split_count stretches (equal ones in a batch count once) is split. Batches and shards are as many as the text has batch_bytes and shard_bytes, and at least spread times and once the shuffle partitions. text_bytes: of all texts, which are measured in a pass of their own where it is None."""
 
     length: int
     gram: int
-    hot_count: int = 2000
+    split_count: int = 2000
     batch_bytes: int = 4 << 20
+    shard_bytes: int = 16 << 20
     spread: int = 2
+    text_bytes: int | None = None
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -117,13 +123,14 @@ def stretches(grams: np.ndarray, bounds: np.ndarray, length: int, gram: int) ->
 
 @dataclass
 class Batch:
-    """The documents of a batch, sorted by id, laid end to end. begins: of units, for each document and the end; text(first, n) gives the bytes of n units."""
+    """The documents of a batch, sorted by id and text, laid end to end. bounds: of units, for each document and the end; text(first, n) gives the bytes of n units; numbers: of words, where units are words."""
 
     ids: np.ndarray
     bounds: np.ndarray
     grams: np.ndarray
     text: Callable[[int, int], bytes]
     documents: list[bytes]
+    numbers: np.ndarray | None = None
 
 
 #: Builds a batch from ids and texts.
@@ -132,17 +139,38 @@ Reader = Callable[[np.ndarray, list[bytes]], Batch]
 
 @dataclass
 class Variants:
-    """Distinct stretches at a shard: their bytes, number of windows, and the document and unit where each first stands."""
+    """Distinct stretches at a shard: their bytes, number of windows, the document and unit where each first stands, whether it stands elsewhere too, and its anchor."""
 
     texts: list[bytes]
     n_windows: np.ndarray
     doc: np.ndarray
     start: np.ndarray
+    several: np.ndarray
     anchor: np.ndarray
 
 
-#: For variants of which some share windows: for each a bool array, true for the windows that stand earlier in another variant than where this one first stands.
-Comparer = Callable[[Variants], list[np.ndarray]]
+#: For all windows of the variants, one after the other: document and start of its least place, if the window has several places; NO_ID, -1 if it has one only.
+Comparer = Callable[[Variants], tuple[np.ndarray, np.ndarray]]
+
+
+@dataclass
+class Found:
+    """Distinct stretches of a batch (first unit, number of windows), and all their places in it: the first unit and the stretch of each."""
+
+    firsts: np.ndarray
+    counts: np.ndarray
+    places: np.ndarray
+    of: np.ndarray
+
+
+#: The places in a batch at which the wanted ones (a bool array) of the distinct stretches are: first units, and the stretch of each.
+Locator = Callable[[Batch, Found, np.ndarray], tuple[np.ndarray, np.ndarray]]
+
+
+def places_known(batch: Batch, found: Found, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places at which the stretches were read."""
+    keep = wanted[found.of]
+    return found.places[keep], found.of[keep]
 
 
 def _pack(*arrays: np.ndarray) -> list[bytes]:
@@ -150,10 +178,8 @@ def _pack(*arrays: np.ndarray) -> list[bytes]:
 
 
 def _batches(table: pa.Table, read: Reader) -> Batch:
-    ids = table.column("id").to_numpy()
-    order = np.argsort(ids, kind="stable")
-    texts = table.column("text").to_pylist()
-    return read(ids[order], [texts[i].encode("utf-8", "surrogatepass") for i in order])
+    pairs = sorted(zip(table.column("id").to_pylist(), (t.encode("utf-8", "surrogatepass") for t in table.column("text").to_pylist()), strict=True))
+    return read(np.array([i for i, _ in pairs], dtype=np.int64), [t for _, t in pairs])
 
 
 def _shards(keys: np.ndarray, n: int) -> np.ndarray:
@@ -191,37 +217,50 @@ def _ramp(counts: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts)
 
 
-def _firsts_of(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Lexicographic order by keys (the most significant first), and where runs equal in all but the last two keys begin in it."""
-    order = np.lexsort(keys[::-1])
-    new = np.zeros(len(order), dtype=bool)
-    if len(order):
-        new[0] = True
-    for k in keys[:-2]:
-        s = k[order]
-        new[1:] |= s[1:] != s[:-1]
-    return order, new
+def _joined(table: pa.Table, column: str, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column(column).to_pylist()), dtype=kind)
 
 
-def _compared(variants: Variants, compare: Comparer) -> list[np.ndarray]:
-    """compare() over the variants whose anchor has others; no other two share a window."""
-    out = [np.zeros(n, dtype=bool) for n in variants.n_windows.tolist()]
+def _compared(variants: Variants, compare: Comparer) -> tuple[np.ndarray, np.ndarray]:
+    """compare() over the variants that stand in several places, or share their anchor with others; no window of another has a second place."""
+    total = int(variants.n_windows.sum())
+    doc, start = np.full(total, NO_ID), np.full(total, -1)
     _, inverse, n = np.unique(variants.anchor, return_inverse=True, return_counts=True)
-    some = np.flatnonzero(n[inverse] > 1)
+    some = np.flatnonzero((n[inverse] > 1) | variants.several)
     if len(some):
-        part = Variants([variants.texts[i] for i in some.tolist()], variants.n_windows[some], variants.doc[some], variants.start[some], variants.anchor[some])
-        for i, mask in zip(some.tolist(), compare(part), strict=True):
-            out[i] = mask
-    return out
-
-
-def recurring(docs: DataFrame, read: Reader, compare: Comparer, finish: Callable[[Batch, np.ndarray], pa.RecordBatch], schema: str, exchange: Exchange, across_documents: bool, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+        windows = variants.n_windows[some]
+        where = np.repeat((np.cumsum(variants.n_windows) - variants.n_windows)[some], windows) + _ramp(windows)
+        doc[where], start[where] = compare(Variants([variants.texts[i] for i in some.tolist()], windows, variants.doc[some], variants.start[some], variants.several[some], variants.anchor[some]))
+    return doc, start
+
+
+def _runs(variants: Variants, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs of windows of a variant whose least places are consecutive: how many each variant has, and their lengths, documents and (less the window's number) starts. A variant of which nothing can go has none."""
+    base = np.where(start < 0, NO_ID, start - _ramp(variants.n_windows))
+    begins = np.cumsum(variants.n_windows) - variants.n_windows
+    own = np.repeat(np.arange(len(begins)), variants.n_windows)
+    stays = (start < 0) | (~variants.several[own] & (doc == variants.doc[own]) & (base == variants.start[own]))
+    some = np.bincount(own, ~stays, minlength=len(begins)) > 0
+    new = np.ones(len(doc), dtype=bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (base[1:] != base[:-1])
+    new[begins] = True
+    at = np.flatnonzero(new)
+    lengths = np.diff(np.append(at, len(doc)))
+    keep = some[own[at]]
+    return np.bincount(own[at][keep], minlength=len(begins)), lengths[keep], doc[at][keep], base[at][keep]
+
+
+def _part(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """All of start .. start + count - 1 for each."""
+    return np.repeat(starts, counts) + _ramp(counts)
+
+
+def recurring(docs: DataFrame, read: Reader, compare: Comparer, locate: Locator, finish: Callable[[Batch, np.ndarray], pa.RecordBatch], schema: str, exchange: Exchange, across_documents: bool, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """finish(batch, marks) for each batch; marks: for each unit whether a recurring window covers it. across_documents: a window recurs only if it starts in a smaller document; else also if it starts earlier in the same one."""
     spark, x = docs.sparkSession, exchange
     base = docs.select(F.col(id_column).cast("long").alias("id"), text_of(text_column).alias("text"))
-    total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    enough = -(-total // x.batch_bytes)
-    n_batches, n_shards = max(x.spread * shuffle_width(spark), enough), max(shuffle_width(spark), enough)
+    total = x.text_bytes if x.text_bytes is not None else base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_batches, n_shards = max(x.spread * shuffle_width(spark), -(-total // x.batch_bytes)), max(shuffle_width(spark), -(-total // x.shard_bytes))
     # documents without an id come after all others, in batches by their text
     dealt = base.withColumn("batch", F.pmod(F.when(F.col("id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("id")), F.lit(n_batches)).cast("long")).withColumn("id", F.coalesce("id", F.lit(NO_ID)))
     grouped = dealt.groupBy("batch")
@@ -230,19 +269,22 @@ def recurring(docs: DataFrame, read: Reader, compare: Comparer, finish: Callable
         firsts, counts, anchors = stretches(batch.grams, batch.bounds, x.length, x.gram)
         return firsts, counts, anchors, np.searchsorted(batch.bounds, firsts, side="right") - 1
 
+    def elsewhere(of: np.ndarray, n: int, doc: np.ndarray) -> np.ndarray:
+        """Whether each of n groups of places, in order, has a second place: another document, or any."""
+        counts = np.bincount(of, minlength=n)
+        if not across_documents:
+            return counts > 1
+        order = np.argsort(of, kind="stable")
+        ends = np.cumsum(counts)
+        return doc[order[ends - 1]] != doc[order[ends - counts]]
+
     def ask(table: pa.Table) -> pa.Table:
-        """1: the distinct anchors, how many distinct stretches each has here, and whether in one document or more."""
+        """1: the distinct anchors, how many distinct stretches each has here, and whether it has a second place."""
         number = table.column("batch")[0].as_py()
         batch = _batches(table, read)
         firsts, windows, anchors, doc = found(batch)
-        keys, at, inverse, counts = np.unique(anchors, return_index=True, return_inverse=True, return_counts=True)
-        several = np.zeros(len(keys), dtype=np.uint8)
-        if across_documents and len(keys):
-            order = np.argsort(anchors, kind="stable")  # documents stay in order
-            ends = np.cumsum(counts) - 1
-            several = (doc[order[ends]] != doc[at]).astype(np.uint8)
-        else:
-            several = (counts > 1).astype(np.uint8)
+        keys, inverse, counts = np.unique(anchors, return_inverse=True, return_counts=True)
+        several = elsewhere(inverse, len(keys), doc).astype(np.uint8) if len(keys) else np.empty(0, np.uint8)
         many = np.flatnonzero(counts[inverse] > 1)
         if len(many):
             names = _names(batch, firsts[many], windows[many], x.length)
@@ -257,108 +299,100 @@ def recurring(docs: DataFrame, read: Reader, compare: Comparer, finish: Callable
     asked = grouped.applyInArrow(ask, "shard long, batch long, keys binary, counts binary, several binary")
 
     def recur(table: pa.Table) -> pa.Table:
-        """2: to each batch those of its anchors that recur, and whether they are hot."""
+        """2: to each batch those of its anchors that recur, and whether they are to be split."""
         batches = table.column("batch").to_pylist()
-        keys = [np.frombuffer(b, dtype=U64) for b in table.column("keys").to_pylist()]
-        counts = np.concatenate([np.frombuffer(b, dtype=np.uint16) for b in table.column("counts").to_pylist()]).astype(np.int64)
-        several = np.concatenate([np.frombuffer(b, dtype=np.uint8) for b in table.column("several").to_pylist()])
-        sizes = np.array([len(k) for k in keys])
-        every = np.concatenate(keys)
+        sizes = np.array([len(b) // 8 for b in table.column("keys").to_pylist()])
+        every, counts, several = _joined(table, "keys", U64), _joined(table, "counts", np.uint16), _joined(table, "several", np.uint8)
         _, inverse, holders = np.unique(every, return_inverse=True, return_counts=True)
         recurs = (holders > 1) | (np.bincount(inverse, several) > 0)
-        hot = np.bincount(inverse, counts) > x.hot_count
-        yes, warm, at = recurs[inverse], hot[inverse].astype(np.uint8), 0
+        split = np.bincount(inverse, counts) > x.split_count
+        yes, cut, at = recurs[inverse], split[inverse].astype(np.uint8), 0
         rows = []
         for number, n in zip(batches, sizes.tolist(), strict=True):
             keep = at + np.flatnonzero(yes[at : at + n])
             at += n
             if len(keep):
-                rows.append((number, *_pack(every[keep], warm[keep])))
+                rows.append((number, *_pack(every[keep], cut[keep])))
         columns = list(zip(*rows, strict=True)) if rows else [[] for _ in range(3)]
-        return pa.table({"batch": pa.array(columns[0], pa.int64()), "keys": pa.array(columns[1], pa.binary()), "hot": pa.array(columns[2], pa.binary())})
+        return pa.table({"batch": pa.array(columns[0], pa.int64()), "keys": pa.array(columns[1], pa.binary()), "split": pa.array(columns[2], pa.binary())})
 
-    replies = asked.groupBy("shard").applyInArrow(recur, "batch long, keys binary, hot binary")
+    replies = asked.groupBy("shard").applyInArrow(recur, "batch long, keys binary, split binary")
 
-    def known(batch: Batch, reply: pa.Table) -> tuple[np.ndarray, ...]:
-        """The stretches with recurring anchors: first window, windows, anchor, document, hot."""
-        keys = np.concatenate([np.frombuffer(b, dtype=U64) for b in reply.column("keys").to_pylist()])
-        hot = np.concatenate([np.frombuffer(b, dtype=np.uint8) for b in reply.column("hot").to_pylist()])
+    def entries(batch: Batch, reply: pa.Table) -> tuple[Found, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct stretches with recurring anchors (those of anchors to be split as single windows); their names, anchors, documents and whether they have a second place here."""
+        keys, split = _joined(reply, "keys", U64), _joined(reply, "split", np.uint8)
         order = np.argsort(keys)
-        keys, hot = keys[order], hot[order]
+        keys, split = keys[order], split[order]
         firsts, counts, anchors, doc = found(batch)
         at = np.minimum(np.searchsorted(keys, anchors), len(keys) - 1)
         yes = np.flatnonzero(keys[at] == anchors)
-        return firsts[yes], counts[yes], anchors[yes], doc[yes], hot[at[yes]].astype(bool)
-
-    kinds = "shard long, batch long, hot boolean, names binary, lows binary, docs binary, starts binary, windows binary, anchors binary, texts binary"
-    fields = [("shard", pa.int64()), ("batch", pa.int64()), ("hot", pa.bool_()), *((c, pa.binary()) for c in ("names", "lows", "docs", "starts", "windows", "anchors", "texts"))]
+        firsts, counts, anchors, doc, hot = firsts[yes], counts[yes], anchors[yes], doc[yes], split[at[yes]].astype(bool)
+        names = _names(batch, firsts, counts, x.length)
+        if hot.any():
+            # the windows of each distinct stretch are named once
+            _, once, inverse = np.unique(names[hot], return_index=True, return_inverse=True)
+            n_once = counts[hot][once]
+            high, low = _window_names(batch, firsts[hot][once], n_once, x.length)
+            of_window = _part((np.cumsum(n_once) - n_once)[inverse], counts[hot])
+            n = np.where(hot, counts, 1)
+            of = np.repeat(np.arange(len(n)), n)
+            single = hot[of]
+            firsts, counts, anchors, doc, names = firsts[of] + np.where(single, _ramp(n), 0), np.where(single, 1, counts[of]), anchors[of], doc[of], names[of]
+            anchors[single], names[single] = high[of_window], low[of_window]
+        _, once, of = np.unique(names, return_index=True, return_inverse=True)  # the first of each, as stretches are in order
+        return Found(firsts[once], counts[once], firsts, of), names[once], anchors[once], doc[once], elsewhere(of, len(once), doc)
+
+    fields = [("shard", pa.int64()), ("batch", pa.int64()), *((c, pa.binary()) for c in ("names", "anchors", "docs", "starts", "windows", "several", "lengths", "texts"))]
 
     def tell(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        """3: each distinct stretch with a recurring anchor; of hot ones each distinct window."""
+        """3: each distinct stretch with a recurring anchor."""
         rows: list[tuple] = []
         if left.num_rows and right.num_rows:
             number = left.column("batch")[0].as_py()
             batch = _batches(left, read)
-            firsts, counts, anchors, doc, hot = known(batch, right)
-            names = _names(batch, firsts, counts, x.length)
-            _, once = np.unique(names, return_index=True)  # the first of each, as stretches are in order
-            cold, warm = once[~hot[once]], once[hot[once]]
-            for shard, p in _split(_shards(anchors[cold], n_shards)):
-                p = cold[p]
-                texts = [batch.text(f, n + x.length - 1) for f, n in zip(firsts[p].tolist(), counts[p].tolist(), strict=True)]
+            here, names, anchors, doc, several = entries(batch, right)
+            for shard, p in _split(_shards(anchors, n_shards)):
+                texts = [batch.text(f, n + x.length - 1) for f, n in zip(here.firsts[p].tolist(), here.counts[p].tolist(), strict=True)]
                 lengths = np.array([len(t) for t in texts], dtype=np.int32)
-                rows.append((shard, number, False, *_pack(names[p], lengths, batch.ids[doc[p]], firsts[p] - batch.bounds[doc[p]], counts[p].astype(np.int32), anchors[p]), pa.compress(b"".join(texts), codec="zstd", asbytes=True)))
-            high, low = _window_names(batch, firsts[warm], counts[warm], x.length)
-            of = np.repeat(warm, counts[warm])
-            start = firsts[of] - batch.bounds[doc[of]] + _ramp(counts[warm])
-            order, new = _firsts_of([high, low, batch.ids[doc[of]], start])
-            p = order[new]
-            for shard, q in _split(_shards(high[p], n_shards)):
-                q = p[q]
-                rows.append((shard, number, True, *_pack(high[q], low[q], batch.ids[doc[of[q]]], start[q]), b"", b"", b""))
+                rows.append((shard, number, *_pack(names[p], anchors[p], batch.ids[doc[p]], here.firsts[p] - batch.bounds[doc[p]], here.counts[p].astype(np.int32), several[p].astype(np.uint8), lengths), pa.compress(b"".join(texts), codec="zstd", asbytes=True)))
         columns = list(zip(*rows, strict=True)) if rows else [[] for _ in fields]
         return pa.table({n: pa.array(c, t) for c, (n, t) in zip(columns, fields, strict=True)})
 
-    told = grouped.cogroup(replies.groupBy("batch")).applyInArrow(tell, kinds)
+    told = grouped.cogroup(replies.groupBy("batch")).applyInArrow(tell, "shard long, batch long, names binary, anchors binary, docs binary, starts binary, windows binary, several binary, lengths binary, texts binary")
+    verdicts = [("batch", pa.int64()), ("shard", pa.int64()), *((c, pa.binary()) for c in ("runs", "windows", "docs", "starts"))]
 
     def judge(table: pa.Table) -> pa.Table:
-        """4: to each batch, where each of its stretches (hot: windows) first stands; to the batch where that is, which windows stand earlier elsewhere."""
-        rows: list[tuple] = []
-        warm = table.column("hot").to_numpy(zero_copy_only=False)
-        for hot in (False, True):
-            part = table.filter(pa.array(warm == hot))
-            if not part.num_rows:
-                continue
-            read_ = lambda c, t: np.concatenate([np.frombuffer(b, dtype=t) for b in part.column(c).to_pylist()])  # noqa: B023, E731
-            sizes = np.array([len(b) // 8 for b in part.column("names").to_pylist()])
-            names, docs_, starts = read_("names", U64), read_("docs", np.int64), read_("starts", np.int64)
-            holder = np.repeat(np.arange(part.num_rows), sizes)
-            lows = read_("lows", U64) if hot else np.zeros(len(names), U64)
-            order, new = _firsts_of([names, lows, docs_, starts])
-            group = np.empty(len(order), dtype=np.int64)
-            group[order] = np.cumsum(new) - 1
-            first = order[new]
-            masks: list[bytes] | None = None
-            if not hot:
-                lengths, windows = read_("lows", np.int32), read_("windows", np.int32)
-                ends = np.cumsum(lengths.astype(np.int64))
-                filled = np.concatenate(([0], ends[np.cumsum(sizes) - 1]))
-                blob = b"".join(pa.decompress(b, int(n), codec="zstd", asbytes=True) for b, n in zip(part.column("texts").to_pylist(), np.diff(filled), strict=True))
-                texts = [blob[ends[i] - lengths[i] : ends[i]] for i in first.tolist()]
-                masks = [np.packbits(m).tobytes() if m.any() else b"" for m in _compared(Variants(texts, windows[first], docs_[first], starts[first], read_("anchors", U64)[first]), compare)]
-            numbers = part.column("batch").to_pylist()
-            leads = np.zeros(len(names), dtype=bool)
-            leads[first] = True
-            for h, places in _split(holder):
-                g = group[places]
-                mine = [masks[k] if lead else b"" for k, lead in zip(g.tolist(), leads[places].tolist(), strict=True)] if masks is not None else []
-                rows.append((numbers[h], hot, *_pack(names[places], lows[places], docs_[first[g]], starts[first[g]], np.array([len(m) for m in mine], dtype=np.int32)), b"".join(mine)))
-        columns = list(zip(*rows, strict=True)) if rows else [[] for _ in range(8)]
-        return pa.table({n: pa.array(c, t) for c, (n, t) in zip(columns, [("batch", pa.int64()), ("hot", pa.bool_()), *((c, pa.binary()) for c in ("names", "lows", "docs", "starts", "lengths", "masks"))], strict=True)})
-
-    judged = told.groupBy("shard").applyInArrow(judge, "batch long, hot boolean, names binary, lows binary, docs binary, starts binary, lengths binary, masks binary")
-    answers = replies.select("batch", F.lit(0).alias("kind"), F.col("keys").alias("a"), F.col("hot").alias("b"), *(F.lit(None).cast("binary").alias(c) for c in "cdef"))
-    answers = answers.unionByName(judged.select("batch", F.when(F.col("hot"), 2).otherwise(1).alias("kind"), *(F.col(n).alias(c) for n, c in zip(("names", "lows", "docs", "starts", "lengths", "masks"), "abcdef", strict=True))))
+        """4: to each batch, for each stretch that it sent, the least places of its windows."""
+        names, anchors, docs_, starts = (_joined(table, c, t) for c, t in (("names", U64), ("anchors", U64), ("docs", np.int64), ("starts", np.int64)))
+        windows, several, lengths = (_joined(table, c, t) for c, t in (("windows", np.int32), ("several", np.uint8), ("lengths", np.int32)))
+        sizes = np.array([len(b) // 8 for b in table.column("names").to_pylist()])
+        order = np.lexsort((starts, docs_, names, anchors))
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (names[order[1:]] != names[order[:-1]]) | (anchors[order[1:]] != anchors[order[:-1]])
+        group = np.empty(len(order), dtype=np.int64)
+        group[order] = np.cumsum(new) - 1
+        first = order[new]
+        ends = np.cumsum(lengths.astype(np.int64))
+        filled = np.concatenate(([0], ends[np.cumsum(sizes) - 1]))
+        blob = b"".join(pa.decompress(b, int(n), codec="zstd", asbytes=True) for b, n in zip(table.column("texts").to_pylist(), np.diff(filled), strict=True))
+        texts = [blob[ends[i] - lengths[i] : ends[i]] for i in first.tolist()]
+        del blob
+        variants = Variants(texts, windows[first].astype(np.int64), docs_[first], starts[first], (np.bincount(group) > 1) | (np.bincount(group, several) > 0), anchors[first])
+        runs, n_windows, least, base = _runs(variants, *_compared(variants, compare))
+        begins = np.cumsum(runs) - runs
+        rows, at = [], 0
+        for number, n, shard in zip(table.column("batch").to_pylist(), sizes.tolist(), table.column("shard").to_pylist(), strict=True):
+            own = group[at : at + n]
+            at += n
+            p = _part(begins[own], runs[own])
+            rows.append((number, shard, *_pack(runs[own].astype(np.int32), n_windows[p].astype(np.int32), least[p], base[p])))
+        columns = list(zip(*rows, strict=True))
+        return pa.table({n: pa.array(c, t) for c, (n, t) in zip(columns, verdicts, strict=True)})
+
+    judged = told.groupBy("shard").applyInArrow(judge, "batch long, shard long, runs binary, windows binary, docs binary, starts binary")
+    # the replies of steps 2 and 4 in one table: those of step 2 have no shard
+    answers = replies.select("batch", F.lit(None).cast("long").alias("shard"), F.col("keys").alias("a"), F.col("split").alias("b"), *(F.lit(None).cast("binary").alias(c) for c in "cd"))
+    answers = answers.unionByName(judged.select("batch", "shard", F.col("runs").alias("a"), F.col("windows").alias("b"), F.col("docs").alias("c"), F.col("starts").alias("d")))
 
     def mark(key, left: pa.Table, right: pa.Table) -> pa.Table:
         """5: marks for the units of each document."""
@@ -366,64 +400,26 @@ def recurring(docs: DataFrame, read: Reader, compare: Comparer, finish: Callable
             return empty
         batch = _batches(left, read)
         edges = np.zeros(int(batch.bounds[-1]) + 1, dtype=np.int32)
-        kind = right.column("kind").to_numpy()
-        if (kind == 0).any():
-            of = lambda k: right.filter(pa.array(kind == k))
-            firsts, counts, _, doc, hot = known(batch, of(0).select(["a", "b"]).rename_columns(["keys", "hot"]))
-            names = _names(batch, firsts, counts, x.length)
-            starts = firsts - batch.bounds[doc]
-            for k, p in ((1, np.flatnonzero(~hot)), (2, np.flatnonzero(hot))):
-                part = of(k)
-                if not part.num_rows or not len(p):
-                    continue
-                got = lambda c, t: np.concatenate([np.frombuffer(b, dtype=t) for b in part.column(c).to_pylist()])  # noqa: B023, E731
-                a, first_doc, first_start = got("a", U64), got("c", np.int64), got("d", np.int64)
-                if k == 1:
-                    lengths, blob = got("e", np.int32), b"".join(part.column("f").to_pylist())
-                    ends = np.cumsum(lengths.astype(np.int64))
-                    order = np.argsort(a)
-                    at = order[np.searchsorted(a[order], names[p])]
-                    later = batch.ids[doc[p]] > first_doc[at]
-                    same = ~later if across_documents else ~later & (starts[p] == first_start[at])
-                    whole = p[~same]
-                    np.add.at(edges, firsts[whole], 1)
-                    np.add.at(edges, firsts[whole] + counts[whole] + x.length - 1, -1)
-                    for i, j in zip(p[same].tolist(), at[same].tolist(), strict=True):
-                        if lengths[j]:
-                            bits = np.unpackbits(np.frombuffer(blob[ends[j] - lengths[j] : ends[j]], dtype=np.uint8))[: counts[i]]
-                            for w in np.flatnonzero(bits).tolist():
-                                edges[firsts[i] + w] += 1
-                                edges[firsts[i] + w + x.length] -= 1
-                else:
-                    # distinct stretches once, then each of their places
-                    distinct, once, inverse = np.unique(names[p], return_index=True, return_inverse=True)
-                    high, low = _window_names(batch, firsts[p[once]], counts[p[once]], x.length)
-                    pair = np.empty(len(a), dtype=[("h", U64), ("l", U64)])
-                    pair["h"], pair["l"] = a, got("b", U64)
-                    order = np.argsort(pair, order=("h", "l"))
-                    want = np.empty(len(high), dtype=pair.dtype)
-                    want["h"], want["l"] = high, low
-                    sorted_high = pair["h"][order]
-                    at = np.searchsorted(sorted_high, want["h"])
-                    clash = pair["l"][order][at] != want["l"]
-                    for i in np.flatnonzero(clash).tolist():  # equal first halves
-                        while pair["l"][order[at[i]]] != want["l"][i]:
-                            at[i] += 1
-                    at = order[at]
-                    n_once = counts[p[once]]
-                    begin = np.cumsum(n_once) - n_once
-                    each = counts[p]
-                    where = np.repeat(begin[inverse], each) + _ramp(each)
-                    of_stretch = np.repeat(p, each)
-                    window = firsts[of_stretch] + _ramp(each)
-                    start = window - batch.bounds[doc[of_stretch]]
-                    ids = batch.ids[doc[of_stretch]]
-                    at = at[where]
-                    again = ids > first_doc[at]
-                    if not across_documents:
-                        again |= (ids == first_doc[at]) & (start > first_start[at])
-                    np.add.at(edges, window[again], 1)
-                    np.add.at(edges, window[again] + x.length, -1)
+        early = right.column("shard").is_null()
+        if right.num_rows:
+            here, _, anchors, _, _ = entries(batch, right.filter(early).select(["a", "b"]).rename_columns(["keys", "split"]))
+            judged_here = right.filter(pa.compute.invert(early)).sort_by("shard")
+            sent = np.concatenate([p for _, p in _split(_shards(anchors, n_shards))])  # the order in which tell() sent them
+            runs, n_windows, least, base_ = (_joined(judged_here, c, t) for c, t in (("a", np.int32), ("b", np.int32), ("c", np.int64), ("d", np.int64)))
+            n_runs, begins = np.zeros(len(sent), dtype=np.int64), np.zeros(len(sent), dtype=np.int64)
+            n_runs[sent], begins[sent] = runs, np.cumsum(runs) - runs
+            inside = np.cumsum(n_windows) - n_windows  # windows before a run, from here on within its stretch
+            inside = inside - np.repeat(inside[begins[sent][runs > 0]], runs[runs > 0])
+            places, of = locate(batch, here, n_runs > 0)
+            doc = np.searchsorted(batch.bounds, places, side="right") - 1
+            r = _part(begins[of], n_runs[of])
+            at, doc = np.repeat(places, n_runs[of]), np.repeat(doc, n_runs[of])
+            gone = least[r] < batch.ids[doc]
+            if not across_documents:
+                gone |= (least[r] == batch.ids[doc]) & (base_[r] < at - batch.bounds[doc])
+            r, at = r[gone], at[gone] + inside[r[gone]]
+            np.add.at(edges, at, 1)
+            np.add.at(edges, at + n_windows[r] + x.length - 1, -1)
         return pa.Table.from_batches([finish(batch, np.cumsum(edges[:-1]) > 0)])
 
     empty = _empty(schema)

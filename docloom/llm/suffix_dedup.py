@@ -5,7 +5,8 @@ share a string of the given length to one shard. A shard sorts their suffixes
 by Larsson-Sadakane refinement (groups of suffixes that are equal so far are
 sorted again by the rank of what follows, which doubles the depth), takes
 Kasai's common prefixes of neighbours, and so finds the groups of suffixes with
-a common prefix of the full length. A shard with more text than one array
+a common prefix of the full length, each with its least place: that alone says
+which bytes go, those of exact copies included. A shard with more text than one array
 should hold makes several, each of stretches next to each other by anchor, and
 merges two that share an anchor by binary search of the prefixes of the one in
 the other.
@@ -13,7 +14,9 @@ the other.
 Defined cases: a null text counts as empty; documents shorter than the length
 lose nothing; rows that share an id are compared as one document whose copies
 start at the same place, so neither is earlier; documents without an id come
-last; an empty table gives no rows. Ids must be integers.
+last; very long texts are one row in one batch, cut nowhere; only the named columns
+are read, so others may have any name; an empty table gives no rows. Ids must be
+integers.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.recurrence import NO_ID, U64, Batch, Exchange, Variants, mix, recurring
+from docloom.llm.recurrence import NO_ID, U64, Batch, Exchange, Variants, mix, places_known, recurring
 
 
 @dataclass(frozen=True)
@@ -71,7 +74,7 @@ def suffix_array(raw: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """(suffixes in order of their first depth bytes, group of each suffix). raw ends with at least 16 zero bytes, which are no part of the text."""
     n = len(raw) - 16
     first = _words_at(raw, n, ">")
-    order = np.argsort(first, kind="stable")
+    order = np.argsort(first)
     new = np.concatenate(([True], first[order[1:]] != first[order[:-1]]))
     begins = np.flatnonzero(new)
     group = np.empty(n + depth, dtype=np.int64)
@@ -87,7 +90,7 @@ def suffix_array(raw: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         step = min(reached, depth - reached)
         members = order[slots]
         key = group[members] * (n + 2) + group[members + step] + 1
-        sorted_ = np.argsort(key, kind="stable")
+        sorted_ = np.argsort(key)
         order[slots] = members[sorted_]
         key = key[sorted_]
         new[slots] = np.concatenate(([True], key[1:] != key[:-1]))
@@ -136,9 +139,9 @@ def common_prefixes(raw: np.ndarray, order: np.ndarray, depth: int, chain: int =
     return lengths[order]
 
 
-def compare_suffixes(depth: int, array_bytes: int, variants: Variants) -> list[np.ndarray]:
-    """For each variant, which of its windows stand earlier in another one."""
-    _, rank = np.unique(variants.doc, return_inverse=True)
+def compare_suffixes(depth: int, array_bytes: int, variants: Variants) -> tuple[np.ndarray, np.ndarray]:
+    """The least places of all windows (see Comparer), from the groups of equal prefixes in suffix arrays."""
+    ids, rank = np.unique(variants.doc, return_inverse=True)
     lengths = np.array([len(t) for t in variants.texts], dtype=np.int64)
     by_anchor = np.argsort(variants.anchor, kind="stable")
     part = np.empty(len(lengths), dtype=np.int64)
@@ -149,7 +152,7 @@ def compare_suffixes(depth: int, array_bytes: int, variants: Variants) -> list[n
     np.minimum.at(low, name, part)
     np.maximum.at(high, name, part)
     shared = (low < high)[name]
-    found, merged = [], []
+    found, merged, reach = [], [], []
     for k in np.unique(part):
         own = np.flatnonzero(part == k)
         raw = np.frombuffer(b"".join(variants.texts[i] for i in own.tolist()) + b"\0" * 16, dtype=np.uint8)
@@ -164,26 +167,32 @@ def compare_suffixes(depth: int, array_bytes: int, variants: Variants) -> list[n
         where = (rank[of] << 40) + variants.start[of] + window
         least = np.full(int(group[-1]) + 1, np.iinfo(np.int64).max)
         np.minimum.at(least, group, where)
-        found.append((of, window, group, where, least))
+        places = np.bincount(group, 1 + variants.several[of]).astype(np.int64)
+        found.append((of, window, group, least, places))
         # the prefixes of the groups that another array may have too, in order
         groups, at = np.unique(group[shared[of]], return_index=True)
-        places = order[shared[of]][at]
-        merged.append((groups, np.frombuffer(np.lib.stride_tricks.sliding_window_view(raw, depth)[places].tobytes(), dtype=f"S{depth}")))
+        starts = order[shared[of]][at]
+        merged.append((groups, np.frombuffer(np.lib.stride_tricks.sliding_window_view(raw, depth)[starts].tobytes(), dtype=f"S{depth}")))
+        reach.append((k, int(high[name[own]].max())))
     for a in range(len(found)):
         for b in range(a + 1, len(found)):
+            if reach[b][0] > reach[a][1]:
+                break
             (groups_a, prefixes_a), (groups_b, prefixes_b) = merged[a], merged[b]
             if not len(groups_a) or not len(groups_b):
                 continue
             at = np.minimum(np.searchsorted(prefixes_a, prefixes_b), len(prefixes_a) - 1)
             both = np.flatnonzero(prefixes_a[at] == prefixes_b)
             in_a, in_b = groups_a[at[both]], groups_b[both]
-            least_a, least_b = found[a][4], found[b][4]
+            least_a, least_b, places_a, places_b = found[a][3], found[b][3], found[a][4], found[b][4]
             least_a[in_a] = least_b[in_b] = np.minimum(least_a[in_a], least_b[in_b])
+            places_a[in_a] = places_b[in_b] = 2  # one in each at least
     begins = np.cumsum(variants.n_windows) - variants.n_windows
-    flat = np.zeros(int(variants.n_windows.sum()), dtype=bool)
-    for variant, window, group, where, least in found:
-        flat[begins[variant] + window] = least[group] < where
-    return [flat[a : a + n] for a, n in zip(begins.tolist(), variants.n_windows.tolist(), strict=True)]
+    doc, start = np.full(int(variants.n_windows.sum()), NO_ID), np.full(int(variants.n_windows.sum()), -1)
+    for of, window, group, least, places in found:
+        at = (begins[of] + window)[twice := places[group] > 1]
+        doc[at], start[at] = ids[least[group][twice] >> 40], least[group][twice] & ((1 << 40) - 1)
+    return doc, start
 
 
 def _finish(batch: Batch, marks: np.ndarray) -> pa.RecordBatch:
@@ -214,7 +223,7 @@ def _texts(batch: Batch, marks: np.ndarray) -> pa.RecordBatch:
 def _run(docs: DataFrame, p: SuffixDedup, finish, schema: str, id_column: str, text_column: str) -> DataFrame:
     if p.exchange.length != p.length:
         raise ValueError("the exchange must have the same length")
-    out = recurring(docs, partial(read_bytes, p.exchange.gram), partial(compare_suffixes, p.length, p.array_bytes), finish, schema, p.exchange, False, id_column, text_column)
+    out = recurring(docs, partial(read_bytes, p.exchange.gram), partial(compare_suffixes, p.length, p.array_bytes), places_known, finish, schema, p.exchange, False, id_column, text_column)
     return out.withColumn("id", F.when(F.col("id") != NO_ID, F.col("id"))).withColumnRenamed("id", id_column)
 
 

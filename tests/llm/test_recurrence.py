@@ -1,4 +1,4 @@
-"""Repeated strings and phrases against brute force, by the usual way and the one for hot anchors."""
+"""Repeated strings and phrases against brute force, with anchors whole and split."""
 
 import hashlib
 import random
@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from docloom.llm import phrase_dedup, suffix_dedup
-from docloom.llm.recurrence import Exchange
+from docloom.llm.recurrence import NO_ID, Exchange
 
 
 def brute_strings(docs, length):
@@ -42,25 +42,40 @@ def brute_phrases(docs, length):
     return out
 
 
-@pytest.mark.parametrize("hot", [0, 3, 512])
-def test_repeated_strings(docs, texts, hot):
-    p = suffix_dedup.SuffixDedup(array_bytes=5000, exchange=Exchange(100, 16, hot_count=hot, batch_bytes=30000, spread=1))
+@pytest.mark.parametrize("split", [0, 3, 512])
+def test_repeated_strings(docs, texts, split):
+    p = suffix_dedup.SuffixDedup(array_bytes=5000, exchange=Exchange(100, 16, split_count=split, batch_bytes=30000, shard_bytes=50000, spread=1))
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.repeated_strings(docs, p).collect()}
     assert got == brute_strings(texts, 100)
 
 
-@pytest.mark.parametrize("hot", [0, 3, 512])
-def test_repeated_phrases(docs, texts, hot):
-    p = phrase_dedup.PhraseDedup(automaton_phrases=50, exchange=Exchange(13, 4, hot_count=hot, batch_bytes=30000, spread=1))
+@pytest.mark.parametrize("split", [0, 3, 512])
+def test_repeated_phrases(docs, texts, split):
+    p = phrase_dedup.PhraseDedup(automaton_words=400, exchange=Exchange(13, 4, split_count=split, batch_bytes=30000, shard_bytes=50000, spread=1))
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in phrase_dedup.repeated_phrases(docs, p).collect()}
     assert got == brute_phrases(texts, 13)
 
 
+def test_only_the_methods_remove(docs, texts, monkeypatch):
+    """Without what the suffix arrays or the automata find, nothing goes, exact copies included."""
+    nothing = lambda depth, *more: (np.full(int(more[-1].n_windows.sum()), NO_ID), np.full(int(more[-1].n_windows.sum()), -1))
+    monkeypatch.setattr(suffix_dedup, "compare_suffixes", nothing)
+    assert {r.n_removed for r in suffix_dedup.repeated_strings(docs).collect()} == {0}
+    monkeypatch.setattr(phrase_dedup, "locate_passages", lambda *x: (np.empty(0, np.int64), np.empty(0, np.int64)))
+    assert {r.n_removed for r in phrase_dedup.repeated_phrases(docs).collect()} == {0}
+    monkeypatch.undo()
+    monkeypatch.setattr(phrase_dedup, "compare_phrases", nothing)
+    assert {r.n_removed for r in phrase_dedup.repeated_phrases(docs).collect()} == {0}
+
+
 def test_texts_without_repeats(spark):
     rng = random.Random(1)
     words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60)]
-    rows = [(2, " ".join(words)), (5, "x " + " ".join(words[10:40]) + " y"), (None, " ".join(words)), (9, "")]
+    alone = "z" + "".join(rng.choice("abcdefgh ") for _ in range(250))
+    rows = [(2, " ".join(words)), (5, "x " + " ".join(words[10:40]) + " y"), (None, " ".join(words)), (9, ""), (None, f"{alone} {alone[:150]}")]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.text for r in suffix_dedup.without_repeated_strings(frame).collect() if r.doc_id is None} == {"", f"{alone} "}
+    frame = frame.where("text not like 'z%'")
     got = {r.doc_id: r.text for r in phrase_dedup.without_repeated_phrases(frame).collect()}
     assert got == {2: rows[0][1], 5: "x y", None: "", 9: ""}
     got = {r.doc_id: r.text for r in suffix_dedup.without_repeated_strings(frame).collect()}
