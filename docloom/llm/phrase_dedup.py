@@ -4,8 +4,9 @@ The exchange in docloom.llm.recurrence brings the passages that could share a
 phrase of the given number of words to one shard. A shard confirms the phrases
 that recur, word by word, and names the first document of each. The confirmed
 passages go back to the batches of documents that have them, where they are
-compiled into Aho-Corasick automata of bounded size (pyahocorasick, over word
-numbers), sharded as the documents are. All documents stream through the automata
+joined where they follow each other, and compiled into Aho-Corasick automata of
+bounded size (pyahocorasick, over word numbers), sharded as the documents are. All
+documents stream through the automata
 of their batch, whole; what they locate is what goes.
 
 Defined cases: a null text has no words; documents with fewer words than a
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.recurrence import NO_ID, U64, Batch, Exchange, Found, Variants, _ramp, mix, recurring
+from docloom.llm.recurrence import NO_ID, U64, Batch, Exchange, Found, Variants, _part, _ramp, mix, recurring
 
 
 @dataclass(frozen=True)
@@ -48,9 +49,9 @@ def read_words(gram: int, ids: np.ndarray, texts: list[bytes]) -> Batch:
         own = text.split()
         words += own
         counts.append(len(own))
-    known: dict[bytes, int] = {}
-    numbers = np.fromiter((known.setdefault(w, len(known)) for w in words), dtype=np.int64, count=len(words))
-    names = np.array([xxh3_64_intdigest(w) for w in known], dtype=U64)
+    coded = pa.array(words, pa.binary()).dictionary_encode()
+    numbers = coded.indices.to_numpy().astype(np.int64)
+    names = np.array([xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()], dtype=U64)
     hashes = names[numbers] if len(words) else np.empty(0, dtype=U64)
     grams = np.zeros(len(words), dtype=U64)
     m = max(len(words) - gram + 1, 0)
@@ -80,27 +81,50 @@ def compare_phrases(length: int, variants: Variants) -> tuple[np.ndarray, np.nda
     return least, np.where(least == NO_ID, -1, _ramp(variants.n_windows))
 
 
+def _chains(found: Found, wanted: np.ndarray, mean: int = 16) -> list[tuple[int, tuple[int, ...]]]:
+    """(first word, stretches) of each distinct run of wanted stretches that follow each other. A run also ends where a stretch's name says so, so that runs of copies end alike."""
+    keep = wanted[found.of]
+    follows = np.zeros(len(keep), dtype=bool)
+    follows[1:] = keep[1:] & keep[:-1] & (found.places[1:] == found.places[:-1] + found.counts[found.of[:-1]]) & (found.names[found.of[:-1]] % U64(mean) != 0)
+    heads = np.flatnonzero(keep & ~follows)
+    # a run goes on to the next place that does not follow
+    breaks = np.append(np.flatnonzero(~follows), len(keep))
+    stops = breaks[np.searchsorted(breaks, heads, side="right")]
+    of, known = found.of.tolist(), {}
+    for a, b, at in zip(heads.tolist(), stops.tolist(), found.places[heads].tolist(), strict=True):
+        known.setdefault(tuple(of[a:b]), at)
+    return [(at, members) for members, at in known.items()]
+
+
 def locate_passages(most: int, length: int, batch: Batch, found: Found, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where the wanted passages stand in the documents of a batch, by automata of about so many words each."""
     import ahocorasick
 
-    places, of = [], []
     words = batch.numbers.tolist()
     documents = [(a, tuple(words[a:b])) for a, b in zip(batch.bounds[:-1].tolist(), batch.bounds[1:].tolist(), strict=True) if b - a >= length]
-    keys = np.flatnonzero(wanted)
-    sizes = found.counts[keys] + length - 1
+    passages = _chains(found, wanted)
+    members = np.array([k for _, own in passages for k in own], dtype=np.int64)
+    n_members = np.array([len(own) for _, own in passages], dtype=np.int64)
+    begins = np.cumsum(n_members) - n_members
+    offsets = np.cumsum(found.counts[members]) - found.counts[members]
+    offsets -= np.repeat(offsets[begins], n_members)
+    sizes = np.add.reduceat(found.counts[members], begins) + length - 1 if len(passages) else n_members
     shards = (np.cumsum(sizes) - sizes) // most
+    starts, hits = [], []
     for shard in np.unique(shards):
-        own = keys[shards == shard]
+        own = np.flatnonzero(shards == shard).tolist()
         automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for k, a, n in zip(own.tolist(), found.firsts[own].tolist(), sizes[shards == shard].tolist(), strict=True):
-            automaton.add_word(tuple(words[a : a + n]), (k, n - 1))
+        for k in own:
+            at, n = passages[k][0], int(sizes[k])
+            automaton.add_word(tuple(words[at : at + n]), (k, n - 1))
         automaton.make_automaton()
         for begin, document in documents:
             for end, (k, back) in automaton.iter(document):
-                places.append(begin + end - back)
-                of.append(k)
-    return np.array(places, dtype=np.int64), np.array(of, dtype=np.int64)
+                starts.append(begin + end - back)
+                hits.append(k)
+    hit = np.array(hits, dtype=np.int64)
+    part = _part(begins[hit], n_members[hit])
+    return np.repeat(np.array(starts, dtype=np.int64), n_members[hit]) + offsets[part], members[part]
 
 
 def _kept(batch: Batch, marks: np.ndarray) -> list[list[bytes]]:

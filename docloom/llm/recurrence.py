@@ -49,13 +49,13 @@ _PLACE = U64((1 << _PLACE_BITS) - 1)
 
 @dataclass(frozen=True)
 class Exchange:
-    """length, gram: of windows and anchors, in units. An anchor with more than split_count stretches (equal ones in a batch count once) is split. Batches and shards are as many as the text has batch_bytes and shard_bytes, and at least spread times and once the shuffle partitions. text_bytes: of all texts, which are measured in a pass of their own where it is None."""
+    """length, gram: of windows and anchors, in units. An anchor with more than split_count stretches (equal ones in a batch count once) is split. Batches and shards are as many as the text has batch_bytes and shard_bytes, and at least spread times (shards: once) the shuffle partitions. text_bytes: of all texts, which are measured in a pass of their own where it is None."""
 
     length: int
     gram: int
     split_count: int = 2000
     batch_bytes: int = 4 << 20
-    shard_bytes: int = 16 << 20
+    shard_bytes: int = 8 << 20
     spread: int = 2
     text_bytes: int | None = None
 
@@ -155,10 +155,11 @@ Comparer = Callable[[Variants], tuple[np.ndarray, np.ndarray]]
 
 @dataclass
 class Found:
-    """Distinct stretches of a batch (first unit, number of windows), and all their places in it: the first unit and the stretch of each."""
+    """Distinct stretches of a batch (first unit, number of windows, name), and all their places in it, in order: the first unit and the stretch of each."""
 
     firsts: np.ndarray
     counts: np.ndarray
+    names: np.ndarray
     places: np.ndarray
     of: np.ndarray
 
@@ -260,7 +261,10 @@ def recurring(docs: DataFrame, read: Reader, compare: Comparer, locate: Locator,
     spark, x = docs.sparkSession, exchange
     base = docs.select(F.col(id_column).cast("long").alias("id"), text_of(text_column).alias("text"))
     total = x.text_bytes if x.text_bytes is not None else base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_batches, n_shards = max(x.spread * shuffle_width(spark), -(-total // x.batch_bytes)), max(shuffle_width(spark), -(-total // x.shard_bytes))
+    width = shuffle_width(spark)
+    n_batches = max(x.spread * width, -(-total // x.batch_bytes))
+    # more shards than tasks even them out, as long as that makes few rows
+    n_shards = max(width, -(-total // x.shard_bytes), min(4 * width, (1 << 14) // n_batches))
     # documents without an id come after all others, in batches by their text
     dealt = base.withColumn("batch", F.pmod(F.when(F.col("id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("id")), F.lit(n_batches)).cast("long")).withColumn("id", F.coalesce("id", F.lit(NO_ID)))
     grouped = dealt.groupBy("batch")
@@ -318,8 +322,8 @@ def recurring(docs: DataFrame, read: Reader, compare: Comparer, locate: Locator,
 
     replies = asked.groupBy("shard").applyInArrow(recur, "batch long, keys binary, split binary")
 
-    def entries(batch: Batch, reply: pa.Table) -> tuple[Found, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The distinct stretches with recurring anchors (those of anchors to be split as single windows); their names, anchors, documents and whether they have a second place here."""
+    def entries(batch: Batch, reply: pa.Table) -> tuple[Found, np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct stretches with recurring anchors (those of anchors to be split as single windows); their anchors, documents and whether they have a second place here."""
         keys, split = _joined(reply, "keys", U64), _joined(reply, "split", np.uint8)
         order = np.argsort(keys)
         keys, split = keys[order], split[order]
@@ -340,7 +344,7 @@ def recurring(docs: DataFrame, read: Reader, compare: Comparer, locate: Locator,
             firsts, counts, anchors, doc, names = firsts[of] + np.where(single, _ramp(n), 0), np.where(single, 1, counts[of]), anchors[of], doc[of], names[of]
             anchors[single], names[single] = high[of_window], low[of_window]
         _, once, of = np.unique(names, return_index=True, return_inverse=True)  # the first of each, as stretches are in order
-        return Found(firsts[once], counts[once], firsts, of), names[once], anchors[once], doc[once], elsewhere(of, len(once), doc)
+        return Found(firsts[once], counts[once], names[once], firsts, of), anchors[once], doc[once], elsewhere(of, len(once), doc)
 
     fields = [("shard", pa.int64()), ("batch", pa.int64()), *((c, pa.binary()) for c in ("names", "anchors", "docs", "starts", "windows", "several", "lengths", "texts"))]
 
@@ -350,11 +354,11 @@ def recurring(docs: DataFrame, read: Reader, compare: Comparer, locate: Locator,
         if left.num_rows and right.num_rows:
             number = left.column("batch")[0].as_py()
             batch = _batches(left, read)
-            here, names, anchors, doc, several = entries(batch, right)
+            here, anchors, doc, several = entries(batch, right)
             for shard, p in _split(_shards(anchors, n_shards)):
                 texts = [batch.text(f, n + x.length - 1) for f, n in zip(here.firsts[p].tolist(), here.counts[p].tolist(), strict=True)]
                 lengths = np.array([len(t) for t in texts], dtype=np.int32)
-                rows.append((shard, number, *_pack(names[p], anchors[p], batch.ids[doc[p]], here.firsts[p] - batch.bounds[doc[p]], here.counts[p].astype(np.int32), several[p].astype(np.uint8), lengths), pa.compress(b"".join(texts), codec="zstd", asbytes=True)))
+                rows.append((shard, number, *_pack(here.names[p], anchors[p], batch.ids[doc[p]], here.firsts[p] - batch.bounds[doc[p]], here.counts[p].astype(np.int32), several[p].astype(np.uint8), lengths), pa.compress(b"".join(texts), codec="zstd", asbytes=True)))
         columns = list(zip(*rows, strict=True)) if rows else [[] for _ in fields]
         return pa.table({n: pa.array(c, t) for c, (n, t) in zip(columns, fields, strict=True)})
 
@@ -402,7 +406,7 @@ def recurring(docs: DataFrame, read: Reader, compare: Comparer, locate: Locator,
         edges = np.zeros(int(batch.bounds[-1]) + 1, dtype=np.int32)
         early = right.column("shard").is_null()
         if right.num_rows:
-            here, _, anchors, _, _ = entries(batch, right.filter(early).select(["a", "b"]).rename_columns(["keys", "split"]))
+            here, anchors, _, _ = entries(batch, right.filter(early).select(["a", "b"]).rename_columns(["keys", "split"]))
             judged_here = right.filter(pa.compute.invert(early)).sort_by("shard")
             sent = np.concatenate([p for _, p in _split(_shards(anchors, n_shards))])  # the order in which tell() sent them
             runs, n_windows, least, base_ = (_joined(judged_here, c, t) for c, t in (("a", np.int32), ("b", np.int32), ("c", np.int64), ("d", np.int64)))
@@ -410,7 +414,12 @@ def recurring(docs: DataFrame, read: Reader, compare: Comparer, locate: Locator,
             n_runs[sent], begins[sent] = runs, np.cumsum(runs) - runs
             inside = np.cumsum(n_windows) - n_windows  # windows before a run, from here on within its stretch
             inside = inside - np.repeat(inside[begins[sent][runs > 0]], runs[runs > 0])
-            places, of = locate(batch, here, n_runs > 0)
+            # of use is what has a place in a document that is not before the least one
+            last = np.zeros(len(sent), dtype=np.int64)
+            np.maximum.at(last, here.of, batch.ids[np.searchsorted(batch.bounds, here.places, side="right") - 1])
+            wanted, entry = np.zeros(len(sent), dtype=bool), np.repeat(sent, runs)
+            wanted[entry[least <= last[entry] - across_documents]] = True
+            places, of = locate(batch, here, wanted)
             doc = np.searchsorted(batch.bounds, places, side="right") - 1
             r = _part(begins[of], n_runs[of])
             at, doc = np.repeat(places, n_runs[of]), np.repeat(doc, n_runs[of])

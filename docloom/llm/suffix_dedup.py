@@ -114,9 +114,8 @@ def common_prefixes(raw: np.ndarray, order: np.ndarray, depth: int, chain: int =
     lengths = np.zeros(n, dtype=np.int64)
     todo = np.flatnonzero(head)
     while len(todo):
-        heads = np.flatnonzero(head)
-        sizes = np.diff(np.append(heads, n))
-        wanted = sizes[np.searchsorted(heads, todo)] + depth
+        sizes = np.diff(np.append(np.flatnonzero(head), n))
+        wanted = sizes[np.cumsum(head)[todo] - 1] + depth
         common = np.zeros(len(todo), dtype=np.int64)
         live = np.flatnonzero(before[todo] >= 0)
         at = 0
@@ -158,9 +157,8 @@ def compare_suffixes(depth: int, array_bytes: int, variants: Variants) -> tuple[
         raw = np.frombuffer(b"".join(variants.texts[i] for i in own.tolist()) + b"\0" * 16, dtype=np.uint8)
         order, _ = suffix_array(raw, depth)
         common = common_prefixes(raw, order, depth)
-        ends = np.cumsum(lengths[own])
-        of = np.searchsorted(ends, order, side="right")
-        window = order - (ends - lengths[own])[of]
+        of = np.repeat(np.arange(len(own)), lengths[own])[order]
+        window = order - (np.cumsum(lengths[own]) - lengths[own])[of]
         fits = window < variants.n_windows[own][of]
         group = np.cumsum(common < depth) - 1
         order, of, window, group = order[fits], own[of[fits]], window[fits], group[fits]
