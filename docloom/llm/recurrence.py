@@ -264,7 +264,7 @@ def recurring(docs: DataFrame, read: Reader, compare: Comparer, locate: Locator,
     width = shuffle_width(spark)
     n_batches = max(x.spread * width, -(-total // x.batch_bytes))
     # more shards than tasks even them out, as long as that makes few rows
-    n_shards = max(width, -(-total // x.shard_bytes), min(4 * width, (1 << 14) // n_batches))
+    n_shards = max(width, -(-total // x.shard_bytes), min(4 * width, (1 << 16) // n_batches))
     # documents without an id come after all others, in batches by their text
     dealt = base.withColumn("batch", F.pmod(F.when(F.col("id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("id")), F.lit(n_batches)).cast("long")).withColumn("id", F.coalesce("id", F.lit(NO_ID)))
     grouped = dealt.groupBy("batch")

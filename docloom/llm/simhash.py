@@ -10,16 +10,23 @@ their number in pairs. For those fingerprints links come from another exact
 rule: x and y differ in at most two bits if, and only if, some z differs from
 each in at most one. Each such fingerprint is sent to the 65 values around it,
 and those that meet at a z (65 at most) are linked to the smallest among them.
+Where links are to differ in one bit at most, z must be one of them.
+
+similar_documents() goes further, to documents that share a given part of their
+shingles, whose fingerprints may differ in more bits than blocks can find. There,
+links from blocks and links from bands of minimum hashes are candidates alike, and
+each is verified on the sets of shingles.
 
 Defined cases: null and empty texts have fingerprint zero, which links like any
 other; a text shorter than a shingle is one shingle; repeated rows get a row
-each; an empty table gives no rows. Ids must be integers.
+each; very long texts are taken whole; only the named columns are read, so others
+may have any name; an empty table gives no rows. Ids must be integers.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from itertools import combinations
 
 import numpy as np
@@ -41,19 +48,24 @@ class SimHash:
     hot_bucket: int = 48
 
 
-def fingerprint(text: str, shingle: int) -> int:
+def shingle_hashes(text: str, shingle: int) -> np.ndarray:
+    """Hashes of the shingles of a text, repeats included; none without words, one where there are fewer words than a shingle has."""
     from xxhash import xxh64_intdigest
 
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.empty(0, dtype="<u8")
     joined = b" ".join(words)
     if len(words) <= shingle:
-        return xxh64_intdigest(joined, 42)
+        return np.array([xxh64_intdigest(joined, 42)], dtype="<u8")
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
     starts = np.concatenate(([0], ends[:-1]))
     spans = zip(starts[: len(words) - shingle + 1].tolist(), (ends[shingle - 1 :] - 1).tolist(), strict=True)
-    hashes = np.array([xxh64_intdigest(joined[a:b], 42) for a, b in spans], dtype="<u8")
+    return np.array([xxh64_intdigest(joined[a:b], 42) for a, b in spans], dtype="<u8")
+
+
+def fingerprint(hashes: np.ndarray) -> int:
+    """A bit is 1 if it is set in over half the hashes; zero without hashes."""
     ones = np.zeros(64, dtype=np.int64)
     for i in range(0, len(hashes), 1 << 14):
         ones += np.unpackbits(hashes[i : i + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -65,7 +77,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_column: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
+            fps = np.array([fingerprint(shingle_hashes(t, shingle)) for t in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["key", "fp"])
 
     kind = docs.schema[id_column].dataType.simpleString()
@@ -98,7 +110,7 @@ def near_links(fps: DataFrame, p: SimHash) -> DataFrame:
     met = hot.groupBy("z").agg(F.min("fp").alias("a"), F.collect_list("fp").alias("all")).where(F.size("all") > 1)
     stars = met.select("a", F.explode("all").alias("b")).where(F.col("a") != F.col("b"))
     if p.max_distance < 2:
-        stars = stars.where(far)
+        stars = hot.join(fps.select(F.col("fp").alias("z")), "z").where(F.col("fp") < F.col("z")).select(F.col("fp").alias("a"), F.col("z").alias("b")).where(far)
     return pairs.unionByName(stars).distinct()
 
 
@@ -114,7 +126,99 @@ def near_duplicates(docs: DataFrame, p: SimHash | None = None, id_column: str =
     return found.join(named, found["fp"] == named["of"]).select(id_column, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, p: SimHash | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One document of each group: that with the smallest id. Documents without an id stay; of rows that share an id, all stay or all go."""
-    losers = near_duplicates(docs.where(F.col(id_column).isNotNull()), p, id_column, text_column).where(F.col(id_column) != F.col("component_id")).select(F.col(id_column).alias("losing id")).distinct()
+@dataclass(frozen=True)
+class Similarity:
+    """shingle: words in a shingle; least: of the shingles of two documents, the share that both have (Jaccard's); bands of so many rows of minimum hashes; buckets of more than pair_bucket documents give a link to their first one, smaller ones all pairs."""
+
+    shingle: int = 5
+    least: float = 0.8
+    bands: int = 20
+    rows: int = 6
+    pair_bucket: int = 8
+    blocks: SimHash = field(default_factory=lambda: SimHash(shingle=5))
+
+
+def band_keys(hashes: np.ndarray, bands: int, rows: int) -> list[int]:
+    """A key for each band, from the minimum hash in each of bands * rows bins; an empty bin borrows from the next one that is not."""
+    from xxhash import xxh64_intdigest
+
+    n = bands * rows
+    least = np.full(n, np.iinfo(np.uint64).max, dtype=np.uint64)
+    np.minimum.at(least, (hashes % np.uint64(n)).astype(np.int64), hashes)
+    full = np.flatnonzero(np.bincount((hashes % np.uint64(n)).astype(np.int64), minlength=n))
+    empty = np.setdiff1d(np.arange(n), full)
+    lender = full[np.searchsorted(full, empty) % len(full)]
+    least[empty] = least[lender] + ((lender - empty) % n).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return [xxh64_intdigest(least[i * rows : (i + 1) * rows].tobytes(), i) - (1 << 63) for i in range(bands)]
+
+
+def profiles(docs: DataFrame, p: Similarity, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(key, fp, same, bag, bands): the fingerprint, a name of the set of shingles, the set as 32-bit hashes, and its band keys; an empty set has none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        for batch in batches:
+            rows: list[tuple] = []
+            for text in batch.column(1).to_pylist():
+                hashes = shingle_hashes(text, p.shingle)
+                distinct = np.unique(hashes)
+                bag = np.unique((distinct >> np.uint64(32)).astype(np.uint32)).view(np.int32)
+                fp = np.array(fingerprint(hashes), dtype=np.uint64).view(np.int64).item()
+                rows.append((fp, xxh64_intdigest(distinct.tobytes()) - (1 << 63), bag, band_keys(distinct, p.bands, p.rows) if len(distinct) else []))
+            columns = list(zip(*rows, strict=True)) if rows else [[] for _ in range(4)]
+            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["key", "fp", "same", "bag", "bands"])
+
+    return docs.select(F.col(id_column).cast("long").alias("key"), text_of(text_column).alias("text")).mapInArrow(run, "key long, fp long, same long, bag array<int>, bands array<long>")
+
+
+def similar_documents(docs: DataFrame, p: Similarity | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(id, component_id): component_id is the smallest id that is reached by links between documents of at least the given similarity. Rows with a null id are left out."""
+    p = p or Similarity()
+    found = materialise(profiles(docs.where(F.col(id_column).isNotNull()), p, id_column, text_column), "profiles")
+    # one document of those with the same set stands for all
+    first = materialise(found.groupBy("same", "fp").agg(F.min("key").alias("first")), "firsts")
+    ones = materialise(found.join(first, ["same", "fp"]).where(F.col("key") == F.col("first")).select("key", "fp", "bag", "bands").dropDuplicates(["key", "fp"]), "ones")
+    size = F.size("bag").alias("n")
+    keys = ones.select("key", size, F.posexplode("bands").alias("band", "bucket"))
+    shared = materialise(keys.groupBy("band", "bucket").agg(F.count("*").alias("members"), F.min(F.struct("key", "n")).alias("first")).where(F.col("members") > 1), "buckets")
+    members = materialise(keys.join(shared, ["band", "bucket"]), "members")
+    few = members.where(F.col("members") <= p.pair_bucket)
+    left, right = (few.select("band", "bucket", F.col("key").alias(c), F.col("n").alias(f"n_{c}")) for c in "ab")
+    stars = members.where(F.col("members") > p.pair_bucket).select(F.col("first.key").alias("a"), F.col("first.n").alias("n_a"), F.col("key").alias("b"), F.col("n").alias("n_b"))
+    # fingerprints at a small distance, and documents with the same one
+    of_fp = materialise(ones.groupBy("fp").agg(F.min(F.struct("key", size)).alias("lead")), "leads")
+    near = near_links(of_fp.select("fp"), p.blocks)
+    lead = lambda fp, c: of_fp.select(F.col("fp").alias(fp), F.col("lead.key").alias(c), F.col("lead.n").alias(f"n_{c}"))
+    near = near.select(F.col("a").alias("fa"), F.col("b").alias("fb")).join(lead("fa", "a"), "fa").join(lead("fb", "b"), "fb")
+    same_fp = ones.select("fp", F.col("key").alias("b"), F.size("bag").alias("n_b")).join(lead("fp", "a"), "fp")
+    pairs = left.join(right, ["band", "bucket"])
+    for more in (stars, near, same_fp):
+        pairs = pairs.select("a", "n_a", "b", "n_b").unionByName(more.select("a", "n_a", "b", "n_b"))
+    # sets of too different sizes can't be similar
+    pairs = pairs.where((F.col("a") != F.col("b")) & (F.least("n_a", "n_b") >= p.least * F.greatest("n_a", "n_b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = materialise(pairs, "candidates")
+    bags = [ones.select(F.col("key").alias(c), F.col("bag").alias(f"bag_{c}")) for c in "ab"]
+    both = F.size(F.array_intersect("bag_a", "bag_b"))
+    similar = both >= p.least * (F.size("bag_a") + F.size("bag_b") - both)
+    links = materialise(pairs.join(bags[0], "a").join(bags[1], "b").where(similar).select("a", "b"), "similar")
+    groups = connected_components(links)
+    named = first.join(groups, first["first"] == groups["node"], "left").select(F.col("same").alias("of_same"), F.col("fp").alias("of_fp"), F.coalesce("component", "first").alias("component_id"))
+    named = materialise(named, "named")
+    return found.join(named, (found["same"] == named["of_same"]) & (found["fp"] == named["of_fp"])).select(F.col("key").alias(id_column), "component_id")
+
+
+def _without_losers(docs: DataFrame, grouped: DataFrame, id_column: str) -> DataFrame:
+    losers = grouped.where(F.col(id_column) != F.col("component_id")).select(F.col(id_column).alias("losing id")).distinct()
     return docs.join(losers, docs[id_column] == losers["losing id"], "left_anti")
+
+
+def drop_near_duplicates(docs: DataFrame, p: SimHash | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One document of each group of linked fingerprints: that with the smallest id. Documents without an id stay; of rows that share an id, all stay or all go."""
+    return _without_losers(docs, near_duplicates(docs.where(F.col(id_column).isNotNull()), p, id_column, text_column), id_column)
+
+
+def drop_similar(docs: DataFrame, p: Similarity | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One document of each group of similar ones: that with the smallest id. Documents without an id stay; of rows that share an id, all stay or all go."""
+    return _without_losers(docs, similar_documents(docs, p, id_column, text_column), id_column)

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from test_native_operators import brute_overlaps
 from test_recurrence import brute_phrases, brute_strings
-from test_text_operators import brute_base, brute_components, brute_fingerprint, reference_ids
+from test_text_operators import brute_base, brute_components, brute_fingerprint, brute_similar, reference_ids
 
 import corpus_pipeline
 from docloom.llm import credentials, decontaminate, fertility, queries
@@ -93,7 +93,7 @@ def test_pipeline(spark, rows):
     docs = dict(rows)
     kept = {r.doc_id for r in fertility.quality(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.kept}
     docs = {d: t for d, t in docs.items() if d in kept}
-    part = brute_components({d: brute_fingerprint(t) for d, t in docs.items()})
+    part = brute_similar(docs.items())
     docs = {d: t for d, t in docs.items() if part[d] == d}
     leaks = {d for d, _ in brute_overlaps(list(docs.items()), items, decontaminate.Seeds())}
     docs = {d: t for d, t in docs.items() if d not in leaks}

@@ -185,7 +185,7 @@ def brute_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def brute_components(fps):
+def brute_components(fps, distance=2):
     ids, part = sorted(fps), {i: i for i in fps}
 
     def root(i):
@@ -195,7 +195,7 @@ def brute_components(fps):
 
     for k, a in enumerate(ids):
         for b in ids[k + 1 :]:
-            if (fps[a] ^ fps[b]).bit_count() <= 2 and root(a) != root(b):
+            if (fps[a] ^ fps[b]).bit_count() <= distance and root(a) != root(b):
                 part[max(root(a), root(b))] = min(root(a), root(b))
     return {i: root(i) for i in ids}
 
@@ -207,8 +207,9 @@ def test_simhash(docs, texts):
     assert {i: r.component_id for i, r in got.items()} == brute_components(fps)
 
 
+@pytest.mark.parametrize("distance", [0, 1, 2])
 @pytest.mark.parametrize("hot", [0, 4, 1000])
-def test_simhash_links_reach_all(spark, hot):
+def test_simhash_links_reach_all(spark, hot, distance):
     """A dense cloud of fingerprints, a long chain, and strangers, by pairs and by stars alike."""
     import random
 
@@ -221,13 +222,13 @@ def test_simhash_links_reach_all(spark, hot):
     for i in range(40):
         x ^= 3 << (i % 62)
         values.add(x)
-    values |= {rng.getrandbits(64) for _ in range(50)} | {0, (1 << 64) - 1, 1 << 63}
+    values |= {centre ^ 1 << rng.randrange(64) for _ in range(30)} | {rng.getrandbits(64) for _ in range(50)} | {0, (1 << 64) - 1, 1 << 63}
     signed = {v: v - (1 << 64) if v >> 63 else v for v in values}
     frame = spark.createDataFrame([(s,) for s in signed.values()], "fp long")
-    links = simhash.near_links(frame, simhash.SimHash(hot_bucket=hot))
+    links = simhash.near_links(frame, simhash.SimHash(hot_bucket=hot, max_distance=distance))
     of = {r.node: r.component for r in connected_components(links).collect()}
     by = {s: v for v, s in signed.items()}
-    want = brute_components({s: by[s] for s in signed.values()})
+    want = brute_components({s: by[s] for s in signed.values()}, distance)
     assert {s: of.get(s, s) for s in signed.values()} == want
 
 
@@ -236,3 +237,46 @@ def test_drop_near_duplicates(docs, texts):
     assert kept.columns == docs.columns
     part = brute_components({i: brute_fingerprint(t) for i, t in texts})
     assert {r.doc_id for r in kept.collect()} == set(part.values())
+
+
+def brute_similar(rows, least=0.8):
+    """Components of documents of which so large a share of 5-word shingles agrees, from all pairs."""
+    bags = {}
+    for i, t in rows:
+        words = re.findall(WORD, "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        bags[i] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+    ids, part = sorted(bags), {i: i for i in bags}
+
+    def root(i):
+        while part[i] != i:
+            i = part[i]
+        return i
+
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            x, y = bags[a], bags[b]
+            if x == y or (min(len(x), len(y)) >= least * max(len(x), len(y)) and len(x & y) >= least * len(x | y)):
+                part[max(root(a), root(b))] = min(root(a), root(b))
+    return {i: root(i) for i in ids}
+
+
+@pytest.mark.parametrize("pair_bucket", [0, 8])
+def test_similar_documents(spark, docs, texts, pair_bucket):
+    import random
+
+    rng, more = random.Random(8), []
+    for group in range(30):  # copies with some words changed, of short and long texts
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([15, 60, 300, 900]))]
+        for copy in range(4):
+            own = [w if rng.random() > 0.01 * copy else "x" for w in words]
+            more.append((1000 + 10 * group + copy, " ".join(own)))
+    rows = [*texts, *more]
+    want = brute_similar(rows)
+    p = simhash.Similarity(pair_bucket=pair_bucket)
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), p).collect()}
+    assert set(got) == set(want)
+    linked = [i for i in want if want[i] != i]
+    assert len(linked) > 60 and sum(got[i] == want[i] for i in linked) >= 0.97 * len(linked)
+    assert all(want[i] == want[c] for i, c in got.items())  # no link that is none
+    assert simhash.drop_similar(docs).columns == docs.columns
+    assert simhash.similar_documents(docs.where("doc_id < 0")).count() == 0
