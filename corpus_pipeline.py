@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again as the next stage's docs.
+
+Defined cases: null and empty texts, and texts of under twenty words, fail the
+quality rules; documents without an id are never near-duplicates and stay until they
+are packed; of rows that share an id, all stay or all go in near-duplicates and
+decontamination; very long texts are taken whole; columns other than doc_id, text, lang
+and n_chars pass through, whatever their names; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -15,7 +21,7 @@ from docloom.llm.credentials import redact_secrets
 from docloom.llm.decontaminate import decontaminate
 from docloom.llm.fertility import keep_quality
 from docloom.llm.harmonic import pack
-from docloom.llm.simhash import drop_near_duplicates
+from docloom.llm.simhash import drop_similar
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,8 +30,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
-    return drop_near_duplicates(docs)
+    """One document of each group of near-duplicates (five-word shingles, of which 0.8 agree) stays."""
+    return drop_similar(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
