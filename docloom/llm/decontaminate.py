@@ -9,7 +9,7 @@ compared, and a window of enough equal words at the same offset is an overlap.
 
 Document hashes reach the join only if they pass a Bloom filter of the
 benchmark's hashes. The filter is an array whose size follows the number of
-hashes up to a ceiling (most_filter_bits), and is the only thing that is sent to
+hashes up to a ceiling, and is the only thing that is sent to
 all executors; the join itself is left to the planner, which may split hot hashes.
 
 Defined cases: texts are lower-cased and words are runs of letters and digits; null and
@@ -21,8 +21,7 @@ so others may have any name; empty tables give no rows.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from functools import reduce
+from dataclasses import dataclass, field
 from itertools import combinations
 from math import ceil
 
@@ -30,12 +29,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.common import materialise
+from docloom.llm.filters import Filter, bloom, passes
 
 
 @dataclass(frozen=True)
 class Seeds:
     """masks: for the shortest items; longer: (least words of an item, its masks), ascending, the last that fits an item holds. Masks begin and end with a one.
-    The filter has 16 bits for each hash, filter_bits at least and most_filter_bits at most (powers of two).
     An overlap is a window of so many words (or the whole item, if it is shorter) with a share of equal ones. Other windows or shares need other masks."""
 
     masks: tuple[str, ...] = ("1",)
@@ -45,9 +44,7 @@ class Seeds:
     )
     window: int = 16
     share: float = 0.8
-    filter_bits: int = 1 << 21
-    most_filter_bits: int = 1 << 25
-    probes: int = 2
+    filter: Filter = field(default_factory=Filter)
 
     @property
     def span(self) -> int:
@@ -85,11 +82,6 @@ def _around(words: Column, at: Column, seeds: Seeds) -> Column:
     return F.array(*(F.get(words, F.when(at + j >= 0, at + j)) if j < 0 else F.get(words, at + j) for j in range(-reach, reach + 1)))
 
 
-def _bits(h: Column, n_bits: Column, seeds: Seeds) -> list[Column]:
-    """The places of a hash in the filter."""
-    return [F.shiftright(h, 24 * i).bitwiseAND(n_bits - 1) for i in range(seeds.probes)]
-
-
 def item_seeds(items: DataFrame, seeds: Seeds, id_column: str = "item_id", text_column: str = "text") -> DataFrame:
     """(hash, mask, item, item_words, item_near) for each seed of each item."""
     words = items.select(F.col(id_column).alias("item"), words_of(F.col(text_column)).alias("words")).select("*", F.size("words").alias("item_words"))
@@ -103,36 +95,18 @@ def item_seeds(items: DataFrame, seeds: Seeds, id_column: str = "item_id", text_
     return found.select("item", "item_words", "item_near", "seed.mask", "seed.hash")
 
 
-def bloom(hashes: DataFrame, seeds: Seeds) -> DataFrame:
-    """One row: the filter of the hashes as an array of 64-bit words."""
-    wanted = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.count("*") * 16, F.lit(1))))).cast("long")
-    sized = hashes.agg(F.least(F.greatest(wanted, F.lit(seeds.filter_bits)), F.lit(seeds.most_filter_bits)).alias("n_bits"))
-    n_bits = sized.scalar()
-    bits = hashes.select(F.explode(F.array(*_bits(F.col("hash"), n_bits, seeds))).alias("bit"))
-    filled = bits.groupBy(F.shiftright("bit", 6).cast("int").alias("place")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("word"))
-    # groups of 1024 words first, so that no row is built from more than a few thousand others
-    dense = sized.select(F.explode(F.sequence(F.lit(0), (F.col("n_bits") / 64 - 1).cast("int"))).alias("place")).join(filled, "place", "left").select("place", F.coalesce("word", F.lit(0)).alias("word"))
-    grouped = dense.groupBy(F.floor(F.col("place") / 1024).alias("group")).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "word"))), lambda x: x["word"]).alias("words"))
-    return grouped.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("group", "words"))), lambda x: x["words"])).alias("filter"))
-
-
-def _passes(h: Column, filter_: Column, seeds: Seeds) -> Column:
-    n_bits = F.size(filter_).cast("long") * 64
-    return reduce(lambda a, b: a & b, [F.call_function("getbit", F.get(filter_, F.shiftright(bit, 6).cast("int")), bit.bitwiseAND(F.lit(63)).cast("int")) == 1 for bit in _bits(h, n_bits, seeds)])
-
-
 def overlaps(docs: DataFrame, items: DataFrame, seeds: Seeds | None = None, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text") -> DataFrame:
     """(id, item, equal_words) for each document and item that overlap."""
     seeds = seeds or Seeds()
     # both are small, follow the benchmark, and are used in several places of the plan
     table = materialise(item_seeds(items, seeds, item_column, item_text_column), "seeds")
-    filter_ = materialise(bloom(table.select("hash"), seeds), "filter").scalar()
+    filter_ = materialise(bloom(table.select("hash"), seeds.filter), "filter").scalar()
 
     def hits_of(some: DataFrame, masks: list[str]) -> DataFrame:
         rows = some.select(F.col(id_column).alias("key"), words_of(F.col(text_column)).alias("words")).select("key", "words", F.posexplode("words").alias("at", "word"))
         # generating the hashes, one row each, has them computed once, before the filter looks at them
         hashes = F.array(*(_seed_hash(F.col("words"), F.col("at"), m) for m in masks))
-        return rows.select("key", "words", "at", F.explode(hashes).alias("hash")).where(_passes(F.col("hash"), filter_, seeds)).select("key", _around(F.col("words"), F.col("at"), seeds).alias("near"), "hash")
+        return rows.select("key", "words", "at", F.explode(hashes).alias("hash")).where(passes(F.col("hash"), filter_, seeds.filter)).select("key", _around(F.col("words"), F.col("at"), seeds).alias("near"), "hash")
 
     # the masks of the longest items are always laid; others in a branch of their own (all masks in one are too much code to compile), which has no rows unless the benchmark has items for them
     usual = len(seeds.classes[-1][1])

@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import materialise, text_of
 from docloom.llm.components import connected_components
+from docloom.llm.filters import Filter, bloom, passes
 
 
 @dataclass(frozen=True)
@@ -136,6 +137,7 @@ class Similarity:
     rows: int = 6
     pair_bucket: int = 8
     blocks: SimHash = field(default_factory=lambda: SimHash(shingle=5))
+    filter: Filter = field(default_factory=Filter)
 
 
 def band_keys(hashes: np.ndarray, bands: int, rows: int) -> list[int]:
@@ -179,27 +181,30 @@ def similar_documents(docs: DataFrame, p: Similarity | None = None, id_column: s
     found = materialise(profiles(docs.where(F.col(id_column).isNotNull()), p, id_column, text_column), "profiles")
     # one document of those with the same set stands for all
     first = materialise(found.groupBy("same", "fp").agg(F.min("key").alias("first")), "firsts")
-    ones = materialise(found.join(first, ["same", "fp"]).where(F.col("key") == F.col("first")).select("key", "fp", "bag", "bands").dropDuplicates(["key", "fp"]), "ones")
-    size = F.size("bag").alias("n")
-    keys = ones.select("key", size, F.posexplode("bands").alias("band", "bucket"))
+    slim = found.select("same", "fp", "key", F.size("bag").alias("n"), "bands")
+    ones = materialise(slim.join(first, ["same", "fp"]).where(F.col("key") == F.col("first")).dropDuplicates(["key", "same", "fp"]).select("key", "fp", "n", "bands"), "ones")
+    keys = ones.select("key", "n", F.posexplode("bands").alias("band", "bucket"))
     shared = materialise(keys.groupBy("band", "bucket").agg(F.count("*").alias("members"), F.min(F.struct("key", "n")).alias("first")).where(F.col("members") > 1), "buckets")
     members = materialise(keys.join(shared, ["band", "bucket"]), "members")
     few = members.where(F.col("members") <= p.pair_bucket)
     left, right = (few.select("band", "bucket", F.col("key").alias(c), F.col("n").alias(f"n_{c}")) for c in "ab")
     stars = members.where(F.col("members") > p.pair_bucket).select(F.col("first.key").alias("a"), F.col("first.n").alias("n_a"), F.col("key").alias("b"), F.col("n").alias("n_b"))
     # fingerprints at a small distance, and documents with the same one
-    of_fp = materialise(ones.groupBy("fp").agg(F.min(F.struct("key", size)).alias("lead")), "leads")
+    of_fp = materialise(ones.groupBy("fp").agg(F.min(F.struct("key", "n")).alias("lead")), "leads")
     near = near_links(of_fp.select("fp"), p.blocks)
     lead = lambda fp, c: of_fp.select(F.col("fp").alias(fp), F.col("lead.key").alias(c), F.col("lead.n").alias(f"n_{c}"))
     near = near.select(F.col("a").alias("fa"), F.col("b").alias("fb")).join(lead("fa", "a"), "fa").join(lead("fb", "b"), "fb")
-    same_fp = ones.select("fp", F.col("key").alias("b"), F.size("bag").alias("n_b")).join(lead("fp", "a"), "fp")
+    same_fp = ones.select("fp", F.col("key").alias("b"), F.col("n").alias("n_b")).join(lead("fp", "a"), "fp")
     pairs = left.join(right, ["band", "bucket"])
     for more in (stars, near, same_fp):
         pairs = pairs.select("a", "n_a", "b", "n_b").unionByName(more.select("a", "n_a", "b", "n_b"))
     # sets of too different sizes can't be similar
     pairs = pairs.where((F.col("a") != F.col("b")) & (F.least("n_a", "n_b") >= p.least * F.greatest("n_a", "n_b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = materialise(pairs, "candidates")
-    bags = [ones.select(F.col("key").alias(c), F.col("bag").alias(f"bag_{c}")) for c in "ab"]
+    # most sets have no part in any pair: they are left out before sets are sent anywhere
+    filter_ = materialise(bloom(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().select(F.xxhash64("key").alias("hash")), p.filter), "filter").scalar()
+    of_pairs = found.where(passes(F.xxhash64("key"), filter_, p.filter))
+    bags = [of_pairs.select(F.col("key").alias(c), F.col("bag").alias(f"bag_{c}")) for c in "ab"]
     both = F.size(F.array_intersect("bag_a", "bag_b"))
     similar = both >= p.least * (F.size("bag_a") + F.size("bag_b") - both)
     links = materialise(pairs.join(bags[0], "a").join(bags[1], "b").where(similar).select("a", "b"), "similar")
