@@ -40,12 +40,12 @@ def without_trailing(tokens: Column, noise: list[str]) -> Column:
     return F.slice(tokens, F.lit(1), F.coalesce(last, F.lit(0)))
 
 
-def without_language_ending(x: Column, rounds: int = 16) -> Column:
+def without_language_ending(x: Column) -> Column:
     """x without short language codes at its end, longest first, one after the other; two characters stay at least."""
     codes = sorted((t for t in LANGUAGE_TOKENS if len(t) <= 3), key=len, reverse=True)
-    longest, shorter = ("|".join(t for t in codes if len(t) == n) for n in (3, 2))
-    once = lambda s: F.regexp_replace(s, f"^(..+)(?:{longest})$|^(..+)(?:{shorter})$", "$1$2")
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), x, lambda s, _: once(s))
+    # backwards, endings are beginnings, which one pattern takes off without going back on its choices
+    backwards = "|".join(f"{t[::-1]}(?=..)" for t in codes)
+    return F.reverse(F.regexp_replace(F.reverse(x), f"^(?:{backwards})*+", ""))
 
 
 def filename_code(filename: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 from functools import reduce
 
 import numpy as np
@@ -133,12 +133,25 @@ def robustness(metrics: DataFrame, baseline: str = "complete_unmasked") -> DataF
 def mcnemar(pairs: DataFrame, least: int = 10) -> DataFrame:
     """Exact two-sided binomial test of (b, c), the documents that only one method has right; null with fewer than least."""
     n, low = F.col("b") + F.col("c"), F.least("b", "c")
-    log_choose = lambda k: F.aggregate(F.sequence(F.lit(1), F.greatest(k, F.lit(1))), F.lit(0.0), lambda s, i: s + F.when(i <= k, F.log((n - k + i).cast("double")) - F.log(i.cast("double"))).otherwise(0.0))
-    tail = F.aggregate(F.sequence(F.lit(0).cast("bigint"), low.cast("bigint")), F.lit(0.0), lambda s, k: s + F.exp(log_choose(k) - n * F.log(F.lit(2.0))))
+    # each term of the tail follows from the one before
+    state = lambda total, log: F.struct(total.alias("total"), log.alias("log"))
+    step = lambda s, k: state(s["total"] + F.exp(s["log"]), s["log"] + F.log((n - k).cast("double")) - F.log((k + 1).cast("double")))
+    tail = F.aggregate(F.sequence(F.lit(0).cast("bigint"), low.cast("bigint")), state(F.lit(0.0), -n * F.log(F.lit(2.0))), step)["total"]
     p = F.when(F.col("b") == F.col("c"), 1.0).otherwise(F.least(F.lit(1.0), 2.0 * tail))
     return pairs.withColumns({"statistic": F.when(n >= least, F.round(F.try_divide(F.col("b").cast("double"), n), 6)), "p_value": F.when(n >= least, F.round(p, 6))})
 
 
+def _score(metric: str, labels: list[str], true: np.ndarray, said: np.ndarray, draws: np.ndarray) -> np.ndarray:
+    """Accuracy or macro F1 of each draw (a row of counts of (true, said) cells)."""
+    if metric == "accuracy":
+        return draws[:, true == said].sum(axis=1) / np.maximum(draws.sum(axis=1), 1)
+    f1 = [2 * draws[:, (true == x) & (said == x)].sum(axis=1) / np.maximum(draws[:, true == x].sum(axis=1) + draws[:, said == x].sum(axis=1), 1) for x in labels]
+    return np.mean(f1, axis=0)
+
+
+METRICS = ("macro_f1", "accuracy")
+
+
 def bootstrap(cases: DataFrame, n: int = 2000, seed: int = 42, labels: list[str] = LABELS) -> DataFrame:
     """(method, metric, point, low, high): percentile intervals of accuracy and macro F1 over documents, the generator seeded anew for each metric. Cases are first reduced to counts of (true, predicted), so a method's group is a few rows however many cases there are; resamples are multinomial draws of the counts."""
     said = F.coalesce("predicted_label", F.lit(T.NO_PREDICTION))
@@ -146,42 +159,33 @@ def bootstrap(cases: DataFrame, n: int = 2000, seed: int = 42, labels: list[str]
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["true_label", "said"])
-        total = int(frame["n"].sum())
-        places = {x: i for i, x in enumerate(labels)}
-        t = np.array([places.get(x, -1) for x in frame["true_label"]])
-        p = np.array([places.get(x, -1) for x in frame["said"]])
-
-        def scores(draws: np.ndarray, metric: str) -> np.ndarray:
-            if metric == "accuracy":
-                return draws[:, t == p].sum(axis=1) / total
-            f1 = [2 * draws[:, (t == i) & (p == i)].sum(axis=1) / np.maximum(draws[:, t == i].sum(axis=1) + draws[:, p == i].sum(axis=1), 1) for i in range(len(labels))]
-            return np.mean(f1, axis=0)
-
-        own = frame["n"].to_numpy(dtype=np.int64)
+        true, said, own = frame["true_label"].to_numpy(), frame["said"].to_numpy(), frame["n"].to_numpy(dtype=np.int64)
         out = []
-        for metric in ("macro_f1", "accuracy"):
-            drawn = scores(np.random.default_rng(seed).multinomial(total, own / total, size=n), metric)
-            out.append((frame["method"].iloc[0], metric, float(scores(own[None, :], metric)[0]), *(float(np.percentile(drawn, q)) for q in (2.5, 97.5))))
+        for metric in METRICS:
+            drawn = _score(metric, labels, true, said, np.random.default_rng(seed).multinomial(own.sum(), own / own.sum(), size=n))
+            out.append((frame["method"].iloc[0], metric, float(_score(metric, labels, true, said, own[None, :])[0]), *(float(np.percentile(drawn, q)) for q in (2.5, 97.5))))
         return pd.DataFrame(out, columns=["method", "metric", "point", "low", "high"])
 
     return counts.groupBy("method").applyInPandas(run, "method string, metric string, point double, low double, high double")
 
 
-def paired_bootstrap(cases: DataFrame, a: str, b: str, n: int = 2000, seed: int = 42) -> DataFrame:
-    """(metric, point, low, high) of the difference in accuracy of two methods over common resamples."""
-    wide = aligned(cases.where(F.col("method").isin(a, b)), [a, b])
-    counts = wide.groupBy((F.col(a) == F.col("true_label")).cast("int").alias("x"), (F.col(b) == F.col("true_label")).cast("int").alias("y")).agg(F.count("*").alias("n"))
+def paired_bootstrap(cases: DataFrame, methods: list[str], n: int = 2000, seed: int = 42, labels: list[str] = LABELS) -> DataFrame:
+    """(method_a, method_b, metric, point, low, high): differences in macro F1 and accuracy of each pair of methods over common resamples, the generator seeded anew for each pair and metric. As in bootstrap(), cases are first reduced to counts."""
+    wide = aligned(cases.where(F.col("method").isin(methods)), methods)
+    parts = [wide.select(F.lit(a).alias("method_a"), F.lit(b).alias("method_b"), "true_label", F.col(a).alias("said_a"), F.col(b).alias("said_b")) for i, a in enumerate(methods) for b in methods[i + 1 :]]
+    counts = reduce(DataFrame.unionByName, parts).groupBy("method_a", "method_b", "true_label", "said_a", "said_b").agg(F.count("*").alias("n"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(frames)).sort_values(["x", "y"])
-        if not len(frame):
-            return
-        own = frame["n"].to_numpy(dtype=np.int64)
-        gain = (frame["x"] - frame["y"]).to_numpy()
-        drawn = np.random.default_rng(seed).multinomial(own.sum(), own / own.sum(), size=n) @ gain / own.sum()
-        yield pd.DataFrame([("accuracy", float(own @ gain / own.sum()), *(float(np.percentile(drawn, q)) for q in (2.5, 97.5)))], columns=["metric", "point", "low", "high"])
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["true_label", "said_a", "said_b"])
+        true, said_a, said_b, own = (frame[c].to_numpy() for c in ("true_label", "said_a", "said_b", "n"))
+        out = []
+        for metric in METRICS:
+            gain = lambda draws: _score(metric, labels, true, said_a, draws) - _score(metric, labels, true, said_b, draws)  # noqa: B023, E731
+            drawn = gain(np.random.default_rng(seed).multinomial(own.sum(), own / own.sum(), size=n))
+            out.append((frame["method_a"].iloc[0], frame["method_b"].iloc[0], metric, float(gain(own[None, :])[0]), *(float(np.percentile(drawn, q)) for q in (2.5, 97.5))))
+        return pd.DataFrame(out, columns=["method_a", "method_b", "metric", "point", "low", "high"])
 
-    return counts.coalesce(1).mapInPandas(run, "metric string, point double, low double, high double")  # four rows at most
+    return counts.groupBy("method_a", "method_b").applyInPandas(run, "method_a string, method_b string, metric string, point double, low double, high double")
 
 
 def log_loss(p: Column) -> Column:

@@ -44,12 +44,15 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int = 20, seed: int = 42)
                     continue
                 vectors = np.array([np.asarray(v, dtype=np.float64) for v in frame["vector"]])
                 vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
-                found = np.round(vectors @ own.T, 6) + 0.0
                 keys = np.array([hashlib.sha256(f"{seed}:{c}".encode()).hexdigest() for c in frame["chunk_id"]])
-                made = []
-                for q in range(len(own_ids)):
-                    order = np.lexsort((keys, -found[:, q]))[:k]
-                    made.append(pd.DataFrame({"query_id": own_ids[q], "chunk_id": frame["chunk_id"].to_numpy()[order], "similarity": found[order, q], "order_key": keys[order]}))
+                chunk_ids, made = frame["chunk_id"].to_numpy(), []
+                # so many queries at a time that their scores take no more room than a block
+                some = max(1, BLOCK_BYTES // (8 * len(frame)))
+                for at in range(0, len(own_ids), some):
+                    found = np.round(vectors @ own[at : at + some].T, 6) + 0.0
+                    # all that are as near as the k-th; ties are ordered below
+                    row, q = np.nonzero(found >= np.partition(found, -min(k, len(found)), axis=0)[-min(k, len(found))])
+                    made.append(pd.DataFrame({"query_id": own_ids[at + q], "chunk_id": chunk_ids[row], "similarity": found[row, q], "order_key": keys[row]}))
                 kept = pd.concat([*([kept] if kept is not None else []), *made])
                 kept = kept.sort_values(["query_id", "similarity", "order_key"], ascending=[True, False, True]).groupby("query_id").head(k)
             if kept is not None:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from docloom.sources.shared import materialise
+
 SPLITS = ["train", "validation", "test"]
 RATIOS = {"train": 0.70, "validation": 0.15, "test": 0.15}
 
@@ -18,25 +23,30 @@ def family_split(eligible: DataFrame, seed: int = 42, ratios: dict[str, float] =
     """(effective_agency, effective_family_id, doc_count, split).
 
     Within an agency families come largest first, then by seeded hash. With three or more, the first goes to test
-    and the second to validation; with two, the first to test; all others to the split that lacks most. The order is
-    a fold over an agency's families, which are counted before they are collected."""
-    sizes = eligible.groupBy("effective_agency", "effective_family_id").agg(F.count("*").alias("doc_count"))
-    item = F.struct((-F.col("doc_count")).alias("less"), seeded_key(F.col("effective_family_id"), seed).alias("key"), F.col("effective_family_id").alias("family"), F.col("doc_count").alias("n"))
-    listed = sizes.groupBy("effective_agency").agg(F.array_sort(F.collect_list(item)).alias("families"), F.sum("doc_count").cast("double").alias("total"))
-    count = F.size("families")
-
-    def step(state: Column, family: Column) -> Column:
-        i = F.size(state["done"])
-        lack = {s: F.col("total") * F.lit(ratios[s]) - state[s] for s in SPLITS}
-        greedy = F.when((lack["train"] >= lack["validation"]) & (lack["train"] >= lack["test"]), "train").when(lack["validation"] >= lack["test"], "validation").otherwise("test")
-        split = F.when((i == 0) & (count >= 2), "test").when((i == 1) & (count >= 3), "validation").otherwise(greedy)
-        added = F.struct(family["family"].alias("family"), family["n"].alias("n"), split.alias("split"))
-        return F.struct(*((state[s] + F.when(split == s, family["n"].cast("double")).otherwise(0.0)).alias(s) for s in SPLITS), F.concat(state["done"], F.array(added)).alias("done"))
-
-    nothing = F.lit(None).cast("array<struct<family:string,n:bigint,split:string>>")
-    start = F.struct(*(F.lit(0.0).alias(s) for s in SPLITS), F.coalesce(nothing, F.array().cast("array<struct<family:string,n:bigint,split:string>>")).alias("done"))
-    folded = listed.select("effective_agency", F.inline(F.aggregate("families", start, step)["done"]))
-    return folded.select("effective_agency", F.col("family").alias("effective_family_id"), F.col("n").alias("doc_count"), "split")
+    and the second to validation; with two, the first to test; all others to the split that lacks most. An agency's
+    families, which are counted before that, stream through one task in order; only three sums are kept of them."""
+    sizes = materialise(eligible.groupBy("effective_agency", "effective_family_id").agg(F.count("*").alias("doc_count")), "sizes")
+    totals = sizes.groupBy(F.col("effective_agency").alias("of")).agg(F.sum("doc_count").cast("double").alias("total"), F.count("*").alias("families"))
+    ordered = sizes.join(totals, F.col("effective_agency").eqNullSafe(F.col("of"))).withColumn("key", seeded_key(F.col("effective_family_id"), seed))
+    ordered = ordered.repartition("effective_agency").sortWithinPartitions("effective_agency", F.desc("doc_count"), "key", "effective_family_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, place, have = object(), 0, {}
+        for batch in batches:
+            splits = []
+            agencies, sizes_, totals_, families = (batch.column(c).to_pylist() for c in ("effective_agency", "doc_count", "total", "families"))
+            for agency, n, total, count in zip(agencies, sizes_, totals_, families, strict=True):
+                if agency != now:
+                    now, place, have = agency, 0, dict.fromkeys(SPLITS, 0.0)
+                lack = {s: total * ratios[s] - have[s] for s in SPLITS}
+                split = "test" if place == 0 and count >= 2 else "validation" if place == 1 and count >= 3 else max(SPLITS, key=lack.__getitem__)
+                have[split] += n
+                place += 1
+                splits.append(split)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("effective_agency", "effective_family_id", "doc_count")), pa.array(splits, pa.string())], names=["effective_agency", "effective_family_id", "doc_count", "split"])
+
+    kinds = ", ".join(f"{c} {sizes.schema[c].dataType.simpleString()}" for c in sizes.columns)
+    return ordered.select("effective_agency", "effective_family_id", "doc_count", "total", "families").mapInArrow(run, f"{kinds}, split string")
 
 
 def split_documents(eligible: DataFrame, assignment: DataFrame) -> DataFrame:
@@ -48,9 +58,17 @@ def split_documents(eligible: DataFrame, assignment: DataFrame) -> DataFrame:
 def stratified_split(df: DataFrame, label: str, key: str, seed: int = 42, ratios: dict[str, float] | None = None) -> DataFrame:
     """A document-level split with the same shares in every class, by seeded hash order."""
     ratios = ratios or {"train": 0.64, "validation": 0.16, "test": 0.20}
-    order = W.partitionBy(label).orderBy(seeded_key(F.col(key), seed), key)
-    share = (F.row_number().over(order) - 1) / F.count("*").over(W.partitionBy(label))
-    return df.withColumn("split", F.when(share < ratios["train"], "train").when(share < ratios["train"] + ratios["validation"], "validation").otherwise("test"))
+    # places are counted within ranges of the hash, so that no task orders a whole class, and the ranges before are added
+    hashed = df.withColumn("seeded hash", seeded_key(F.col(key), seed)).withColumn("hash range", F.conv(F.substring("seeded hash", 1, 3), 16, 10).cast("int"))
+    counts = hashed.groupBy(F.col(label).alias("of class"), F.col("hash range").alias("of range")).agg(F.count("*").alias("n"))
+    by_class = W.partitionBy("of class")
+    counts = counts.withColumns({"before class": F.sum("n").over(by_class.orderBy("of range").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n"), "in class": F.sum("n").over(by_class)}).drop("n")
+    order = W.partitionBy(label, "hash range").orderBy("seeded hash", key)
+    placed = hashed.withColumn("in range", F.row_number().over(order) - 1)
+    joined = placed.join(counts, placed[label].eqNullSafe(counts["of class"]) & (F.col("hash range") == F.col("of range")))
+    share = (F.col("in range") + F.col("before class")) / F.col("in class")
+    split = F.when(share < ratios["train"], "train").when(share < ratios["train"] + ratios["validation"], "validation").otherwise("test")
+    return joined.select(*(F.col(f"`{c}`") for c in df.columns if c != "split"), split.alias("split"))
 
 
 def split_report(assignment: DataFrame) -> DataFrame:

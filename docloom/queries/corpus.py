@@ -128,9 +128,13 @@ def d11(s, d):
     return C.exact_duplicate_pairs(corpus(s, d))
 
 
-@query("d12_near_duplicates")
+@query("d12_near_duplicates", WITH + r""", once AS (SELECT min(document_id) AS document_id, count(*) AS copies, lower(coalesce(any_value(text), '')) AS t FROM corpus GROUP BY sha256(coalesce(text, ''))),
+terms AS (SELECT document_id, term, count(*) AS tf, any_value(copies) AS copies FROM (SELECT document_id, copies, unnest(regexp_extract_all(t, '[\p{L}\p{N}_]{2,}')) AS term FROM once) WHERE term NOT IN ('the', 'and', 'for', 'with') GROUP BY 1, 2),
+stats AS (SELECT term, sum(copies) AS df, sum(tf * copies) AS total FROM terms GROUP BY 1 ORDER BY total DESC, term LIMIT 20000), raw AS (SELECT document_id, term, tf * (ln((1 + (SELECT count(*) FROM corpus)) / (1 + df)) + 1) AS w FROM terms JOIN stats USING (term)),
+unit AS (SELECT document_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY document_id)) AS w FROM raw)
+SELECT x.document_id AS a, y.document_id AS b, round(sum(x.w * y.w), 6) AS similarity FROM unit x JOIN unit y ON x.term = y.term AND x.document_id < y.document_id GROUP BY 1, 2 HAVING sum(x.w * y.w) >= 0.92""")
 def d12(s, d):
-    return C.near_duplicate_pairs(corpus(s, d)).withColumn("similarity", F.round("similarity", 6))
+    return C.near_duplicate_pairs(corpus(s, d), stop=STOP).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("e28_top_words", WITH + r"""SELECT lang, word, n, place FROM (SELECT lang, word, count(*) AS n, CAST(row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, word) AS INT) AS place FROM (SELECT lang, unnest(regexp_split_to_array(regexp_replace(lower(text), '[^a-z\s]', ' ', 'g'), '\s+')) AS word FROM corpus) WHERE length(word) > 2 AND word NOT IN ('the', 'and', 'for', 'with') GROUP BY lang, word) WHERE place <= 15""")
@@ -138,11 +142,13 @@ def e28(s, d):
     return C.top_words(corpus(s, d), "lang", STOP, 15)
 
 
-@query("e29_tfidf_terms")
+@query("e29_tfidf_terms", WITH + r""", said AS (SELECT document_id, w, i FROM (SELECT document_id, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM (SELECT document_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]{2,}') AS ws FROM corpus)) WHERE w NOT IN ('the', 'and', 'for', 'with')),
+grams AS (SELECT document_id, w AS term FROM said UNION ALL SELECT document_id, term FROM (SELECT document_id, w || ' ' || lead(w) OVER (PARTITION BY document_id ORDER BY i) AS term FROM said) WHERE term IS NOT NULL), terms AS (SELECT document_id, term, count(*) AS tf FROM grams GROUP BY 1, 2),
+stats AS (SELECT term, count(*) AS df, sum(tf) AS total FROM terms GROUP BY 1 ORDER BY total DESC, term LIMIT 5000), raw AS (SELECT document_id, term, tf * (ln((1 + (SELECT count(*) FROM corpus)) / (1 + df)) + 1) AS w FROM terms JOIN stats USING (term)),
+unit AS (SELECT document_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY document_id)) AS w FROM raw), means AS (SELECT lang, term, round(sum(w) / any_value(k), 6) AS score FROM unit JOIN corpus USING (document_id) JOIN (SELECT lang, count(*) AS k FROM corpus GROUP BY 1) USING (lang) GROUP BY 1, 2)
+SELECT lang, term, score, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, term) AS INT) AS place FROM means) WHERE place <= 15""")
 def e29(s, d):
-    c = corpus(s, d)
-    means = C.tfidf(c).join(c.select("document_id", "lang"), "document_id").groupBy("lang", "term").agg(F.round(F.sum("weight"), 6).alias("score"))
-    return means.withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("score"), "term"))).where("place <= 20")
+    return C.tfidf_by_class(corpus(s, d), "lang", stop=STOP)
 
 
 @query("e32_duplicate_filenames", WITH + "SELECT count(filename) - count(DISTINCT filename) AS duplicates, count(*) FILTER (form_number IS NOT NULL) AS with_number FROM corpus")
@@ -199,12 +205,18 @@ def e18(s, d):
     return splitting.missing_by_split(splitting.family_split(corpus(s, d)))
 
 
-@query("e26_fingerprint", WITH + "SELECT sha256(string_agg(document_id || '|' || agency || '|' || coalesce(form_number, 'nan'), chr(10) ORDER BY document_id, agency, coalesce(form_number, 'nan'))) AS fingerprint FROM corpus")
+def fingerprint_sql(columns: list[str], source: str = "corpus") -> str:
+    part = lambda i: f"sum(CAST('0x' || substr(r, {i}, 12) AS BIGINT))"
+    row = ", ".join(f"coalesce(CAST({c} AS VARCHAR), 'nan')" for c in columns)
+    return f"SELECT sha256(coalesce(string_agg(b || '|' || n || '|' || x || '|' || y, chr(10) ORDER BY b), '')) AS fingerprint FROM (SELECT CAST(CAST('0x' || substr(r, 1, 8) AS BIGINT) % 4096 AS VARCHAR) AS b, count(*) AS n, {part(9)} AS x, {part(21)} AS y FROM (SELECT sha256(concat_ws('|', {row})) AS r FROM {source}) GROUP BY 1)"
+
+
+@query("e26_fingerprint", WITH + fingerprint_sql(["document_id", "agency", "form_number"]))
 def e26(s, d):
-    return splitting.fingerprint(corpus(s, d), ["document_id", "agency", "form_number"])
+    return splitting.fingerprint_at_scale(corpus(s, d), ["document_id", "agency", "form_number"])
 
 
-@query("e26_fingerprint_at_scale")
+@query("e26_fingerprint_of_texts", WITH + fingerprint_sql(["document_id", "text"]))
 def e26b(s, d):
     return splitting.fingerprint_at_scale(corpus(s, d), ["document_id", "text"])
 
@@ -214,9 +226,9 @@ def g03(s, d):
     return corpus(s, d).select("document_id", "n_chars").orderBy(F.desc("n_chars"), "document_id").limit(10)
 
 
-@query("g01_mixed_sort", WITH + "SELECT source, lang, n FROM (SELECT source, lang, count(*) AS n FROM corpus GROUP BY ALL) ORDER BY n DESC, source, lang LIMIT 25")
+@query("g01_mixed_sort", WITH + "SELECT source, lang, n, row_number() OVER (ORDER BY n DESC, source, lang) AS place FROM (SELECT source, lang, count(*) AS n FROM corpus GROUP BY ALL)")
 def g01(s, d):
-    return corpus(s, d).groupBy("source", "lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source", "lang").limit(25)
+    return corpus(s, d).groupBy("source", "lang").agg(F.count("*").alias("n")).withColumn("place", F.row_number().over(W.orderBy(F.desc("n"), "source", "lang")).cast("long"))
 
 
 @query("g12_seeded_sample", WITH + "SELECT document_id FROM corpus ORDER BY sha256('7:' || document_id) LIMIT 50")

@@ -189,7 +189,7 @@ def h18(s, d):
 
 @query("h19_paired_bootstrap")
 def h19(s, d):
-    return E.paired_bootstrap(cases(s, d).where(F.col("condition") == "complete_unmasked"), "llm", "llm_rag")
+    return E.paired_bootstrap(cases(s, d).where(F.col("condition") == "complete_unmasked"), METHODS)
 
 
 @query("j20_evaluation_invariants", "SELECT unnest(['case_repeats', 'unknown_document', 'document_not_evaluated', 'input_differs']) AS \"check\", 0::BIGINT AS violations")
@@ -206,7 +206,10 @@ def h32(s, d):
     return run_cases(case_keys(registry, "llm", "stand-in"), provider).drop("latency_ms")
 
 
-@query("h34_embeddings")
+@query("h34_embeddings", f"WITH {CORPUS_SQL}" + r""", once AS (SELECT DISTINCT coalesce(text, '') AS text FROM corpus), words AS (SELECT text, unhex(md5(w)) AS h FROM (SELECT text, unnest(regexp_split_to_array(lower(text), '[ \t\n\r\f\v]+')) AS w FROM once) WHERE w <> ''),
+cells AS (SELECT text, CAST('0x' || substr(hex(h), 1, 2) AS INT) % 64 AS place, sum(CASE WHEN CAST('0x' || substr(hex(h), 9, 2) AS INT) % 2 = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) AS v FROM words GROUP BY 1, 2),
+grid AS (SELECT o.text, o.i, coalesce(c.v, 0.0::DOUBLE) AS v FROM (SELECT text, unnest(range(64)) AS i FROM once) o LEFT JOIN cells c ON c.text = o.text AND c.place = o.i)
+SELECT sha256(text) AS text_hash, list(CASE WHEN s > 0 THEN v / sqrt(s) ELSE v END ORDER BY i) AS vector FROM (SELECT *, sum(v * v) OVER (PARTITION BY text) AS s FROM grid) GROUP BY text""")
 def h34(s, d):
     from docloom.plans.cases import embed
 
@@ -218,8 +221,8 @@ def b20(s, d):
     from docloom.plans import language
 
     c = corpus(s, d)
-    # the fit is bounded: at most 20,000 labelled rows in hash order
-    sample = c.orderBy(F.sha2("document_id", 256)).limit(20_000).select("text", "lang")
+    # the fit is bounded: about 20,000 labelled rows, by a threshold of a hash
+    sample = c.where(F.pmod(F.xxhash64("document_id"), F.lit(1 << 20)) < (20_000 << 20) // max(1, c.count())).select("text", "lang")
     found = language.detect(c, language.fit(sample))
     return found.join(c.select("document_id", "lang"), "document_id").groupBy("lang", "detected_language").agg(F.count("*").alias("n"))
 

@@ -10,6 +10,7 @@ from docloom.operators import corpus as C
 from docloom.operators import evaluation as E
 from docloom.operators import retrieval
 from docloom.queries.bind import CASES_SQL, CORPUS_SQL, Registry, cases, corpus
+from docloom.queries.corpus import fingerprint_sql
 from docloom.queries.corpus import _STATUS, _decided
 from docloom.queries.scalars import FAMILY_SQL
 from docloom.queries.windows import CHUNK_SQL, DIVERSE, SELECTED_SQL, VECTORS, chunked, nearest, vectors
@@ -116,10 +117,10 @@ def i04(s, d):
     return corpus(s, d).groupBy("filename").agg(F.min("doc_id").alias("doc_id"))
 
 
-@query("k01_split_manifest", WITH + "SELECT 'v1' AS version, count(*) AS documents, count(DISTINCT effective_family_id) AS families, sha256(string_agg(document_id || '|' || effective_family_id, chr(10) ORDER BY document_id, effective_family_id)) AS fingerprint FROM corpus")
+@query("k01_split_manifest", WITH + "SELECT 'v1' AS version, count(*) AS documents, count(DISTINCT effective_family_id) AS families, (" + fingerprint_sql(["document_id", "effective_family_id"]) + ") AS fingerprint FROM corpus")
 def k01(s, d):
-    from docloom.operators.splitting import fingerprint
+    from docloom.operators.splitting import fingerprint_at_scale
 
     c = corpus(s, d)
-    print_ = fingerprint(c, ["document_id", "effective_family_id"]).select("fingerprint").scalar()
+    print_ = fingerprint_at_scale(c, ["document_id", "effective_family_id"]).select("fingerprint").scalar()
     return c.agg(F.count("*").alias("documents"), F.count_distinct("effective_family_id").alias("families")).select(F.lit("v1").alias("version"), "documents", "families", print_.alias("fingerprint"))

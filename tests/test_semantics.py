@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -207,8 +208,40 @@ def test_bootstrap_covers_the_point(spark):
     got = {(r.method, r.metric): r for r in evaluation.bootstrap(c).collect()}
     assert got["m", "accuracy"].point == 0.8 and 0.7 < got["m", "accuracy"].low < 0.8 < got["m", "accuracy"].high < 0.9
     assert got["n", "accuracy"].low == 1.0
-    diff = evaluation.paired_bootstrap(c, "n", "m").first()
-    assert diff.point == pytest.approx(0.2) and diff.low < 0.2 < diff.high
+    diff = {(r.method_a, r.method_b, r.metric): r for r in evaluation.paired_bootstrap(c, ["n", "m", "o"]).collect()}
+    assert len(diff) == 6
+    one = diff["n", "m", "accuracy"]
+    assert one.point == pytest.approx(0.2) and 0.1 < one.low < 0.2 < one.high < 0.3
+    # of four labels only one has cases: its F1 is 1, and 2 * 160 / (200 + 160)
+    assert diff["n", "m", "macro_f1"].point == pytest.approx((1 - 320 / 360) / 4) and diff["n", "m", "macro_f1"].low < diff["n", "m", "macro_f1"].point < diff["n", "m", "macro_f1"].high
+
+
+def test_bootstrap_is_a_resampling_of_documents(spark):
+    """Its intervals agree with those from drawing documents one by one."""
+    rng = np.random.default_rng(1)
+    n = 300
+    true, said = rng.integers(0, 4, n), rng.integers(0, 4, n)
+    said = np.where(rng.random(n) < 0.7, true, said)
+    labels = corpus.LABELS
+    rows = [("m", str(i), "c", labels[t], labels[p]) for i, (t, p) in enumerate(zip(true, said, strict=True))]
+    got = {r.metric: r for r in evaluation.bootstrap(spark.createDataFrame(rows, "method string, document_id string, condition string, true_label string, predicted_label string")).collect()}
+    draws = rng.integers(0, n, (2000, n))
+    f1 = lambda t, p: np.mean([2 * ((t == x) & (p == x)).sum() / max((t == x).sum() + (p == x).sum(), 1) for x in range(4)])
+    for metric, score in (("accuracy", lambda t, p: (t == p).mean()), ("macro_f1", f1)):
+        values = [score(true[d], said[d]) for d in draws]
+        assert got[metric].point == pytest.approx(score(true, said))
+        assert got[metric].low == pytest.approx(np.percentile(values, 2.5), abs=0.01) and got[metric].high == pytest.approx(np.percentile(values, 97.5), abs=0.01)
+
+
+def test_tfidf_terms(spark):
+    df = spark.createDataFrame([("1", "a", "The red fox, the RED fox"), ("2", "a", "red wolf"), ("3", "b", "x"), ("4", "b", None)], "document_id string, kind string, text string")
+    got = {(r.document_id, r.term) for r in corpus.tfidf(df, ["the"], 2).collect()}
+    assert got == {("1", t) for t in ("red", "fox", "red fox", "fox red")} | {("2", t) for t in ("red", "wolf", "red wolf")}
+    assert {r.term for r in corpus.tfidf(df, ["the"], 2, 3).collect()} == {"red", "fox", "red fox"}
+    means = {r.term: r.score for r in corpus.tfidf_by_class(df, "kind", stop=["the"], ngrams=1).collect()}
+    idf = lambda k: math.log(5 / (1 + k)) + 1
+    one, two = math.hypot(2 * idf(2), 2 * idf(1)), math.hypot(idf(2), idf(1))
+    assert means == pytest.approx({"red": (2 * idf(2) / one + idf(2) / two) / 2, "fox": idf(1) / one, "wolf": idf(1) / two / 2}, abs=1e-6)
 
 
 def test_near_duplicates_against_all_pairs(spark):
@@ -223,10 +256,8 @@ def test_near_duplicates_against_all_pairs(spark):
     got = {(r.a, r.b): r.similarity for r in corpus.near_duplicate_pairs(df, 0.9).collect()}
     counts = [Counter((t or "").split()) for t in texts]
     once = {(t or ""): i for i, t in reversed(list(enumerate(texts)))}
-    n = len(texts)
-    df_ = Counter(w for i in once.values() for w in counts[i])
-    idf = {w: math.log((1 + len(once)) / (1 + k)) + 1 for w, k in df_.items()}
-    idf = {w: math.log((1 + len(once)) / (1 + k)) + 1 for w, k in df_.items()} if n else idf
+    df_ = Counter(w for own in counts for w in own)
+    idf = {w: math.log((1 + len(texts)) / (1 + k)) + 1 for w, k in df_.items()}
     vec = {i: {w: k * idf[w] for w, k in counts[i].items()} for i in once.values()}
     norm = {i: math.sqrt(sum(x * x for x in v.values())) for i, v in vec.items()}
     want = {}
