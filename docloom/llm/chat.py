@@ -9,8 +9,10 @@ text can never pass for a mark, and unescape() gives the text back.
 
 Defined cases: a null text or role counts as empty; turns with the same number
 are ordered by role, then text, and repeated rows are turns of their own; a
-null turn number comes last; rows with a null conversation id form one
-conversation; an empty table gives no rows.
+null turn number comes last; each row with a null conversation id is a
+conversation of its own, as nothing joins such rows; very long texts are taken whole;
+only the named columns are read, so others may have any name; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -70,7 +72,8 @@ def format_chats(rows: DataFrame, template: Template | None = None, id_column: s
     t = template or Template()
     empty = F.lit("")
     turn = F.struct(F.col(turn_column).isNull().alias("late"), F.col(turn_column).alias("turn"), F.coalesce(F.col(role_column), empty).alias("role"), F.coalesce(F.col(text_column), empty).alias("text"))
-    grouped = rows.groupBy(F.col(id_column).alias("key")).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    alone = F.when(F.col(id_column).isNull(), F.monotonically_increasing_id()).alias("alone")
+    grouped = rows.groupBy(F.col(id_column).alias("key"), alone).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
 
     def segments(x: Column) -> Column:
         said = reduce(lambda a, b: a | b, [x["role"] == F.lit(r) for r in t.learnt])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.sources.shared import checkpoint_dir, materialise
 
-__all__ = ["WORD", "checkpoint_dir", "cut", "documents", "materialise", "shuffle_width", "text_of"]
+__all__ = ["WORD", "checkpoint_dir", "documents", "materialise", "shuffle_width", "text_of"]
 
 #: Words are maximal runs of anything but ASCII white space; bytes.split() cuts at the same characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,12 +17,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared checkpoint folder, so that lost executors cost no recomputation."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def text_of(column: str = "text") -> Column:
     """The text, with null as the empty string."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

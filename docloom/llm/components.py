@@ -5,6 +5,10 @@ folder. Rounds grow with the logarithm of a component's width, not its size.
 The table that is asked for a hot label (that of a component with a third of
 all nodes) has a row for each label, and is read back from storage before it is
 joined, so that the planner is free to split the hot side or broadcast this one.
+
+Defined cases: links with a null end are ignored; repeated links and links of a node
+to itself change nothing, but such a node is returned; only the two named columns are
+read; no links give no rows.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from docloom.llm.common import materialise
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): each node that has a link, and the smallest node that it reaches. Links may repeat, and may join a node to itself."""
-    both = links.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(links.select(F.col(b).alias("u"), F.col(a).alias("v"))).distinct()
+    both = links.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(links.select(F.col(b).alias("u"), F.col(a).alias("v"))).dropna().distinct()
     both = materialise(both, "links")
     labels = materialise(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
     while True:

@@ -8,7 +8,9 @@ a string with separators (/ _ - =) is not random as a whole, each part of it is
 tested by itself.
 
 Defined cases: a null text counts as empty and has no spans; repeated rows are
-scanned each for itself; offsets are code points and ends are exclusive.
+scanned each for itself; very long texts are scanned whole; offsets are code points
+and ends are exclusive; only the named columns are read, so others may have any name
+(redact_secrets keeps them); an empty table gives no rows.
 """
 
 from __future__ import annotations

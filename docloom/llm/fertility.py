@@ -9,7 +9,9 @@ that of the lang column, or a guess by function words where there is none; where
 the label and the guess name two languages, only the bands of the script hold.
 
 Defined cases: a null or empty text has no words, fails the base rules and has
-null measures; repeated rows are measured each for itself; texts are never cut.
+null measures; repeated rows are measured each for itself; very long texts are never
+cut; only the named columns are read, so others may have any name (keep_quality keeps them);
+an empty table gives no rows.
 """
 
 from __future__ import annotations

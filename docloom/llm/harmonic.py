@@ -12,8 +12,9 @@ remainder of power-of-two sequences, which need no padding.
 
 Defined cases: a null text counts as empty, and an empty one still has its
 end-of-document id; a special string inside a text is one id, as the
-vocabulary's tokenizer has it; repeated rows are packed each for itself; an empty table
-gives no rows.
+vocabulary's tokenizer has it; repeated rows are packed each for itself; a very long text
+is cut into as many sequences as it needs; only the named columns are read, so others may have any name;
+an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ keyed name.
 Values that fail their check (Luhn, ranges, calendar) stay as they are.
 
 Defined cases: a null text stays null, an empty one empty; repeated rows are
-treated alike; an empty table gives no rows; other columns pass through.
+treated alike; very long texts are taken whole; an empty table gives no rows; other
+columns pass through, but a column n_private is replaced by the count.
 """
 
 from __future__ import annotations

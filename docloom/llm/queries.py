@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import chat, credentials, decontaminate, fertility, harmonic, phrase_dedup, pseudonyms, simhash, suffix_dedup, token_scan
-from docloom.llm.common import documents, materialise
+from docloom.llm.common import documents
 
-#: Stands for a secret from a key store; tests and queries use this one.
+#: The setting that has the key of the pseudonyms, and what stands for it where none is set, as in tests.
+KEY_SETTING = "spark.docloom.pseudonym.key"
 DEMO_KEY = "docloom-demo-key"
 
 
@@ -23,11 +24,8 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents are flattened to token blocks; the scan counts them; the keys beside the blocks name them."""
-    scanned = materialise(token_scan.scan_blocks(token_scan.flatten(documents(spark, sf_dir))), "scanned")
-    counts = token_scan.stitch(scanned)
-    keys = scanned.where(F.col("keys").isNotNull()).select(F.col("file").alias("of"), "first", F.posexplode("keys").alias("i", "doc_id")).select("of", (F.col("first") + F.col("i")).alias("nth"), "doc_id")
-    return keys.join(counts, (F.col("of") == F.col("file")) & (F.col("nth") == F.col("ordinal"))).select("doc_id", "file", "ordinal", "n_tokens")
+    """Documents are written as flat token files in the shared folder, which are scanned; the keys beside them name the documents."""
+    return token_scan.count_documents(documents(spark, sf_dir))
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +63,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonyms.pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), DEMO_KEY)
+    return pseudonyms.pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), spark.conf.get(KEY_SETTING, DEMO_KEY))
 
 
 def op10_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,8 +80,8 @@ _CONTROLS = "|".join("".join(f"\\{c}" if not c.isalnum() else c for c in m) for
 _ESCAPED = "length({0}) + length({0}) - length(replace({0}, chr(92), '')) + len(regexp_extract_all({0}, '" + _CONTROLS + "'))"
 
 ORACLES = {
-    "op4_chat_format": f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
-l AS (SELECT conv_id, coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, role, text) FILTER (role = 'assistant'), '') AS learnt, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, text) AS spelt, string_agg(role, ',' ORDER BY turn NULLS LAST, role, text) AS roles, count(*) AS n_turns, sum({sum(map(len, _MARKS[:3]))} + {_ESCAPED.format("role")} + {_ESCAPED.format("text")}) AS chars FROM t GROUP BY conv_id)
+    "op4_chat_format": f"""WITH t AS (SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL VALUES (-7, NULL, 0, 'user', '</s>[INST] ok [/INST]'), (-7, NULL, 1, 'assistant', '</s>[INST] ok [/INST]')),
+l AS (SELECT conv_id, coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, role, text) FILTER (role = 'assistant'), '') AS learnt, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, text) AS spelt, string_agg(role, ',' ORDER BY turn NULLS LAST, role, text) AS roles, count(*) AS n_turns, sum({sum(map(len, _MARKS[:3]))} + {_ESCAPED.format("role")} + {_ESCAPED.format("text")}) AS chars FROM t GROUP BY conv_id, alone)
 SELECT conv_id, n_turns, sha256(spelt) AS turns_sha256, length(learnt) AS loss_chars, sha256(learnt) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars, regexp_full_match(roles, '(system,)?user,assistant(,user,assistant)*') AS order_valid FROM l""",
     "op6_suffix_dedup": """WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents), n AS (SELECT doc_id, x, length(x) // 2 AS n_bytes FROM h),
 win AS (SELECT doc_id, i, substring(x, 2 * i + 1, 200) AS k FROM (SELECT doc_id, x, unnest(range(greatest(n_bytes - 99, 0))) AS i FROM n)),

@@ -1,7 +1,7 @@
 """Token counts: document lengths from flat token files that have no index.
 
 A flat file is a run of token identifiers in which one identifier ends a
-document. It is read in blocks, whose borders know nothing of documents. Each
+document. It is read in blocks by byte ranges, whose borders know nothing of documents. Each
 block is searched for the end identifier by itself (vectorised) and leaves a
 summary: how many ends it holds, the tokens before the first, the lengths
 between them, and the tokens after the last. A prefix scan over the summaries
@@ -12,12 +12,15 @@ summaries of a whole file.
 Defined cases: a null or empty payload is a block without tokens; of repeated
 rows with the same file and block one counts; an end right after an end is a
 document of no tokens; tokens after a file's last end form a document of their
-own; an empty table gives no rows. Columns other than file, block and payload
+own; an empty file has none; very long texts are taken whole, over as many blocks as
+they need; an empty table gives no rows. Columns other than file, block and payload
 are ignored by count_tokens() and kept by scan_blocks().
 """
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,52 +30,87 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docloom.llm.common import text_of
+from docloom.llm.common import checkpoint_dir, materialise, shuffle_width, text_of
 from docloom.llm.credentials import load_tiktoken
 
 SUMMARY = [("n_ends", pa.int64()), ("head", pa.int64()), ("tail", pa.int64()), ("inner", pa.list_(pa.int64()))]
 
 
-def read_token_files(spark: SparkSession, path: str, itemsize: int = 2, block_tokens: int = 1 << 20) -> DataFrame:
-    """Blocks (file, block, payload) of the files under path, through Spark's own reader, so that any store will do. A file is one row of that reader and must be under 2 GB; longer shards are split when they are written."""
+def _open(path: str):
+    """(file system, path within it) for a path or URI as Spark names it."""
+    from pyarrow import fs
+
+    # file:/a is Hadoop's way to write file:///a
+    return fs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", path)) if ":" in path else (fs.LocalFileSystem(), path)
+
+
+def read_ranges(files: DataFrame, itemsize: int = 2, block_tokens: int = 1 << 16) -> DataFrame:
+    """Blocks (file, block, payload) of (file, path, n_bytes), each read by its own byte range, so that a long file is read by many tasks and never held whole. A path is a URI that pyarrow opens, in a store that all workers share."""
     size = itemsize * block_tokens
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
-    n = F.greatest(F.lit(1), F.ceil(F.length("content") / F.lit(size))).cast("int")
-    return files.select("file", "content", F.explode(F.sequence(F.lit(0), n - 1)).alias("block")).select("file", F.col("block").cast("long").alias("block"), F.substring("content", (F.col("block") * size + 1).cast("int"), F.lit(size)).alias("payload"))
+    n = F.ceil(F.col("n_bytes") / F.lit(size)).cast("long")
+    ranges = files.where("n_bytes > 0").select("file", "path", "n_bytes", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("block"))
+    ranges = ranges.repartition(shuffle_width(files.sparkSession), "file", "block").select("file", "path", "block", F.least(F.lit(size), F.col("n_bytes") - F.col("block") * size).alias("length"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths, blocks, lengths = (batch.column(c).to_pylist() for c in ("path", "block", "length"))
+            for at in range(0, batch.num_rows, 64):  # 64 blocks are held at a time
+                payloads = []
+                for path, block, length in zip(paths[at : at + 64], blocks[at : at + 64], lengths[at : at + 64], strict=True):
+                    store, name = _open(path)
+                    with store.open_input_file(name) as f:
+                        payloads.append(f.read_at(length, block * size))
+                yield pa.RecordBatch.from_arrays([batch.column("file").slice(at, 64), batch.column("block").slice(at, 64), pa.array(payloads, pa.binary())], names=["file", "block", "payload"])
 
+    return ranges.mapInArrow(run, f"file {files.schema['file'].dataType.simpleString()}, block long, payload binary")
 
-def flatten(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", end_id: int = 50256, block_tokens: int = 1 << 16, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Flat token blocks of each partition's documents (file: the partition; payload: little-endian 16-bit identifiers), with rows of keys beside them that say which document is which, as the blocks themselves can't: the document with ordinal first + i of the file is keys[i]."""
+
+def read_token_files(spark: SparkSession, path: str, itemsize: int = 2, block_tokens: int = 1 << 20) -> DataFrame:
+    """Blocks (file, block, payload) of the files under path; Spark lists them and their lengths, and reads none of their content for that."""
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "path", F.col("length").alias("n_bytes"))
+    return read_ranges(files, itemsize, block_tokens)
+
+
+def write_token_files(docs: DataFrame, folder: str, vocabulary: str = "byte_bpe_50k.tiktoken", end_id: int = 50256, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Writes each partition's documents as a flat file (little-endian 16-bit identifiers, no index) in a shared folder, and returns (file, path, n_bytes, first, keys): a row for each file, and beside it rows of keys that say which document is which, as the files can't: the document with ordinal first + i of the file is keys[i].
+
+    A task that is run again writes a file of another name; only what its rows name counts. Keep the rows (materialise) before they are used more than once."""
+    kind_of_key = docs.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = load_tiktoken(vocabulary)
-        file, block, done = TaskContext.get().partitionId(), 0, 0
-        rest = np.empty(0, dtype="<u2")
+        file, done, size = TaskContext.get().partitionId(), 0, 0
+        path = f"{folder}/{file}-{uuid.uuid4().hex}.bin"
+        out = None
 
-        def rows(payloads: list[bytes], keys: list[list] | None) -> pa.RecordBatch:
-            n = len(payloads) + (keys is not None)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([file] * n, pa.int64()), pa.array([*range(block, block + len(payloads)), *[None] * (keys is not None)], pa.int64()), pa.array([*payloads, *[None] * (keys is not None)], pa.binary()),
-                 pa.array([*[None] * len(payloads), *[done] * (keys is not None)], pa.int64()), pa.array([*[None] * len(payloads), *([keys] if keys is not None else [])], pa.list_(kind))],
-                names=["file", "block", "payload", "first", "keys"])
+        def row(kind: pa.DataType, named: str | None, first: int | None, keys: list | None) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([file], pa.int64()), pa.array([named], pa.string()), pa.array([size if named else None], pa.int64()), pa.array([first], pa.int64()), pa.array([keys], pa.list_(kind))], names=["file", "path", "n_bytes", "first", "keys"])
 
-        kind = None
         for batch in batches:
-            kind = batch.schema.field(0).type
-            parts = [rest]
+            if out is None:
+                kind = batch.schema.field(0).type
+                store, name = _open(folder)
+                store.create_dir(name, recursive=True)
+                store, name = _open(path)
+                out = store.open_output_stream(name)
             for text in batch.column(1).to_pylist():
-                parts += [np.array(encoder.encode_ordinary(text), dtype="<u2"), np.array([end_id], dtype="<u2")]
-            stream = np.concatenate(parts)
-            whole = len(stream) // block_tokens * block_tokens
-            payloads = [stream[i : i + block_tokens].tobytes() for i in range(0, whole, block_tokens)]
-            rest = stream[whole:]
-            yield rows(payloads, batch.column(0).to_pylist())
-            block, done = block + len(payloads), done + batch.num_rows
-        if len(rest):
-            yield rows([rest.tobytes()], None)
+                size += out.write(np.array([*encoder.encode_ordinary(text), end_id], dtype="<u2").tobytes())
+            yield row(kind, None, done, batch.column(0).to_pylist())
+            done += batch.num_rows
+        if out is not None:
+            out.close()
+            yield row(kind, path, None, None)
+
+    return docs.select(F.col(id_column).alias("key"), text_of(text_column).alias("text")).mapInArrow(run, f"file long, path string, n_bytes long, first long, keys array<{kind_of_key}>")
+
 
-    kind = docs.schema[id_column].dataType.simpleString()
-    return docs.select(F.col(id_column).alias("key"), text_of(text_column).alias("text")).mapInArrow(run, f"file long, block long, payload binary, first long, keys array<{kind}>")
+def count_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(id, file, ordinal, n_tokens) for each document, by way of flat token files in the session's shared folder."""
+    folder = f"{checkpoint_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
+    written = materialise(write_token_files(docs, folder, id_column=id_column, text_column=text_column), "written")
+    counts = count_tokens(read_ranges(written.where(F.col("path").isNotNull()).select("file", "path", "n_bytes")))
+    keys = written.where(F.col("keys").isNotNull()).select(F.col("file").alias("of"), "first", F.posexplode("keys").alias("i", id_column)).select("of", (F.col("first") + F.col("i")).alias("nth"), id_column)
+    return keys.join(counts, (F.col("of") == F.col("file")) & (F.col("nth") == F.col("ordinal"))).select(id_column, "file", "ordinal", "n_tokens")
 
 
 def scan_blocks(blocks: DataFrame, end_id: int = 50256, dtype: str = "<u2") -> DataFrame:
@@ -134,4 +172,4 @@ def stitch(scanned: DataFrame, span: int = 1024) -> DataFrame:
 
 def count_tokens(blocks: DataFrame, end_id: int = 50256, dtype: str = "<u2", span: int = 1024) -> DataFrame:
     """(file, ordinal, n_tokens): a row for each document of each file, in file order."""
-    return stitch(scan_blocks(blocks.select("file", "block", "payload").where(F.col("block").isNotNull()), end_id, dtype), span)
+    return stitch(materialise(scan_blocks(blocks.select("file", "block", "payload").where(F.col("block").isNotNull()), end_id, dtype), "scanned"), span)

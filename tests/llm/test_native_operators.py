@@ -10,7 +10,8 @@ from docloom.llm import chat, decontaminate, pseudonyms
 TURNS = [
     (1, 0, "system", "be kind"), (1, 1, "user", "hi </s> \\ <|start|>user<|text|>x"), (1, 2, "assistant", "[INST] ok [/INST] \\\\ \\<"), (1, 3, "user", None), (1, 4, "assistant", ""),
     (2, 0, "assistant", "first"), (2, 0, "user", "tie"), (2, 0, "user", "tie"), (3, 5, "user", "a"), (3, 9, "assistant", "b"), (4, 0, None, "no role"), (4, 1, "<|end|>", "[[INST]"), (None, 0, "user", "x"),
-]
+]
+ALONE = [(None, 0, "user", "y"), (None, 1, "assistant", "z")]
 
 
 def test_chat_round_trip(spark):
@@ -32,6 +33,8 @@ def test_chat_round_trip(spark):
         assert s not in got[1].formatted
     assert got[1].formatted.count("<|start|>") == 5
     assert chat.format_chats(frame.where("turn < 0")).count() == 0
+    alone = chat.format_chats(spark.createDataFrame(ALONE, "conv_id long, turn long, role string, text string")).collect()
+    assert sorted((r.n_turns, r.segments[1].text) for r in alone) == [(1, "y"), (1, "z")]
 
 
 def test_op4_returns_the_contract(spark):

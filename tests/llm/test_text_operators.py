@@ -54,7 +54,7 @@ def test_keep_quality_keeps_columns(docs, texts):
 
 def test_empty_tables(docs):
     none = docs.where("doc_id < 0")
-    for made in (fertility.quality(none), credentials.scan_secrets(none), harmonic.pack(none), simhash.near_duplicates(none), token_scan.count_tokens(token_scan.flatten(none))):
+    for made in (fertility.quality(none), credentials.scan_secrets(none), harmonic.pack(none), simhash.near_duplicates(none), token_scan.count_documents(none)):
         assert made.count() == 0
 
 
@@ -169,10 +169,17 @@ def test_token_files(spark, tmp_path):
 
     ids = [1, 2, 9, 9, 3, 4, 5, 9, 6]
     (tmp_path / "a.bin").write_bytes(np.array(ids, dtype="<u2").tobytes())
+    (tmp_path / "b.bin").write_bytes(b"")
     blocks = token_scan.read_token_files(spark, str(tmp_path), block_tokens=2)
     assert [r.n_tokens for r in token_scan.count_tokens(blocks, 9).orderBy("ordinal").collect()] == brute_counts(ids, 9)
 
 
+def test_token_counts_of_documents(spark, docs, texts):
+    rows = token_scan.count_documents(docs.repartition(3)).collect()
+    assert sorted((r.doc_id, r.n_tokens) for r in rows) == sorted((i, len(reference_ids(t))) for i, t in texts)
+    assert len({(r.file, r.ordinal) for r in rows}) == len(texts)
+
+
 def brute_fingerprint(text):
     from xxhash import xxh64_intdigest
 
