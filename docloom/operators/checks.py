@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.operators.chunks import masked
+
 
 def violations(name: str, rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("violations")).select(F.lit(name).alias("check"), "violations")
@@ -96,6 +98,45 @@ def index_checks(indexed: DataFrame, split: DataFrame, excluded: DataFrame) -> d
     }
 
 
+def changed(before: DataFrame, after: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Keys that have another value after than before, or stand on one side only."""
+    one, two = before.select(*keys, F.col(value).alias("was")), after.select(*keys, F.col(value).alias("is"))
+    return one.join(two, keys, "full_outer").where(~F.col("was").eqNullSafe(F.col("is")))
+
+
+def masked_index_checks(plain: DataFrame, hidden: DataFrame) -> dict[str, DataFrame]:
+    """A masked index holds what the masking rules make of the plain one, and nothing that they would still find. plain: document_id, text; hidden: document_id, masked_text."""
+    want = masked(plain.select("document_id", "text"), "text").select("document_id", "masked_text")
+    again = masked(hidden.select("document_id", F.col("masked_text").alias("text")), "text")
+    return {"masked_text_differs": changed(want, hidden, ["document_id"], "masked_text"), "identifier_in_masked_text": again.where("total_replacements > 0")}
+
+
+def rebuild_checks(queries: DataFrame, registry: DataFrame, prints: tuple[DataFrame, DataFrame], orders: tuple[DataFrame, DataFrame], stores: tuple[DataFrame, DataFrame]) -> dict[str, DataFrame]:
+    """Queries are the registry's texts, and a rebuild (each pair: before, after) changes nothing. queries, registry: document_id, text_fingerprint; prints, stores: name, fingerprint; orders: query_id, place, chunk_id."""
+    known = registry.join(queries.select("document_id"), "document_id", "left_semi")
+    return {
+        "query_fingerprint_differs": changed(known, queries, ["document_id"], "text_fingerprint"),
+        "corpus_fingerprint_differs": changed(*prints, ["name"], "fingerprint"),
+        "retrieval_order_differs": changed(*orders, ["query_id", "place"], "chunk_id"),
+        "older_store_changed": changed(*stores, ["name"], "fingerprint"),
+    }
+
+
+def policy_checks(cases: DataFrame, split: DataFrame, excluded: DataFrame, used: DataFrame, frozen: DataFrame) -> dict[str, DataFrame]:
+    """What is tested has no part in training or validation, by document or family, and nothing excluded; and the run used what was frozen. used, frozen: name (of a checkpoint, an aggregation, a policy) and value."""
+    tested = cases.select("document_id").distinct()
+    families = split.join(tested, "document_id", "left_semi").select("effective_family_id").distinct()
+    of = lambda name, key: split.where(F.col("split") == name).select(key).distinct()
+    held = split.where(F.col("split") == "test").select("document_id")
+    own = split.join(held, "document_id", "left_semi").select("effective_family_id").distinct()
+    return {
+        **{f"{name}_document_tested": tested.join(of(name, "document_id"), "document_id", "left_semi") for name in ("train", "validation")},
+        **{f"{name}_family_tested": families.intersect(own).join(of(name, "effective_family_id"), "effective_family_id", "left_semi") for name in ("train", "validation")},
+        "excluded_document_tested": tested.join(excluded.select("document_id"), "document_id", "left_semi"),
+        "frozen_setting_differs": changed(frozen, used, ["name"], "value"),
+    }
+
+
 def held_out_checks(cases: DataFrame, split: DataFrame, methods: list[str], conditions: list[str]) -> dict[str, DataFrame]:
     """A test run covers the test split, all of it and nothing else, in each condition, with known labels and confidences."""
     tested = split.where(F.col("split") == "test").select("document_id")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.functions import text as T
 from docloom.operators import checks, splitting
 from docloom.operators import chunks as K
-from docloom.queries.bind import CASES_SQL, CONDITIONS, CORPUS_SQL, METHODS, Registry, cases, corpus
+from docloom.queries.bind import CASES_SQL, CONDITIONS, CORPUS_SQL, METHODS, Registry, cases, corpus, marked
 from docloom.queries.windows import OVERLAP, WINDOW
 
 query = Registry()
@@ -77,3 +78,32 @@ UNION ALL SELECT 'success_without_label', 0 UNION ALL SELECT 'confidence_out_of_
 def j19(s, d):
     done = cases(s, d).where("doc_id % 5 = 0 AND NOT (doc_id % 15 = 0 AND condition = 'end_only_masked') OR doc_id % 30 = 1")
     return checks.report(checks.held_out_checks(done, _split(s, d), METHODS, CONDITIONS))
+
+
+@query("j18_index_rebuild", f"""WITH {CORPUS_SQL} SELECT 'masked_text_differs' AS "check", (SELECT count(*) FROM corpus WHERE doc_id % 20 = 0) AS violations UNION ALL SELECT 'identifier_in_masked_text', (SELECT count(*) FROM corpus WHERE doc_id % 20 = 0)
+UNION ALL SELECT 'query_fingerprint_differs', (SELECT count(*) FROM corpus WHERE doc_id % 50 = 0 AND coalesce(text, '') <> '') UNION ALL SELECT 'corpus_fingerprint_differs', 0 UNION ALL SELECT 'retrieval_order_differs', (SELECT 2 * count(*) FROM corpus WHERE doc_id % 40 = 0) UNION ALL SELECT 'older_store_changed', 1""")
+def j18b(s, d):
+    plain = marked(s, d).select("document_id", "doc_id", "text")
+    hidden = K.masked(plain, "text").select("document_id", F.when(F.col("doc_id") % 20 == 0, F.col("text")).otherwise(F.col("masked_text")).alias("masked_text"))
+    c = corpus(s, d)
+    print_ = lambda text: T.sha256(F.coalesce(text, F.lit("")))
+    asked = c.select("document_id", print_(F.when(F.col("doc_id") % 50 != 0, F.col("text"))).alias("text_fingerprint"))
+    prints = tuple(splitting.fingerprint_at_scale(c.repartition(n), ["document_id", "text"]).withColumn("name", F.lit("corpus")) for n in (3, 7))
+    order = lambda swapped: c.select("doc_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("place")).select(F.col("doc_id").alias("query_id"), "place", F.when((F.col("doc_id") % 40 == 0) & F.lit(swapped), 3 - F.col("place")).otherwise(F.col("place")).alias("chunk_id"))
+    stores = tuple(s.range(2).select(F.concat(F.lit("store"), "id").alias("name"), (F.col("id") * 3 + x * F.col("id")).alias("fingerprint")) for x in (0, 1))
+    return checks.report(checks.masked_index_checks(plain, hidden) | checks.rebuild_checks(asked, c.select("document_id", print_(F.col("text")).alias("text_fingerprint")), prints, (order(False), order(True)), stores))
+
+
+_TESTED = "doc_id % 5 = 0 OR doc_id % 30 = 1"
+
+
+@query("j19_frozen_policies", WITH + f""", p AS (SELECT document_id, doc_id, effective_family_id, {_PART} AS split FROM corpus), t AS (SELECT * FROM p WHERE {_TESTED}), f AS (SELECT DISTINCT effective_family_id AS f FROM p WHERE split = 'test')
+SELECT 'train_document_tested' AS "check", (SELECT count(*) FROM t WHERE split = 'train') AS violations UNION ALL SELECT 'validation_document_tested', (SELECT count(*) FROM t WHERE split = 'validation')
+UNION ALL SELECT 'train_family_tested', (SELECT count(*) FROM f WHERE f IN (SELECT effective_family_id FROM p WHERE split = 'train')) UNION ALL SELECT 'validation_family_tested', (SELECT count(*) FROM f WHERE f IN (SELECT effective_family_id FROM p WHERE split = 'validation'))
+UNION ALL SELECT 'excluded_document_tested', (SELECT count(*) FROM t WHERE doc_id % 11 = 2) UNION ALL SELECT 'frozen_setting_differs', 1""")
+def j19b(s, d):
+    parts = _split(s, d)
+    setting = lambda *rows: s.createDataFrame(rows, "name string, value string")
+    frozen = setting(("checkpoint", "epoch-2"), ("aggregation", "mean_probabilities"), ("condition_policy", "v1"))
+    used = setting(("checkpoint", "epoch-2"), ("aggregation", "max_confidence"), ("condition_policy", "v1"))
+    return checks.report(checks.policy_checks(cases(s, d).where(_TESTED), parts, parts.where("doc_id % 11 = 2"), used, frozen))
