@@ -253,11 +253,15 @@ def histogram(s, d):
     return corpus(s, d).groupBy(F.least(F.floor(F.col("n_chars") / 500), F.lit(39).cast("long")).alias("bin")).agg(F.count("*").alias("n"))
 
 
-@query("j01_split_invariants", "SELECT unnest(['document_overlap', 'family_overlap', 'eligible_not_once', 'excluded_in_split']) AS \"check\", 0::BIGINT AS violations")
+@query("j01_split_invariants", WITH + """, s AS (SELECT doc_id, effective_family_id AS f, 'own' AS part FROM corpus WHERE doc_id % 17 <> 1 UNION ALL SELECT doc_id, effective_family_id, 'other' FROM corpus WHERE doc_id % 13 = 0), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1)
+SELECT 'document_overlap' AS "check", (SELECT count(*) FROM n WHERE n > 1) AS violations UNION ALL SELECT 'family_overlap', (SELECT count(*) FROM (SELECT f FROM s GROUP BY f HAVING count(DISTINCT part) > 1))
+UNION ALL SELECT 'eligible_not_once', (SELECT count(*) FROM corpus LEFT JOIN n USING (doc_id) WHERE doc_id % 19 <> 0 AND coalesce(n, 0) <> 1) UNION ALL SELECT 'excluded_in_split', (SELECT count(*) FROM s WHERE doc_id % 19 = 0)""")
 def j01(s, d):
+    """Planted: documents that the split lost, that it has twice, and that are not eligible."""
     c = corpus(s, d)
-    split = splitting.split_documents(c, splitting.family_split(c))
-    return checks.report(checks.split_checks(c, split))
+    split = splitting.split_documents(c, splitting.family_split(c)).select("document_id", "doc_id", "effective_family_id", "split")
+    planted = split.where("doc_id % 17 <> 1").unionByName(split.where("doc_id % 13 = 0").withColumn("split", F.lit("other")))
+    return checks.report(checks.split_checks(c.where("doc_id % 19 <> 0"), planted))
 
 
 @query("d10_overlap_checks", f"WITH {CORPUS_SQL}, {_STRAT} SELECT a.split AS a, b.split AS b, count(DISTINCT a.effective_family_id) AS shared FROM strat a JOIN strat b ON a.effective_family_id = b.effective_family_id AND a.split < b.split GROUP BY 1, 2")

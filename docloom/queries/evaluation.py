@@ -192,12 +192,22 @@ def h19(s, d):
     return E.paired_bootstrap(cases(s, d).where(F.col("condition") == "complete_unmasked"), METHODS)
 
 
-@query("j20_evaluation_invariants", "SELECT unnest(['case_repeats', 'unknown_document', 'document_not_evaluated', 'input_differs']) AS \"check\", 0::BIGINT AS violations")
+@query("j20_evaluation_invariants", f"""WITH {CORPUS_SQL} SELECT 'case_repeats' AS "check", (SELECT count(*) FROM corpus WHERE doc_id % 23 = 0 AND doc_id % 31 <> 0) AS violations UNION ALL SELECT 'unknown_document', (SELECT CAST(sum(CASE WHEN doc_id % 23 = 0 THEN 31 ELSE 30 END) AS BIGINT) FROM corpus WHERE doc_id % 29 = 0 AND doc_id % 31 <> 0)
+UNION ALL SELECT 'document_not_evaluated', (SELECT count(*) FROM corpus WHERE doc_id % 31 = 0 AND doc_id % 29 <> 0) UNION ALL SELECT 'input_differs', (SELECT count(*) FROM corpus WHERE doc_id % 37 = 0 AND doc_id % 31 <> 0)""")
 def j20(s, d):
-    return checks.report(checks.evaluation_checks(cases(s, d), corpus(s, d).select("document_id")))
+    """Planted: cases that repeat, unknown and missing documents, and a method that saw another input."""
+    c = cases(s, d).where("doc_id % 31 <> 0")
+    other = (F.col("doc_id") % 37 == 0) & (F.col("method") == "llm_rag") & (F.col("condition") == "end_only_masked")
+    planted = c.unionByName(c.where("doc_id % 23 = 0 AND method = 'llm' AND condition = 'complete_masked'")).withColumn("input_fingerprint", F.when(other, "another").otherwise(F.col("input_fingerprint")))
+    return checks.report(checks.evaluation_checks(planted, corpus(s, d).where("doc_id % 29 <> 0").select("document_id")))
 
 
-@query("h32_case_results")
+_PROMPT = "'Classify the document into one of USCIS, DMV, SSA, IRS.' || chr(10) || chr(10) || 'Document:' || chr(10) || substr(text, 1, 6000)"
+_TEMPLATE = "'Classify the document into one of {labels}.' || chr(10) || '{context}' || chr(10) || 'Document:' || chr(10) || '{document}'"
+
+
+@query("h32_case_results", f"""WITH {CORPUS_SQL}, c AS (SELECT sha256(concat_ws('|', 'llm', 'stand-in', sha256({_TEMPLATE}), document_id, 'complete_unmasked', sha256(text), sha256(''))) AS cache_key, length({_PROMPT}) AS n FROM corpus),
+l AS (SELECT *, {_N.format("n % 4")} AS label FROM c) SELECT cache_key, label AS predicted_label, 0.9::DOUBLE AS confidence, 'success' AS status, CAST(NULL AS VARCHAR) AS error_type, 1 AS attempt_count, CAST(n // 4 AS INT) AS prompt_tokens, 5 AS completion_tokens, sha256(label) AS raw_response_hash FROM l""")
 def h32(s, d):
     from docloom.plans.cases import case_keys, run_cases
 

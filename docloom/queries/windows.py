@@ -144,9 +144,11 @@ def j05(s, d):
     return checks.report(checks.chunk_checks(split, K.chunk(split, WINDOW, OVERLAP)))
 
 
-@query("j22_selection_invariants", "SELECT 'index_repeats' AS \"check\", 0::BIGINT AS violations")
+@query("j22_selection_invariants", WITH + f", {CHUNK_SQL} SELECT 'index_repeats' AS \"check\", 4 * count(DISTINCT document_id) AS violations FROM chunks WHERE CAST(document_id AS BIGINT) % 9 = 0")
 def j22(s, d):
-    return checks.report(checks.selection_checks(K.selections(chunked(s, d).groupBy("document_id").agg(F.max("total_chunks").alias("total_chunks")))))
+    """Planted: selections that take their chunks twice."""
+    some = K.selections(chunked(s, d).groupBy("document_id").agg(F.max("total_chunks").alias("total_chunks")))
+    return checks.report(checks.selection_checks(some.withColumn("selected", F.when(F.col("document_id").cast("long") % 9 == 0, F.concat("selected", "selected")).otherwise(F.col("selected")))))
 
 
 VECTORS = """v AS (SELECT CAST(vec_id AS STRING) AS chunk_id, vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e, CAST(vec_id // 5 AS STRING) AS parent, CAST(vec_id // 10 AS STRING) AS family, label, CAST(vec_id % 400 AS STRING) AS text_hash FROM embeddings),
@@ -230,8 +232,10 @@ def e25(s, d):
     return t.orderBy(F.desc("n"), "document_id").limit(10).select("document_id", "n", F.round(F.col("n") / total, 9).alias("raw_share"), F.round(1.0 / documents, 9).alias("weighted_share"))
 
 
-@query("j21_weight_invariant", "SELECT 'weights_do_not_sum_to_one' AS \"check\", 0::BIGINT AS violations")
+@query("j21_weight_invariant", WITH + f", {CHUNK_SQL} SELECT 'weights_do_not_sum_to_one' AS \"check\", count(DISTINCT document_id) AS violations FROM chunks WHERE total_chunks > 1 AND CAST(document_id AS BIGINT) % 7 = 0")
 def j21(s, d):
+    """Planted: documents that lost their first chunk after they were weighted."""
     from docloom.operators import evaluation
 
-    return checks.report(checks.weight_checks(evaluation.chunk_weights(chunked(s, d))))
+    lost = (F.col("document_id").cast("long") % 7 == 0) & (F.col("total_chunks") > 1) & (F.col("chunk_index") == 0)
+    return checks.report(checks.weight_checks(evaluation.chunk_weights(chunked(s, d)).where(~lost)))
