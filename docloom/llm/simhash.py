@@ -160,7 +160,8 @@ def profiles(docs: DataFrame, p: Similarity, id_column: str = "doc_id", text_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
-        for batch in batches:
+        # so many rows at a time, as each takes several times its text
+        for batch in (batch.slice(at, 1000) for batch in batches for at in range(0, batch.num_rows, 1000)):
             rows: list[tuple] = []
             for text in batch.column(1).to_pylist():
                 hashes = shingle_hashes(text, p.shingle)
