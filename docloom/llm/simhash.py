@@ -15,7 +15,11 @@ Where links are to differ in one bit at most, z must be one of them.
 similar_documents() goes further, to documents that share a given part of their
 shingles, whose fingerprints may differ in more bits than blocks can find. There,
 links from blocks and links from bands of minimum hashes are candidates alike, and
-each is verified on the sets of shingles.
+each is verified on the sets of shingles. A bucket of more than pair_bucket documents
+first gives a link of each to its first one, which joins its copies; documents of
+buckets that are not one component by then are joined with each other exactly, by
+prefixes of their shingles, rare ones first, so that what many of them share (a
+passage, a licence) makes no pairs.
 
 Defined cases: null and empty texts have fingerprint zero, which links like any
 other; a text shorter than a shingle is one shingle; repeated rows get a row
@@ -32,6 +36,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docloom.llm.common import materialise, text_of
@@ -129,7 +134,7 @@ def near_duplicates(docs: DataFrame, p: SimHash | None = None, id_column: str =
 
 @dataclass(frozen=True)
 class Similarity:
-    """shingle: words in a shingle; least: of the shingles of two documents, the share that both have (Jaccard's); bands of so many rows of minimum hashes; buckets of more than pair_bucket documents give a link to their first one, smaller ones all pairs."""
+    """shingle: words in a shingle; least: of the shingles of two documents, the share that both have (Jaccard's); bands of so many rows of minimum hashes; in buckets of up to pair_bucket documents all pairs are candidates, in larger ones those that prefixes leave (see similar_in_buckets)."""
 
     shingle: int = 5
     least: float = 0.8
@@ -176,6 +181,43 @@ def profiles(docs: DataFrame, p: Similarity, id_column: str = "doc_id", text_col
     return docs.select(F.col(id_column).cast("long").alias("key"), text_of(text_column).alias("text")).mapInArrow(run, "key long, fp long, same long, bag array<int>, bands array<long>")
 
 
+def verified(found: DataFrame, pairs: DataFrame, p: Similarity) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles (key, bag of found) are similar."""
+    pairs = materialise(pairs, "candidates")
+    # most sets have no part in any pair: they are left out before sets are sent anywhere
+    filter_ = materialise(bloom(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().select(F.xxhash64("key").alias("hash")), p.filter), "filter").scalar()
+    of_pairs = found.where(passes(F.xxhash64("key"), filter_, p.filter))
+    bags = [of_pairs.select(F.col("key").alias(c), F.col("bag").alias(f"bag_{c}")) for c in "ab"]
+    both = F.size(F.array_intersect("bag_a", "bag_b"))
+    similar = both >= p.least * (F.size("bag_a") + F.size("bag_b") - both)
+    return pairs.join(bags[0], "a").join(bags[1], "b").where(similar).select("a", "b")
+
+
+def similar_in_buckets(found: DataFrame, members: DataFrame, groups: DataFrame, p: Similarity) -> DataFrame:
+    """(a, b): the similar pairs of different components (groups) among the members (key, band, bucket) of buckets that hold several.
+
+    Similar sets share a shingle of their prefixes, beyond which what is left is too small a part of the set, whatever common order
+    shingles have; rare ones come first. Nothing before the first shared one is shared, so the places of it bound what both can have."""
+    known = members.join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    known = materialise(known, "known")
+    open_ = known.groupBy("band", "bucket").agg((F.min("component") != F.max("component")).alias("several")).where("several")
+    left_over = materialise(known.join(open_, ["band", "bucket"]).select("key", "component").distinct(), "open")
+    # one row of those that share an id, and each shingle of it with the number of documents that have it
+    sets = found.join(left_over, "key").dropDuplicates(["key", "same"]).select("key", "component", F.size("bag").alias("n"), "same", F.explode("bag").alias("shingle"))
+    counts = sets.groupBy("shingle").agg(F.count("*").alias("df"))
+    # a shingle that one document has can't be shared, but has its place
+    rank = F.row_number().over(W.partitionBy("key", "same").orderBy("df", "shingle"))
+    prefix = F.col("n") - F.ceil(p.least * F.col("n") - 1e-9) + 1
+    first = sets.join(counts, "shingle").withColumn("place", rank).where((F.col("place") <= prefix) & (F.col("df") > 1))
+    first = materialise(first.select("key", "component", "n", "shingle", "place"), "prefixes")
+    left, right = (first.select("shingle", F.col("key").alias(c), F.col("component").alias(f"c_{c}"), F.col("n").alias(f"n_{c}"), F.col("place").alias(f"place_{c}")) for c in "ab")
+    sized = F.least("n_a", "n_b") >= p.least * F.greatest("n_a", "n_b")
+    met = left.join(right, "shingle").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & sized)
+    pairs = met.groupBy("a", "b", "n_a", "n_b").agg(F.min("place_a").alias("place_a"), F.min("place_b").alias("place_b"))
+    most = 1 + F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
+    return verified(found, pairs.where(most >= p.least / (1 + p.least) * (F.col("n_a") + F.col("n_b")) - 1e-9).select("a", "b").distinct(), p)
+
+
 def similar_documents(docs: DataFrame, p: Similarity | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, component_id): component_id is the smallest id that is reached by links between documents of at least the given similarity. Rows with a null id are left out."""
     p = p or Similarity()
@@ -201,15 +243,9 @@ def similar_documents(docs: DataFrame, p: Similarity | None = None, id_column: s
         pairs = pairs.select("a", "n_a", "b", "n_b").unionByName(more.select("a", "n_a", "b", "n_b"))
     # sets of too different sizes can't be similar
     pairs = pairs.where((F.col("a") != F.col("b")) & (F.least("n_a", "n_b") >= p.least * F.greatest("n_a", "n_b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = materialise(pairs, "candidates")
-    # most sets have no part in any pair: they are left out before sets are sent anywhere
-    filter_ = materialise(bloom(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().select(F.xxhash64("key").alias("hash")), p.filter), "filter").scalar()
-    of_pairs = found.where(passes(F.xxhash64("key"), filter_, p.filter))
-    bags = [of_pairs.select(F.col("key").alias(c), F.col("bag").alias(f"bag_{c}")) for c in "ab"]
-    both = F.size(F.array_intersect("bag_a", "bag_b"))
-    similar = both >= p.least * (F.size("bag_a") + F.size("bag_b") - both)
-    links = materialise(pairs.join(bags[0], "a").join(bags[1], "b").where(similar).select("a", "b"), "similar")
-    groups = connected_components(links)
+    links = materialise(verified(found, pairs, p), "similar")
+    large = members.where(F.col("members") > p.pair_bucket).select("key", "band", "bucket")
+    groups = connected_components(links.unionByName(similar_in_buckets(found, large, connected_components(links), p)))
     named = first.join(groups, first["first"] == groups["node"], "left").select(F.col("same").alias("of_same"), F.col("fp").alias("of_fp"), F.coalesce("component", "first").alias("component_id"))
     named = materialise(named, "named")
     return found.join(named, (found["same"] == named["of_same"]) & (found["fp"] == named["of_fp"])).select(F.col("key").alias(id_column), "component_id")
