@@ -16,7 +16,8 @@ DEMO_KEY = "docloom-demo-key"
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = decontaminate.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select("doc_id", "n_items", F.array_join(F.transform("items", lambda x: x.cast("string")), ",").alias("items"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,6 +81,13 @@ _CONTROLS = "|".join("".join(f"\\{c}" if not c.isalnum() else c for c in m) for
 _ESCAPED = "length({0}) + length({0}) - length(replace({0}, chr(92), '')) + len(regexp_extract_all({0}, '" + _CONTROLS + "'))"
 
 ORACLES = {
+    # an overlap differs in so few words that a run of g equal ones is left between them: such runs give the offsets, at which all windows are counted
+    "op1_decontaminate": r"""WITH dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents), iw AS (SELECT item_id, w, len(w) AS n, least(len(w), 16) AS k, least(len(w), 16) - CAST(ceil(least(len(w), 16) * 0.8) AS INT) AS gone FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark)),
+ig AS (SELECT item_id, g, unnest(range(1, n - g + 2)) AS j, w FROM (SELECT *, CAST(k // (gone + 1) AS INT) AS g FROM iw WHERE n > 0)), seeds AS (SELECT item_id, g, j, array_to_string(w[j:j + g - 1], ' ') AS s FROM ig),
+dg AS (SELECT doc_id, g, unnest(range(1, len(w) - g + 2)) AS i, w FROM dw, (SELECT DISTINCT g FROM seeds)), hits AS (SELECT DISTINCT d.doc_id, s.item_id, d.i - s.j AS shift FROM (SELECT doc_id, g, i, array_to_string(w[i:i + g - 1], ' ') AS s FROM dg) d JOIN seeds s USING (g, s)),
+same AS (SELECT doc_id, item_id, k, n, gone, shift, list_transform(range(1, n + 1), lambda j: CASE WHEN j + shift BETWEEN 1 AND len(dw.w) AND dw.w[j + shift] = iw.w[j] THEN 1 ELSE 0 END) AS e FROM hits JOIN dw USING (doc_id) JOIN iw USING (item_id)),
+best AS (SELECT doc_id, item_id, k - gone AS least, max(list_max(list_transform(range(1, n - k + 2), lambda j: list_sum(e[j:j + k - 1])))) AS equal FROM same GROUP BY 1, 2, 3)
+SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM best WHERE equal >= least GROUP BY 1""",
     "op4_chat_format": f"""WITH t AS (SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL VALUES (-7, NULL, 0, 'user', '</s>[INST] ok [/INST]'), (-7, NULL, 1, 'assistant', '</s>[INST] ok [/INST]')),
 l AS (SELECT conv_id, coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, role, text) FILTER (role = 'assistant'), '') AS learnt, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, text) AS spelt, string_agg(role, ',' ORDER BY turn NULLS LAST, role, text) AS roles, count(*) AS n_turns, sum({sum(map(len, _MARKS[:3]))} + {_ESCAPED.format("role")} + {_ESCAPED.format("text")}) AS chars FROM t GROUP BY conv_id, alone)
 SELECT conv_id, n_turns, sha256(spelt) AS turns_sha256, length(learnt) AS loss_chars, sha256(learnt) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars, regexp_full_match(roles, '(system,)?user,assistant(,user,assistant)*') AS order_valid FROM l""",
@@ -99,5 +107,5 @@ SELECT w.doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha2
 
 
 def oracle_sql() -> dict[str, str]:
-    """Fingerprints, tokenisers, Feistel networks and spaced seeds have no SQL form here; those queries are tested against brute force."""
+    """Fingerprints, tokenisers and Feistel networks have no SQL form here; those queries are tested against brute force."""
     return dict(ORACLES)
