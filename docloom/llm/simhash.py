@@ -245,7 +245,10 @@ def similar_documents(docs: DataFrame, p: Similarity | None = None, id_column: s
     pairs = pairs.where((F.col("a") != F.col("b")) & (F.least("n_a", "n_b") >= p.least * F.greatest("n_a", "n_b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = materialise(verified(found, pairs, p), "similar")
     large = members.where(F.col("members") > p.pair_bucket).select("key", "band", "bucket")
-    groups = connected_components(links.unionByName(similar_in_buckets(found, large, connected_components(links), p)))
+    groups = connected_components(links)
+    further = materialise(similar_in_buckets(found, large, groups, p), "further")
+    if not further.isEmpty():
+        groups = connected_components(links.unionByName(further))
     named = first.join(groups, first["first"] == groups["node"], "left").select(F.col("same").alias("of_same"), F.col("fp").alias("of_fp"), F.coalesce("component", "first").alias("component_id"))
     named = materialise(named, "named")
     return found.join(named, (found["same"] == named["of_same"]) & (found["fp"] == named["of_fp"])).select(F.col("key").alias(id_column), "component_id")
