@@ -20,9 +20,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: lost executors cost no recomputation, and as it keeps no partitioning, later joins are dealt out (and split, where skewed) anew."""
+def materialise(df: DataFrame, label: str, row_group_bytes: int | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder: lost executors cost no recomputation, and as it keeps no partitioning, later joins are dealt out (and split, where skewed) anew. row_group_bytes: for tables of long rows, so that a task reads a few of them."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    writer = df.write if row_group_bytes is None else df.write.option("parquet.block.size", row_group_bytes)
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table that materialise() has written, once nothing reads it any more."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if not folder.rpartition("/")[0].endswith(checkpoint_dir(df.sparkSession).rpartition("/")[2]):
+            raise ValueError(f"{folder} is no intermediate table")
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
