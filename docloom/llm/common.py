@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.sources.shared import checkpoint_dir, materialise
+from docloom.sources.shared import checkpoint_dir, discard, materialise
 
-__all__ = ["WORD", "checkpoint_dir", "documents", "materialise", "shuffle_width", "text_of"]
+__all__ = ["WORD", "checkpoint_dir", "discard", "documents", "materialise", "shuffle_width", "text_of"]
 
 #: Words are maximal runs of anything but ASCII white space; bytes.split() cuts at the same characters.
 WORD = r"[^\x20\x09-\x0D]+"

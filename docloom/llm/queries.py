@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import chat, credentials, decontaminate, fertility, harmonic, phrase_dedup, pseudonyms, simhash, suffix_dedup, token_scan
+from docloom.llm import chat, credentials, decontaminate, drake, fertility, harmonic, phrase_dedup, pseudonyms, simhash, suffix_dedup, token_scan, vector_codes, vector_sql
 from docloom.llm.common import documents
 
 #: The setting that has the key of the pseudonyms, and what stands for it where none is set, as in tests.
@@ -71,8 +71,21 @@ def op10_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_dedup.repeated_phrases(documents(spark, sf_dir))
 
 
+def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = vector_codes.compress(_embeddings(spark, sf_dir))
+    return vector_codes.with_label_errors(coded).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op13_drake_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drake.cluster(_embeddings(spark, sf_dir)).drop("looked")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_decontaminate, op2_simhash, op3_token_counts, op4_chat_format, op5_quality_rules, op6_suffix_dedup, op7_secret_scan, op8_packing, op9_pseudonyms, op10_phrase_dedup]
+    own = [op1_decontaminate, op2_simhash, op3_token_counts, op4_chat_format, op5_quality_rules, op6_suffix_dedup, op7_secret_scan, op8_packing, op9_pseudonyms, op10_phrase_dedup, op11_vector_codes, op13_drake_clusters]
     return {f.__name__: f for f in own}
 
 
@@ -103,6 +116,8 @@ win AS (SELECT doc_id, p, array_to_string(ws[p:p + 12], ' ') AS k FROM (SELECT d
 gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 13)) AS p FROM win JOIN first USING (k) WHERE m < doc_id),
 kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS y FROM pos ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
 SELECT w.doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(y, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)""",
+    "op11_vector_codes": vector_sql.codes(),
+    "op13_drake_clusters": vector_sql.clusters(),
 }
 
 
