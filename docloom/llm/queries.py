@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import chat, credentials, decontaminate, drake, fertility, harmonic, phrase_dedup, pseudonyms, simhash, suffix_dedup, token_scan, vector_codes, vector_sql
+from docloom.llm import brown, chat, credentials, decontaminate, drake, fertility, harmonic, phrase_dedup, pseudonyms, simhash, suffix_dedup, token_scan, vector_codes, vector_sql
 from docloom.llm.common import documents
 
 #: The setting that has the key of the pseudonyms, and what stands for it where none is set, as in tests.
@@ -80,12 +80,16 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.with_label_errors(coded).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
 
 
+def op12_class_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score(documents(spark, sf_dir))
+
+
 def op13_drake_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drake.cluster(_embeddings(spark, sf_dir)).drop("looked")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_decontaminate, op2_simhash, op3_token_counts, op4_chat_format, op5_quality_rules, op6_suffix_dedup, op7_secret_scan, op8_packing, op9_pseudonyms, op10_phrase_dedup, op11_vector_codes, op13_drake_clusters]
+    own = [op1_decontaminate, op2_simhash, op3_token_counts, op4_chat_format, op5_quality_rules, op6_suffix_dedup, op7_secret_scan, op8_packing, op9_pseudonyms, op10_phrase_dedup, op11_vector_codes, op12_class_scores, op13_drake_clusters]
     return {f.__name__: f for f in own}
 
 
@@ -122,5 +126,5 @@ SELECT w.doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha2
 
 
 def oracle_sql() -> dict[str, str]:
-    """Fingerprints, tokenisers and Feistel networks have no SQL form here; those queries are tested against brute force."""
+    """Fingerprints, tokenisers, Feistel networks and exchange clustering have no SQL form here; those queries are tested against brute force."""
     return dict(ORACLES)
