@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
+from docloom.operators.vocabulary import cut, has_tokens
 
 POLICY = "v1"
 #: (condition, region, masked)
@@ -17,6 +18,7 @@ AGENCY_PHRASES = {
     "SSA": ["Social Security Administration", "SSA"],
     "IRS": ["Internal Revenue Service", "Department of the Treasury", "IRS"],
 }
+# Patterns of what identifies an agency.
 #: (rule, pattern, replacement), applied in this order: a rule would spoil what an earlier one needs whole.
 MASKS = [
     ("agency_url", r"(?i)\b(?:https?://)?(?:www\.)?[\w-]+(?:\.[\w-]+)*\.gov(?:/[\w\-./?%&=]*)?", "[AGENCY_URL]"),
@@ -26,11 +28,6 @@ MASKS = [
 ]
 
 
-def tokens(x: Column) -> Column:
-    """Words and single punctuation marks; a stand-in for a model's tokenizer."""
-    return F.regexp_extract_all(F.coalesce(x, F.lit("")), F.lit(r"\w+|[^\w\s]"), F.lit(0))
-
-
 def window_ranges(total: Column, window: int, step: int) -> Column:
     """array<struct<chunk_index, token_start, token_end>>: windows step apart, the last snapped back to end with the text."""
     if step <= 0:
@@ -41,23 +38,16 @@ def window_ranges(total: Column, window: int, step: int) -> Column:
     return F.slice(ranges, F.lit(1), n)
 
 
-def chunk(docs: DataFrame, window: int = 510, overlap: int = 128) -> DataFrame:
-    """A row per window with its provenance. Documents without tokens have none."""
-    # generated as a row, the tokens are computed once for all that follows
-    counted = docs.select(*docs.columns, F.explode(F.array(tokens(F.col("text")))).alias("toks"))
-    ranges = window_ranges(F.size("toks"), window, window - overlap)
-    text = lambda r: F.array_join(F.slice("toks", r["token_start"] + 1, r["token_end"] - r["token_start"]), " ")
-    made = F.transform(ranges, lambda r: F.struct(r["chunk_index"].alias("chunk_index"), r["token_start"].alias("token_start"), r["token_end"].alias("token_end"), text(r).alias("chunk_text")))
-    rows = counted.select(*docs.columns, F.explode(F.array(made)).alias("made"))
-    out = rows.select(*docs.columns, F.size("made").alias("total_chunks"), F.inline("made"))
-    return out.withColumns(
+def chunk(docs: DataFrame, window: int = 510, overlap: int = 128, vocabulary: str | None = None, ends_only: bool = False) -> DataFrame:
+    """A row per window of a vocabulary's tokens with its provenance; its text is cut from the document's. Documents without tokens have none. ends_only: the first, the middle and the last window, which are all that selections take."""
+    return cut(docs, window, overlap, vocabulary, ends_only=ends_only).withColumns(
         {
             "content_token_count": F.col("token_end") - F.col("token_start"),
             "chunk_text_hash": T.sha256(F.col("chunk_text")),
             "parent_text_hash": T.sha256(F.coalesce("text", F.lit(""))),
             "chunk_id": T.joined_hash(F.lit(POLICY), F.col("document_id"), F.col("chunk_index"), F.col("token_start"), F.col("token_end")),
         }
-    ).drop("toks", "text")
+    ).drop("text")
 
 
 def model_inputs(ids: Column, width: int = 512, first: int = 101, last: int = 102, pad: int = 0) -> tuple[Column, Column]:
@@ -67,14 +57,10 @@ def model_inputs(ids: Column, width: int = 512, first: int = 101, last: int = 10
     return F.concat(whole, rest(pad)), F.concat(F.transform(whole, lambda _: F.lit(1)), rest(0))
 
 
-def chunk_split(docs: DataFrame, window: int = 510, overlap: int = 128) -> DataFrame:
+def chunk_split(docs: DataFrame, window: int = 510, overlap: int = 128, vocabulary: str | None = None) -> DataFrame:
     """chunk, with its query failing on a document without tokens: in a saved split each document has text."""
-    some = F.when(F.size(tokens(F.col("text"))) > 0, F.col("text")).otherwise(F.raise_error(F.concat(F.lit("no chunks: "), F.col("document_id"))).cast("string"))
-    return chunk(docs.withColumn("text", some), window, overlap)
-
-
-def first_tokens(x: Column, n: int = 510) -> Column:
-    return F.slice(tokens(x), 1, n)
+    some = F.when(has_tokens(), F.col("text")).otherwise(F.raise_error(F.concat(F.lit("no chunks: "), F.col("document_id"))).cast("string"))
+    return chunk(docs.withColumn("text", some), window, overlap, vocabulary)
 
 
 def sampled_windows(total: Column, window: int, overlap: int, most: int) -> Column:

@@ -10,6 +10,7 @@ from docloom.operators import chunks as K
 from docloom.operators import corpus as C
 from docloom.operators import evaluation as E
 from docloom.operators import retrieval
+from docloom.operators.vocabulary import encoded, has_tokens
 from docloom.queries.bind import CORPUS_SQL, SCORES_SQL, Registry, corpus, scores, table
 from docloom.queries.corpus import STOP
 from docloom.queries.evaluation import KEYED, KEYED_SUMMARY, _f1_sql, _summary
@@ -105,7 +106,7 @@ def b41(s, d):
 
 @query("c04_split_chunks", WITH_CHUNKS + "SELECT CASE WHEN doc_id % 5 = 0 THEN 'test' ELSE 'train' END AS split, count(DISTINCT document_id) AS documents, count(*) AS n FROM chunks GROUP BY 1")
 def c04(s, d):
-    docs = corpus(s, d).where(F.size(K.tokens(F.col("text"))) > 0).select("document_id", "text", F.when(F.col("doc_id") % 5 == 0, "test").otherwise("train").alias("split"))
+    docs = corpus(s, d).where(has_tokens()).select("document_id", "text", F.when(F.col("doc_id") % 5 == 0, "test").otherwise("train").alias("split"))
     return K.chunk_split(docs, WINDOW, OVERLAP).groupBy("split").agg(F.count_distinct("document_id").alias("documents"), F.count("*").alias("n"))
 
 
@@ -114,12 +115,13 @@ def c11(s, d):
     return corpus(s, d).select(F.explode(T.words_for_counts(F.col("text"), STOP)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
-@query("c13_model_inputs", "SELECT vec_id, 16::INT AS width, least(vec_id % 20 + 2, 16)::INT AS attended, CAST(list_sum(([101] || list_transform(range(vec_id % 20), lambda i: i + 1000) || [102])[1:16]) AS BIGINT) AS total FROM embeddings")
+@query("c13_model_inputs", WITH_CHUNKS + ", x AS (SELECT document_id, ([50256] || ids[1:510] || [50256]) AS whole FROM toks) SELECT document_id, 512::INT AS width, CAST(len(whole) AS INT) AS attended, sha256(array_to_string(whole || list_transform(range(512 - len(whole)), lambda i: 0), ',')) AS ids_sha256 FROM x")
 def c13(s, d):
-    n = F.col("vec_id") % 20
-    ids, mask = K.model_inputs(F.expr("transform(filter(sequence(0, 19), i -> i < vec_id % 20), i -> i + 1000)"), 16)
-    add = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
-    return table(s, d, "embeddings").where(n.isNotNull()).select("vec_id", F.size(ids).alias("width"), add(mask).alias("attended"), add(ids).cast("long").alias("total"))
+    # the vocabulary has one free id, which stands at both ends
+    ids, mask = K.model_inputs(F.slice("ids", 1, 510), 512, 50256, 50256)
+    rows = encoded(corpus(s, d).select("document_id", "text")).select("document_id", ids.alias("input_ids"), mask.alias("attention_mask"))
+    add = F.aggregate("attention_mask", F.lit(0), lambda x, y: x + y)
+    return rows.select("document_id", F.size("input_ids").alias("width"), add.alias("attended"), T.sha256(F.array_join(F.transform("input_ids", lambda x: x.cast("string")), ",")).alias("ids_sha256"))
 
 
 @query("d05_split_with_audit", WITH_FAMILIES + "SELECT u.document_id, u.split, f.family_id FROM (SELECT document_id, 'train' AS split FROM corpus WHERE doc_id % 5 > 1 UNION ALL SELECT document_id, 'validation' FROM corpus WHERE doc_id % 5 = 1 UNION ALL SELECT document_id, 'test' FROM corpus WHERE doc_id % 5 = 0) u LEFT JOIN families f USING (document_id)")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from docloom.functions import text as T
 from docloom.operators import checks, retrieval
 from docloom.operators import chunks as K
+from docloom.operators.vocabulary import encoded, tokens_sql
 from docloom.queries.bind import CORPUS_SQL, MARKED_SQL, Registry, corpus, marked, table
 
 query = Registry()
@@ -21,14 +22,20 @@ def ranges_sql(source: str, total: str) -> str:
 FROM (SELECT *, unnest(range(nn)) AS chunk_index FROM (SELECT *, CASE WHEN {total} <= 0 THEN 0 WHEN {total} <= {WINDOW} THEN 1 ELSE 1 + CAST(ceil(({total} - {WINDOW}) / {STEP}) AS BIGINT) END AS nn FROM {source})))"""
 
 
-CHUNK_SQL = rf"""toks AS (SELECT document_id, doc_id, effective_agency, effective_family_id, text, regexp_extract_all(text, '\w+|[^\w\s]') AS tk, len(regexp_extract_all(text, '\w+|[^\w\s]')) AS total FROM corpus),
-chunks AS (SELECT document_id, doc_id, effective_agency, effective_family_id, CAST(total_chunks AS INT) AS total_chunks, CAST(chunk_index AS INT) AS chunk_index, CAST(token_start AS INT) AS token_start, CAST(token_end AS INT) AS token_end, array_to_string(tk[token_start + 1:token_end], ' ') AS chunk_text, sha256('v1|' || document_id || '|' || chunk_index || '|' || token_start || '|' || token_end) AS chunk_id FROM {ranges_sql("toks", "total")})"""
+def chunk_sql(source: str) -> str:
+    return f"""toks AS MATERIALIZED (SELECT c.document_id, doc_id, effective_agency, effective_family_id, text, coalesce(ids, []) AS ids, starts, ends, len(coalesce(ids, [])) AS total FROM {source} c LEFT JOIN ({tokens_sql(source)}) t ON t.document_id = c.document_id),
+chunks AS MATERIALIZED (SELECT document_id, doc_id, effective_agency, effective_family_id, CAST(total_chunks AS INT) AS total_chunks, CAST(chunk_index AS INT) AS chunk_index, CAST(token_start AS INT) AS token_start, CAST(token_end AS INT) AS token_end, substring(text, starts[token_start + 1] + 1, ends[token_end] - starts[token_start + 1]) AS chunk_text, sha256('v1|' || document_id || '|' || chunk_index || '|' || token_start || '|' || token_end) AS chunk_id FROM {ranges_sql("toks", "total")})"""
 
 
-@query("c01_tokens", f"WITH {CORPUS_SQL}, {CHUNK_SQL} SELECT document_id, total AS n_tokens, array_to_string(tk[1:5], '|') AS first_five FROM toks")
+CHUNK_SQL = chunk_sql("corpus")
+
+
+@query("c01_tokens", f"WITH {CORPUS_SQL}, {CHUNK_SQL} SELECT document_id, total AS n_tokens, array_to_string(ids[1:5], '|') AS first_five, array_to_string(ends[1:5], '|') AS first_ends, coalesce(CAST(list_sum(ids) AS BIGINT), 0) AS id_sum, coalesce(CAST(list_sum(ends) AS BIGINT), 0) AS end_sum FROM toks")
 def c01(s, d):
-    tk = K.tokens(F.col("text"))
-    return corpus(s, d).select("document_id", F.size(tk).cast("long").alias("n_tokens"), F.array_join(F.slice(tk, 1, 5), "|").alias("first_five"))
+    five = lambda c: F.array_join(F.transform(F.slice(c, 1, 5), lambda x: x.cast("string")), "|")
+    add = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda x, y: x + y)
+    rows = encoded(corpus(s, d).select("document_id", "text"))
+    return rows.select("document_id", F.size("ids").cast("long").alias("n_tokens"), five("ids").alias("first_five"), five("ends").alias("first_ends"), add("ids").alias("id_sum"), add("ends").alias("end_sum"))
 
 
 @query("c02_chunk_ranges", f"WITH {CORPUS_SQL} SELECT document_id, CAST(chunk_index AS INT) AS chunk_index, CAST(token_start AS INT) AS token_start, CAST(token_end AS INT) AS token_end FROM {ranges_sql('corpus', 'n_chars')}")
@@ -45,9 +52,9 @@ def c03(s, d):
     return chunked(s, d).select("document_id", "chunk_index", "total_chunks", "token_start", "token_end", "chunk_id", "chunk_text_hash")
 
 
-@query("c05_first_tokens", f"WITH {CORPUS_SQL}, {CHUNK_SQL} SELECT document_id, sha256(array_to_string(tk[1:510], ' ')) AS digest FROM toks")
+@query("c05_first_tokens", f"WITH {CORPUS_SQL}, {CHUNK_SQL} SELECT document_id, sha256(array_to_string(ids[1:510], ' ')) AS digest FROM toks")
 def c05(s, d):
-    return corpus(s, d).select("document_id", T.sha256(F.array_join(K.first_tokens(F.col("text")), " ")).alias("digest"))
+    return encoded(corpus(s, d).select("document_id", "text")).select("document_id", T.sha256(F.array_join(F.transform(F.slice("ids", 1, 510), lambda x: x.cast("string")), " ")).alias("digest"))
 
 
 @query("c06_sampled_windows", f"""WITH {CORPUS_SQL}, w AS (SELECT document_id, n_chars AS n, CAST(i AS BIGINT) AS i, greatest(CASE i WHEN 0 THEN 0 WHEN 1 THEN CAST(floor(n_chars / 2) AS BIGINT) - {OVERLAP} ELSE n_chars - {WINDOW} END, 0) AS st FROM corpus, range(3) AS t(i) WHERE n_chars > 0)
@@ -105,26 +112,26 @@ def e21(s, d):
     return rows.groupBy("rule").agg(F.sum("n").alias("matches"), F.count_if(F.col("n") > 0).alias("documents"))
 
 
-@query("b22_masked_chunks", f"WITH {CORPUS_SQL}, {MARKED_SQL}, {CHUNK_SQL.replace('FROM corpus)', 'FROM marked)', 1)} SELECT chunk_id, n0 + n1 + n2 + n3 + n4 + n5 + n6 AS total_replacements, sha256({LAST}) AS masked_text_hash FROM {masked_sql('chunks', 'chunk_text')}")
+@query("b22_masked_chunks", f"WITH {CORPUS_SQL}, {MARKED_SQL}, {chunk_sql('marked')} SELECT chunk_id, n0 + n1 + n2 + n3 + n4 + n5 + n6 AS total_replacements, sha256({LAST}) AS masked_text_hash FROM {masked_sql('chunks', 'chunk_text')}")
 def b22(s, d):
     cut = K.chunk(marked(s, d).select("document_id", "text"), WINDOW, OVERLAP)
     return K.masked(cut, "chunk_text").select("chunk_id", "total_replacements", "masked_text_hash")
 
 
-@query("c09_condition_registry", f"""WITH {CORPUS_SQL}, {MARKED_SQL}, {CHUNK_SQL.replace('FROM corpus)', 'FROM marked)', 1)}, {SELECTED_SQL}, mc AS (SELECT document_id, chunk_index, chunk_id, chunk_text, {LAST} AS hidden FROM {masked_sql('chunks', 'chunk_text')}),
+@query("c09_condition_registry", f"""WITH {CORPUS_SQL}, {MARKED_SQL}, {chunk_sql('marked')}, {SELECTED_SQL}, mc AS (SELECT document_id, chunk_index, chunk_id, chunk_text, {LAST} AS hidden FROM {masked_sql('chunks', 'chunk_text')}),
 parts AS (SELECT s.document_id, s.condition, string_agg(mc.chunk_text, chr(10) || chr(10) ORDER BY mc.chunk_index) AS plain, string_agg(mc.hidden, chr(10) || chr(10) ORDER BY mc.chunk_index) AS hidden, string_agg(mc.chunk_id, ',' ORDER BY mc.chunk_index) AS ids FROM (SELECT *, unnest(idx) AS i FROM sel) s JOIN mc ON mc.document_id = s.document_id AND mc.chunk_index = s.i GROUP BY 1, 2),
 whole AS (SELECT document_id, text, {LAST} AS hidden FROM {masked_sql('marked', 'text')})
 SELECT document_id, 'complete_unmasked' AS condition, false AS masked, sha256(text) AS text_fingerprint, '' AS source_chunk_ids FROM whole UNION ALL SELECT document_id, 'complete_masked', true, sha256(hidden), '' FROM whole
 UNION ALL SELECT document_id, condition || '_unmasked', false, sha256(plain), ids FROM parts UNION ALL SELECT document_id, condition || '_masked', true, sha256(hidden), ids FROM parts""")
 def c09(s, d):
     m = marked(s, d)
-    return K.registry(m.select("document_id", "text"), K.chunk(m.select("document_id", "text"), WINDOW, OVERLAP)).select("document_id", "condition", "masked", "text_fingerprint", "source_chunk_ids")
+    return K.registry(m.select("document_id", "text"), K.chunk(m.select("document_id", "text"), WINDOW, OVERLAP, ends_only=True)).select("document_id", "condition", "masked", "text_fingerprint", "source_chunk_ids")
 
 
 @query("e23_registry_counts", f"WITH {CORPUS_SQL} SELECT c AS condition, count(*) AS n FROM corpus, (SELECT unnest([{', '.join(repr(c) for c, _, _ in K.CONDITIONS)}]) AS c) GROUP BY 1")
 def e23(s, d):
     m = marked(s, d)
-    return K.registry(m.select("document_id", "text"), K.chunk(m.select("document_id", "text"), WINDOW, OVERLAP)).groupBy("condition").agg(F.count("*").alias("n"))
+    return K.registry(m.select("document_id", "text"), K.chunk(m.select("document_id", "text"), WINDOW, OVERLAP, ends_only=True)).groupBy("condition").agg(F.count("*").alias("n"))
 
 
 @query("e20_chunk_distribution", f"WITH {CORPUS_SQL}, {CHUNK_SQL}, t AS (SELECT document_id, effective_agency, count(*) AS n FROM chunks GROUP BY 1, 2) SELECT effective_agency, min(n) AS least, round(quantile_cont(n, 0.5), 6) AS p50, round(avg(n), 6) AS mean, round(quantile_cont(n, 0.9), 6) AS p90, round(quantile_cont(n, 0.95), 6) AS p95, max(n) AS most, count(*) FILTER (n = 1) AS single, count(*) FILTER (n > 1) AS multiple FROM t GROUP BY 1")
