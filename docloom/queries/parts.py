@@ -15,7 +15,7 @@ from docloom.queries.bind import CORPUS_SQL, SCORES_SQL, Registry, corpus, score
 from docloom.queries.corpus import STOP
 from docloom.queries.evaluation import KEYED, KEYED_SUMMARY, _f1_sql, _summary
 from docloom.queries.scalars import FAMILY_SQL
-from docloom.queries.windows import CHUNK_SQL, DIVERSE, OVERLAP, VECTORS, WINDOW, _retrieved, chunked, nearest, vectors
+from docloom.queries.windows import CHUNK_SQL, DIVERSE, OVERLAP, VECTORS, WINDOW, _retrieved, chunked, indexed, nearest, vectors
 
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
@@ -220,6 +220,6 @@ def h37(s, d):
 @query("h38_retrieved_labels", f"WITH {VECTORS}, r AS (SELECT query_id, query_label, label, place, similarity FROM knn WHERE place <= 5) SELECT query_id, max(similarity) AS best_similarity, count(*) FILTER (label = query_label) AS same_label FROM r GROUP BY 1")
 def h38(s, d):
     v = vectors(s, d)
-    found = retrieval.nearest(v, v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "vector"), 5)
+    found = indexed(s, d, 5, ["label"])
     of = v.select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label"))
-    return found.join(v.select("chunk_id", "label"), "chunk_id").join(of, "query_id").groupBy("query_id").agg(F.max("similarity").alias("best_similarity"), F.count_if(F.col("label") == F.col("query_label")).alias("same_label"))
+    return found.join(of, "query_id").groupBy("query_id").agg(F.max("similarity").alias("best_similarity"), F.count_if(F.col("label") == F.col("query_label")).alias("same_label"))

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
+from docloom.operators import vector_index
 from docloom.queries.bind import CASES_SQL, CORPUS_SQL, SCORES_SQL, Registry, cases, corpus, scores, table
+from docloom.queries.windows import SMALL_INDEX
 from docloom.sources import tables
 from docloom.sources.shared import checkpoint_dir
 
@@ -116,15 +118,16 @@ def a13(s, d):
 @query("a14_index_replaced", "SELECT CAST(vec_id AS STRING) AS chunk_id, label FROM embeddings WHERE label < 5")
 def a14(s, d):
     path = _fresh(s, "index")
-    chunks = table(s, d, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"), "embedding", "label", F.lit("not kept").alias("text"))
-    tables.build_index(chunks, path)
-    return tables.build_index(chunks.where("label < 5"), path).select("chunk_id", "label")
+    chunks = table(s, d, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"), F.col("embedding").alias("vector"), "label", F.lit("not kept").alias("text"))
+    vector_index.build(chunks, path, SMALL_INDEX)
+    return vector_index.build(chunks.where("label < 5"), path, SMALL_INDEX).table.select("chunk_id", "label")
 
 
 @query("a15_index_report", "SELECT count(*) AS vectors, count(DISTINCT vec_id) AS chunks, CAST(min(len(embedding)) AS INT) AS least_width, CAST(max(len(embedding)) AS INT) AS most_width FROM embeddings")
 def a15(s, d):
-    chunks = table(s, d, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"), "embedding")
-    return tables.index_report(tables.build_index(chunks, _fresh(s, "index")))
+    path = _fresh(s, "index")
+    vector_index.build(table(s, d, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"), F.col("embedding").alias("vector")), path, SMALL_INDEX)
+    return vector_index.report(vector_index.load(s, path))
 
 
 @query("a17_settings", "SELECT unnest(['overlap', 'seed', 'window']) AS name, unnest([128, 7, 510])::BIGINT AS setting")

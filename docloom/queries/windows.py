@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
-from docloom.operators import checks, retrieval
+from docloom.operators import checks, retrieval, vector_index
 from docloom.operators import chunks as K
 from docloom.operators.vocabulary import encoded, tokens_sql
 from docloom.queries.bind import CORPUS_SQL, MARKED_SQL, Registry, corpus, marked, table
+from docloom.sources.shared import checkpoint_dir
 
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
@@ -177,6 +180,22 @@ def d13(s, d):
     return nearest(s, d).select("query_id", "chunk_id", "similarity", "place")
 
 
+#: Few cells for small tables: each is a file at least.
+SMALL_INDEX = vector_index.IndexPlan(centroids=8, rings=4)
+
+
+def indexed(s, d, k=20, columns=None):
+    """The neighbours of d13 through an index on disk."""
+    v = vectors(s, d)
+    index = vector_index.build(v, f"{checkpoint_dir(s)}/vectors-{uuid.uuid4().hex}", SMALL_INDEX)
+    return vector_index.search(index, v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "vector"), k, columns=columns)
+
+
+@query("d13_indexed_top20", f"WITH {VECTORS} SELECT query_id, chunk_id, similarity, place, label FROM knn")
+def d13_indexed(s, d):
+    return indexed(s, d, columns=["label"])
+
+
 DIVERSE = """fold(query_id, place, parents, families, hashes, chunk_id, taken) AS (SELECT DISTINCT query_id, 0, CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), '', false FROM knn UNION ALL
 SELECT query_id, place, CASE WHEN ok THEN list_append(parents, parent) ELSE parents END, CASE WHEN ok THEN list_append(families, family) ELSE families END, CASE WHEN ok THEN list_append(hashes, text_hash) ELSE hashes END, chunk_id, ok
 FROM (SELECT k.query_id, k.place, f.parents, f.families, f.hashes, k.parent, k.family, k.text_hash, k.chunk_id, len(f.parents) < 5 AND len(list_filter(f.parents, lambda x: x = k.parent)) < 2 AND len(list_filter(f.families, lambda x: x = k.family)) < 2 AND NOT list_contains(f.hashes, k.text_hash) AS ok FROM fold f JOIN knn k ON k.query_id = f.query_id AND k.place = f.place + 1)),

@@ -96,12 +96,6 @@ def is_pdf_response(status: Column, content_type: Column) -> Column:
     return F.coalesce((status == 200) & F.contains(F.lower(content_type), F.lit("pdf")), F.lit(False))
 
 
-def index_report(index: DataFrame) -> DataFrame:
-    """Vectors, chunk ids and widths of a vector table."""
-    width = F.size("embedding")
-    return index.agg(F.count("*").alias("vectors"), F.count_distinct("chunk_id").alias("chunks"), F.min(width).alias("least_width"), F.max(width).alias("most_width"))
-
-
 def missing_from(wanted: DataFrame, stored: DataFrame, key: str = "cache_key") -> DataFrame:
     """What a cache does not have: each key once."""
     return wanted.dropDuplicates([key]).join(stored.select(key), key, "left_anti")
@@ -113,12 +107,6 @@ def newest(stored: DataFrame, key: str = "cache_key", order: str = "stored_at")
     return stored.groupBy(key).agg(F.max_by(F.struct(*columns), order).alias("row")).select(key, "row.*")
 
 
-def build_index(chunks: DataFrame, path: str) -> DataFrame:
-    """A vector table (chunk_id, embedding, metadata; no text), in place of an older one."""
-    chunks.drop("chunk_text", "text", "masked_text").write.mode("overwrite").parquet(path)
-    return chunks.sparkSession.read.parquet(path)
-
-
 def snippet_index(docs: DataFrame, n: int = 500) -> DataFrame:
     return docs.withColumn("snippet", F.substring("text", 1, n)).drop("text")
 

@@ -314,8 +314,6 @@ def test_sources(spark, tmp_path):
     assert tables.read_manifest(spark, str(tmp_path / "manifest"), "a string, b int").first() == ("x", 1)
     stored = spark.createDataFrame([("k", 1, "old"), ("k", 2, "new")], "cache_key string, stored_at int, v string")
     assert tables.newest(stored).first().v == "new"
-    index = tables.build_index(df.withColumn("chunk_text", F.lit("x")), str(tmp_path / "index"))
-    assert "chunk_text" not in index.columns and index.count() == 2
     (tmp_path / "raw").mkdir()
     (tmp_path / "raw" / "a.html").write_bytes(b"<p>caf\xc3\xa9</p>")
     got = tables.read_files(spark, str(tmp_path / "raw")).select("too_small", tables.page_text(F.col("text")).alias("t")).first()
