@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -140,51 +139,70 @@ def mcnemar(pairs: DataFrame, least: int = 10) -> DataFrame:
     return pairs.withColumns({"statistic": F.when(n >= least, F.round(F.try_divide(F.col("b").cast("double"), n), 6)), "p_value": F.when(n >= least, F.round(p, 6))})
 
 
-def _score(metric: str, labels: list[str], true: np.ndarray, said: np.ndarray, draws: np.ndarray) -> np.ndarray:
-    """Accuracy or macro F1 of each draw (a row of counts of (true, said) cells)."""
-    if metric == "accuracy":
-        return draws[:, true == said].sum(axis=1) / np.maximum(draws.sum(axis=1), 1)
-    f1 = [2 * draws[:, (true == x) & (said == x)].sum(axis=1) / np.maximum(draws[:, true == x].sum(axis=1) + draws[:, said == x].sum(axis=1), 1) for x in labels]
-    return np.mean(f1, axis=0)
-
-
 METRICS = ("macro_f1", "accuracy")
+#: From so many documents on, a cell's weight is drawn as a whole.
+WHOLE_CELL = 16
+#: Probabilities that a Poisson variable with mean 1 is at most 0, 1, 2 and so on.
+POISSON_1 = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(18)]
+
+
+def uniform(*keys: Column) -> Column:
+    """A number between 0 and 1 that the keys name: a counter-based generator, which any engine with SHA-256 can follow."""
+    digits = F.substring(F.sha2(F.concat_ws(":", *(k.cast("string") for k in keys)), 256), 1, 13)
+    return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 52)
+
+
+def _resamples(counts: DataFrame, cell: list[str], n: int, seed: int) -> DataFrame:
+    """counts with draw (0: the documents as they are) and w, which adds up to how often the documents of a cell are drawn: a Poisson variable with mean n, a row with one of mean 1 for each document. A cell of WHOLE_CELL or more has one row, by its normal approximation with a correction for its skewness."""
+    width = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    few = (F.col("n") < WHOLE_CELL) & (F.col("draw") > 0)
+    rows = counts.withColumn("cell", F.concat_ws("|", *cell)).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n)))).repartition(width, "draw")
+    rows = rows.withColumn("j", F.explode(F.when(few, F.sequence(F.lit(1).cast("long"), F.col("n"))).otherwise(F.array(F.lit(0).cast("long")))))
+    u = lambda key: uniform(F.lit(seed), F.col("draw"), F.col("cell"), key)
+    rows = rows.withColumns({"u": u(F.when(F.col("j") > 0, F.col("j").cast("string")).otherwise("a")), "v": F.when(F.col("j") == 0, u(F.lit("b")))})
+    single = reduce(lambda out, k: F.when(F.col("u") <= POISSON_1[k], float(k)).otherwise(out), range(len(POISSON_1) - 1, -1, -1), F.lit(float(len(POISSON_1))))
+    z = F.sqrt(-2.0 * F.log("u")) * F.cos(2.0 * F.lit(math.pi) * F.col("v"))
+    whole = F.greatest(F.lit(0.0), F.col("n") + F.sqrt(F.col("n").cast("double")) * F.col("z") + (F.col("z") * F.col("z") - 1.0) / 6.0)
+    w = F.when(F.col("draw") == 0, F.col("n").cast("double")).when(F.col("j") > 0, single).otherwise(whole)
+    return rows.withColumn("z", z).withColumn("w", w).drop("u", "v", "z", "j", "cell")
+
+
+def _scores_of(said: str, labels: list[str], suffix: str = "") -> tuple[list[Column], dict[str, Column]]:
+    """Sums over weighted cells, and the metrics from them."""
+    true, guess, w = F.col("true_label"), F.col(said), F.col("w")
+    total = lambda where, name: F.sum(F.when(where, w).otherwise(0.0)).alias(f"{name}{suffix}")
+    sums = [total(true == guess, "right"), total(F.lit(True), "all")]
+    f1 = []
+    for i, x in enumerate(labels):
+        sums += [total((true == x) & (guess == x), f"tp{i}"), total(true == x, f"t{i}"), total(guess == x, f"p{i}")]
+        f1.append(F.coalesce(F.try_divide(2.0 * F.col(f"tp{i}{suffix}"), F.col(f"t{i}{suffix}") + F.col(f"p{i}{suffix}")), F.lit(0.0)))
+    return sums, {"macro_f1": reduce(Column.__add__, f1) / float(len(labels)), "accuracy": F.coalesce(F.try_divide(F.col(f"right{suffix}"), F.col(f"all{suffix}")), F.lit(0.0))}
+
+
+def _interval(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(by, metric, point, low, high) from (by, draw, a column for each metric): a group is as many values as there are draws."""
+    long = rows.select(*by, "draw", F.inline(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in METRICS))))
+    drawn = F.when(F.col("draw") > 0, F.col("value"))
+    return long.groupBy(*by, "metric").agg(F.round(F.max(F.when(F.col("draw") == 0, F.col("value"))), 9).alias("point"), *(F.round(F.percentile(drawn, q), 9).alias(n) for n, q in (("low", 0.025), ("high", 0.975))))
 
 
 def bootstrap(cases: DataFrame, n: int = 2000, seed: int = 42, labels: list[str] = LABELS) -> DataFrame:
-    """(method, metric, point, low, high): percentile intervals of accuracy and macro F1 over documents, the generator seeded anew for each metric. Cases are first reduced to counts of (true, predicted), so a method's group is a few rows however many cases there are; resamples are multinomial draws of the counts."""
+    """(method, metric, point, low, high): percentile intervals of accuracy and macro F1 over documents, the same draws for each metric. Cases are first reduced to counts of (true, predicted); a resample is a weight for each count, so the work does not grow with the cases. Weights are those of a Poisson bootstrap."""
     said = F.coalesce("predicted_label", F.lit(T.NO_PREDICTION))
     counts = cases.groupBy("method", "true_label", said.alias("said")).agg(F.count("*").alias("n"))
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["true_label", "said"])
-        true, said, own = frame["true_label"].to_numpy(), frame["said"].to_numpy(), frame["n"].to_numpy(dtype=np.int64)
-        out = []
-        for metric in METRICS:
-            drawn = _score(metric, labels, true, said, np.random.default_rng(seed).multinomial(own.sum(), own / own.sum(), size=n))
-            out.append((frame["method"].iloc[0], metric, float(_score(metric, labels, true, said, own[None, :])[0]), *(float(np.percentile(drawn, q)) for q in (2.5, 97.5))))
-        return pd.DataFrame(out, columns=["method", "metric", "point", "low", "high"])
-
-    return counts.groupBy("method").applyInPandas(run, "method string, metric string, point double, low double, high double")
+    sums, metrics = _scores_of("said", labels)
+    drawn = _resamples(counts, ["method", "true_label", "said"], n, seed).groupBy("method", "draw").agg(*sums)
+    return _interval(drawn.withColumns(metrics), ["method"])
 
 
 def paired_bootstrap(cases: DataFrame, methods: list[str], n: int = 2000, seed: int = 42, labels: list[str] = LABELS) -> DataFrame:
-    """(method_a, method_b, metric, point, low, high): differences in macro F1 and accuracy of each pair of methods over common resamples, the generator seeded anew for each pair and metric. As in bootstrap(), cases are first reduced to counts."""
+    """(method_a, method_b, metric, point, low, high): differences in macro F1 and accuracy of each pair of methods over common resamples. As in bootstrap(), cases are first reduced to counts."""
     wide = aligned(cases.where(F.col("method").isin(methods)), methods)
     parts = [wide.select(F.lit(a).alias("method_a"), F.lit(b).alias("method_b"), "true_label", F.col(a).alias("said_a"), F.col(b).alias("said_b")) for i, a in enumerate(methods) for b in methods[i + 1 :]]
     counts = reduce(DataFrame.unionByName, parts).groupBy("method_a", "method_b", "true_label", "said_a", "said_b").agg(F.count("*").alias("n"))
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["true_label", "said_a", "said_b"])
-        true, said_a, said_b, own = (frame[c].to_numpy() for c in ("true_label", "said_a", "said_b", "n"))
-        out = []
-        for metric in METRICS:
-            gain = lambda draws: _score(metric, labels, true, said_a, draws) - _score(metric, labels, true, said_b, draws)  # noqa: B023, E731
-            drawn = gain(np.random.default_rng(seed).multinomial(own.sum(), own / own.sum(), size=n))
-            out.append((frame["method_a"].iloc[0], frame["method_b"].iloc[0], metric, float(gain(own[None, :])[0]), *(float(np.percentile(drawn, q)) for q in (2.5, 97.5))))
-        return pd.DataFrame(out, columns=["method_a", "method_b", "metric", "point", "low", "high"])
-
-    return counts.groupBy("method_a", "method_b").applyInPandas(run, "method_a string, method_b string, metric string, point double, low double, high double")
+    (sums_a, of_a), (sums_b, of_b) = (_scores_of(f"said_{x}", labels, f"_{x}") for x in "ab")
+    drawn = _resamples(counts, ["method_a", "method_b", "true_label", "said_a", "said_b"], n, seed).groupBy("method_a", "method_b", "draw").agg(*sums_a, *sums_b)
+    return _interval(drawn.withColumns({m: of_a[m] - of_b[m] for m in METRICS}), ["method_a", "method_b"])
 
 
 def log_loss(p: Column) -> Column:

@@ -1,9 +1,7 @@
-"""A linear classifier over hashed words of chunks, with the class and chunk weights, epoch choice and aggregation of the corpus study."""
+"""A linear classifier over hashed words of chunks, with the class and chunk weights and aggregation of the corpus study."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, RegexTokenizer
@@ -36,21 +34,6 @@ def predict(model: PipelineModel, chunks: DataFrame, method: str = "mean_probabi
     return evaluation.aggregate_scores(scored, method)
 
 
-def train_epochs(chunks: DataFrame, validation: DataFrame, epochs: Sequence[int] = (1, 2, 4, 8, 16), features: int = 1 << 14) -> tuple[PipelineModel, DataFrame]:
-    """The model after so many passes as do best on the validation chunks (by macro F1 of documents, the fewest of equals), and (epoch, macro_f1, accuracy) of all."""
-    spark = chunks.sparkSession
-    labels = validation.select("document_id", F.col("agency").alias("true_label")).distinct()
-    models, rows = {}, []
-    for epoch in epochs:
-        models[epoch] = train(chunks, features, epoch)
-        said = labels.join(predict(models[epoch], validation).withColumnRenamed("predicted", "predicted_label"), "document_id", "left").withColumn("epoch", F.lit(epoch))
-        f1 = evaluation.label_metrics(said, ["epoch"]).agg(F.avg("f1")).first()[0]
-        right = said.agg(F.avg(F.coalesce(F.col("true_label") == F.col("predicted_label"), F.lit(False)).cast("double"))).first()[0]
-        rows.append((epoch, f1, right))
-    metrics = spark.createDataFrame(rows, "epoch int, macro_f1 double, accuracy double")
-    return models[best_epoch(metrics).first()[0]], metrics
-
-
 def save_artifact(model: PipelineModel, base: str, name: str, ready_at: int) -> None:
     """The model, and last the row that says it is ready; a name is used once."""
     model.write().save(f"{base}/{name}/model")
@@ -64,12 +47,6 @@ def load_artifact(spark: SparkSession, base: str, name: str) -> PipelineModel:
     return PipelineModel.load(f"{base}/{name}/model")
 
 
-def scored_chunks(model: PipelineModel, chunks: DataFrame) -> DataFrame:
-    """(document_id, vectors): each document's probabilities in the order of its chunks."""
-    rows = model.transform(chunks).select("document_id", F.struct("chunk_index", vector_to_array("probability").alias("probs")).alias("c"))
-    return rows.groupBy("document_id").agg(F.array_sort(F.collect_list("c")).alias("l")).select("document_id", F.transform("l", lambda x: x["probs"]).alias("vectors"))
-
-
 def best_epoch(metrics: DataFrame) -> DataFrame:
     """The epoch of the largest macro_f1, the earliest of equals."""
     return metrics.agg(F.max_by("epoch", F.struct("macro_f1", -F.col("epoch"))).alias("epoch"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import uuid
+
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
@@ -9,6 +12,8 @@ from docloom.operators import checks
 from docloom.operators import evaluation as E
 from docloom.operators.corpus import LABELS
 from docloom.queries.bind import CASES_SQL, CORPUS_SQL, METHODS, SCORES_SQL, Registry, cases, corpus, scores, table
+from docloom.queries.windows import CHUNK_SQL
+from docloom.sources.shared import checkpoint_dir, materialise
 
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
@@ -182,12 +187,40 @@ def g08(s, d):
     return best_epoch(table(s, d, "pages").select(F.col("page_id").alias("epoch"), ((F.col("page_id") * 7 % 13) / 13.0).alias("macro_f1")))
 
 
-@query("h18_bootstrap")
+def _draws_sql(counts: str, cell: str) -> str:
+    """Counted cells with 2,000 weights each, as evaluation.resampled_weight has them."""
+    u = lambda key: f"((CAST('0x' || substr(sha256('42:' || draw || ':' || cell || ':' || {key}), 1, 13) AS BIGINT) + 0.5) / {float(1 << 52)!r}::DOUBLE)"
+    poisson = "[" + ", ".join(f"{x!r}::DOUBLE" for x in E.POISSON_1) + "]"
+    single = f"list_sum(list_transform(range(1, n + 1), lambda j: len(list_filter({poisson}, lambda x: x < {u('j')}))))"
+    z = f"(sqrt(-2.0 * ln({u(repr('a'))})) * cos(2.0 * {math.pi!r}::DOUBLE * {u(repr('b'))}))"
+    rows = f"(SELECT *, {cell} AS cell FROM ({counts}), range(2001) AS r(draw))"
+    return f"(SELECT *, CASE WHEN draw = 0 THEN CAST(n AS DOUBLE) WHEN n < {E.WHOLE_CELL} THEN CAST({single} AS DOUBLE) ELSE greatest(0.0, n + sqrt(n) * {z} + ({z} * {z} - 1.0) / 6.0) END AS w FROM {rows})"
+
+
+def _drawn_metrics_sql(said: str) -> dict[str, str]:
+    total = lambda where: f"coalesce(sum(w) FILTER (WHERE {where}), 0.0)"
+    f1 = " + ".join(f"coalesce(2.0 * {total(f"true_label = '{x}' AND {said} = '{x}'")} / nullif({total(f"true_label = '{x}'")} + {total(f"{said} = '{x}'")}, 0.0), 0.0)" for x in LABELS)
+    return {"macro_f1": f"({f1}) / 4.0", "accuracy": f"coalesce({total(f'true_label = {said}')} / nullif(sum(w), 0.0), 0.0)"}
+
+
+def _interval_sql(by: str, rows: str) -> str:
+    one = lambda m: f"SELECT {by}, '{m}' AS metric, round(max({m}) FILTER (WHERE draw = 0), 9) AS point, round(quantile_cont({m}, 0.025) FILTER (WHERE draw > 0), 9) AS low, round(quantile_cont({m}, 0.975) FILTER (WHERE draw > 0), 9) AS high FROM ({rows}) GROUP BY {by}"
+    return " UNION ALL ".join(map(one, E.METRICS))
+
+
+_PLAIN = f"(SELECT document_id, method, true_label, coalesce(predicted_label, '{T.NO_PREDICTION}') AS said FROM cases WHERE condition = 'complete_unmasked')"
+_COUNTS = f"SELECT method, true_label, said, count(*) AS n FROM {_PLAIN} GROUP BY 1, 2, 3"
+_PAIR_COUNTS = f"SELECT a.method AS method_a, b.method AS method_b, a.true_label, a.said AS said_a, b.said AS said_b, count(*) AS n FROM {_PLAIN} a JOIN {_PLAIN} b ON a.document_id = b.document_id AND list_position({METHODS!r}, a.method) < list_position({METHODS!r}, b.method) GROUP BY 1, 2, 3, 4, 5"
+_DRAWN = f"SELECT method, draw, {', '.join(f'{e} AS {m}' for m, e in _drawn_metrics_sql('said').items())} FROM {_draws_sql(_COUNTS, "concat_ws('|', method, true_label, said)")} GROUP BY 1, 2"
+_PAIR_DRAWN = f"SELECT method_a, method_b, draw, {', '.join(f'{e} - {_drawn_metrics_sql("said_b")[m]} AS {m}' for m, e in _drawn_metrics_sql('said_a').items())} FROM {_draws_sql(_PAIR_COUNTS, "concat_ws('|', method_a, method_b, true_label, said_a, said_b)")} GROUP BY 1, 2, 3"
+
+
+@query("h18_bootstrap", f"WITH {CASES_SQL} {_interval_sql('method', _DRAWN)}")
 def h18(s, d):
     return E.bootstrap(cases(s, d).where(F.col("condition") == "complete_unmasked"))
 
 
-@query("h19_paired_bootstrap")
+@query("h19_paired_bootstrap", f"WITH {CASES_SQL} {_interval_sql('method_a, method_b', _PAIR_DRAWN)}")
 def h19(s, d):
     return E.paired_bootstrap(cases(s, d).where(F.col("condition") == "complete_unmasked"), METHODS)
 
@@ -237,12 +270,50 @@ def b20(s, d):
     return found.join(c.select("document_id", "lang"), "document_id").groupBy("lang", "detected_language").agg(F.count("*").alias("n"))
 
 
+def agency_of_language():
+    """A label that texts tell: languages stand for agencies."""
+    return F.element_at(F.create_map(*(F.lit(x) for p in zip(("en", "fr", "de", "es"), LABELS, strict=True) for x in p)), F.col("lang"))
+
+
+def trained_network(s, d, epochs):
+    """(model, chunks with their split): trained on six documents of ten, its epoch chosen on two."""
+    from docloom.operators.chunks import chunk
+    from docloom.plans import network
+
+    place = F.pmod(F.xxhash64(F.lit(42), "document_id"), F.lit(10))
+    split = F.when(place < 6, "train").when(place < 8, "validation").otherwise("test")
+    docs = corpus(s, d).select("document_id", "text", agency_of_language().alias("agency"), split.alias("split"))
+    cut = materialise(chunk(docs).select("document_id", "agency", "split", "chunk_id", "chunk_index", "chunk_ids"), "chunks")
+    plan = network.NetworkPlan(epochs=epochs)
+    return network.train(cut.where("split = 'train'"), cut.where("split = 'validation'"), f"{checkpoint_dir(s)}/network-{uuid.uuid4().hex}", plan), cut
+
+
 @query("h30_trained_classifier")
 def h30(s, d):
-    from docloom.operators.chunks import chunk
-    from docloom.plans import classifier
+    """Test documents only; the epochs are told with them."""
+    from docloom.plans import network
+
+    model, cut = trained_network(s, d, 6)
+    held = cut.where("split = 'test'")
+    truth = held.groupBy("document_id").agg(F.first("agency").alias("agency"))
+    said = network.predict(model, held).join(truth, "document_id")
+    return said.select("document_id", "predicted", (F.col("predicted") == F.col("agency")).alias("right"), F.lit(model.best_epoch).alias("best_epoch"), F.lit(len(model.history)).alias("epochs"))
+
+
+@query("h31_model_vectors", f"WITH {CORPUS_SQL}, {CHUNK_SQL} SELECT document_id, count(*) AS chunks, CAST(4 * count(*) AS BIGINT) AS scores, CAST(count(*) AS DOUBLE) AS total FROM chunks GROUP BY 1")
+def h31_model(s, d):
+    """Each document's probabilities of a trained model, of which those of a chunk add up to one."""
+    from docloom.plans import network
+
+    model, cut = trained_network(s, d, 1)
+    flat = F.flatten("vectors")
+    add = F.aggregate(flat, F.lit(0.0), lambda x, y: x + y)
+    return network.document_vectors(model, cut).select("document_id", F.size("vectors").cast("long").alias("chunks"), F.size(flat).cast("long").alias("scores"), F.round(add, 6).alias("total"))
+
+
+@query("h35_gradient_shares")
+def h35_gradient(s, d):
+    from docloom.plans import network
 
-    c = corpus(s, d).select("document_id", "text", F.element_at(F.create_map(*(F.lit(x) for p in zip(("en", "fr", "de", "es"), LABELS, strict=True) for x in p)), F.col("lang")).alias("agency"))
-    cut = chunk(c)
-    model = classifier.train(cut, 1 << 12, 10)
-    return classifier.predict(model, cut).join(c.select("document_id", "agency"), "document_id").select("document_id", "predicted", (F.col("predicted") == F.col("agency")).alias("right"))
+    model, _ = trained_network(s, d, 1)
+    return network.word_shares(model, corpus(s, d).select("document_id", "text"))

@@ -354,19 +354,6 @@ def test_csv_keeps_what_it_was_given(spark, tmp_path):
     assert sorted((r[0], r[1]) for r in back.collect()) == [(i, t or None) for i, t in rows]
 
 
-def test_best_epoch_is_chosen_on_held_out_documents(spark):
-    from docloom.plans import classifier
-
-    rows = [(str(i), k, corpus.LABELS[i % 4], f"common words {' '.join([f'of{i % 4}'] * (1 + k))} and {i * 7 % 5}") for i in range(40) for k in range(2)]
-    cut = spark.createDataFrame(rows, "document_id string, chunk_index int, agency string, chunk_text string")
-    held = F.col("document_id") % 5 == 0
-    model, metrics = classifier.train_epochs(cut.where(~held), cut.where(held), (1, 5, 10), 1 << 10)
-    got = {r.epoch: r for r in metrics.collect()}
-    assert set(got) == {1, 5, 10} and max(r.macro_f1 for r in got.values()) == 1.0 and all(0 <= r.accuracy <= 1 for r in got.values())
-    said = {r.document_id: r.predicted for r in classifier.predict(model, cut.where(held)).collect()}
-    assert said == {str(i): corpus.LABELS[i % 4] for i in range(0, 40, 5)}
-
-
 def test_unready_models_are_refused(spark, tmp_path):
     from docloom.plans import classifier
 
