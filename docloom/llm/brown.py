@@ -80,6 +80,15 @@ def _of(binary: bytes | None, kind=np.int32) -> np.ndarray:
     return np.frombuffer(binary or b"", dtype=kind)
 
 
+def _tight(values: np.ndarray) -> bytes:
+    """int32 values, compressed: tokens are what goes through most shuffles."""
+    return pa.compress(np.ascontiguousarray(values, dtype=np.int32).tobytes(), codec=pa.Codec("zstd", compression_level=1), asbytes=True)
+
+
+def _loose(binary: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(binary, 4 * n, codec="zstd", asbytes=True), dtype=np.int32)
+
+
 def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
     columns = list(zip(*rows, strict=True)) if rows else [[] for _ in schema]
     return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
@@ -90,7 +99,7 @@ def _schema(**kinds: pa.DataType) -> pa.Schema:
 
 
 _LONG, _BYTES = pa.int64(), pa.binary()
-BATCHES = "batch long, ids array<long>, sizes binary, n_train int, words binary, shards binary, tokens binary"
+BATCHES = "batch long, ids array<long>, sizes binary, n_train int, words binary, shards binary, tokens binary, held binary"
 ASKED = _schema(shard=_LONG, batch=_LONG, words=_BYTES, counts=_BYTES)
 #: A row for each batch that a shard has heard of, with the places of its words and their counts, and one with batch -1 for the shard itself, with all its words.
 KNOWN = _schema(shard=_LONG, batch=_LONG, places=_BYTES, counts=_BYTES, words=_BYTES)
@@ -104,7 +113,7 @@ def _sql(schema: pa.Schema) -> str:
 
 
 def read_batches(docs: DataFrame, p: Brown, n_shards: int, id_column: str, text_column: str) -> DataFrame:
-    """Step 1. tokens: 0 is the end, others are the place of a word plus one; shards: how many of the words each shard has."""
+    """Step 1. tokens: 0 is the end, others are the place of a word plus one; shards: how many of the words each shard has; tokens: of training documents, held: of the others."""
     from xxhash import xxh3_64_intdigest
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,8 +145,9 @@ def read_batches(docs: DataFrame, p: Brown, n_shards: int, id_column: str, text_
                 at = np.ones(len(tokens), dtype=bool)
                 at[np.cumsum(sizes + 1) - 1] = False
                 tokens[at] = place[np.asarray(coded.indices)] if len(words) else 0
-                row = {"batch": [number], "ids": [[ids[i] for i in order.tolist()]], "sizes": [_ints(sizes + 1)], "n_train": [int((~held).sum())], "words": [b" ".join(distinct[i] for i in by_shard.tolist())], "shards": [_ints(np.bincount(shard, minlength=n_shards))], "tokens": [tokens.tobytes()]}
-                yield pa.RecordBatch.from_pydict(row, schema=_schema(batch=_LONG, ids=pa.list_(_LONG), sizes=_BYTES, n_train=pa.int32(), words=_BYTES, shards=_BYTES, tokens=_BYTES))
+                learnt = int((sizes + 1)[~held[order]].sum())
+                row = {"batch": [number], "ids": [[ids[i] for i in order.tolist()]], "sizes": [_ints(sizes + 1)], "n_train": [int((~held).sum())], "words": [b" ".join(distinct[i] for i in by_shard.tolist())], "shards": [_ints(np.bincount(shard, minlength=n_shards))], "tokens": [_tight(tokens[:learnt])], "held": [_tight(tokens[learnt:])]}
+                yield pa.RecordBatch.from_pydict(row, schema=_schema(batch=_LONG, ids=pa.list_(_LONG), sizes=_BYTES, n_train=pa.int32(), words=_BYTES, shards=_BYTES, tokens=_BYTES, held=_BYTES))
                 number += 1
 
     text = text_of(text_column)
@@ -146,7 +156,7 @@ def read_batches(docs: DataFrame, p: Brown, n_shards: int, id_column: str, text_
 
 def _train(row: dict) -> np.ndarray:
     """The tokens of a batch's training documents."""
-    return _of(row["tokens"])[: int(_of(row["sizes"])[: row["n_train"]].sum())]
+    return _loose(row["tokens"], int(_of(row["sizes"])[: row["n_train"]].sum()))
 
 
 def _by_shard(shards: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -496,7 +506,8 @@ def score(docs: DataFrame, p: Brown | None = None, id_column: str = "doc_id", te
         emission = np.zeros(len(count))
         seen = count > 0
         emission[seen] = np.log10((count[seen] - d) / left_of[classes[seen]])
-        tokens, sizes = _of(row["tokens"]), _of(row["sizes"]).astype(np.int64)
+        sizes = _of(row["sizes"]).astype(np.int64)
+        tokens = np.concatenate((_train(row), _loose(row["held"], int(sizes[row["n_train"] :].sum()))))
         own = classes[tokens]
         # each text ends with an end, which is what stands before the next; without training ends it is unknown there, but END before
         before = np.concatenate(([END], own[:-1]))
@@ -509,7 +520,7 @@ def score(docs: DataFrame, p: Brown | None = None, id_column: str = "doc_id", te
 
     answers = model.classes.where("batch >= 0").select("batch", "shard", "classes", F.lit(None).cast("binary").alias("counts"))
     answers = answers.unionByName(model.known.where("batch >= 0").select("batch", "shard", F.lit(None).cast("binary").alias("classes"), "counts"))
-    lean = model.batches.select("batch", "ids", "sizes", "n_train", "shards", "tokens")
+    lean = model.batches.select("batch", "ids", "sizes", "n_train", "shards", "tokens", "held")
     out = lean.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(judge, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("id", id_column)
 
