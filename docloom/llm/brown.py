@@ -82,7 +82,7 @@ def _of(binary: bytes | None, kind=np.int32) -> np.ndarray:
 
 def _tight(values: np.ndarray) -> bytes:
     """int32 values, compressed: tokens are what goes through most shuffles."""
-    return pa.compress(np.ascontiguousarray(values, dtype=np.int32).tobytes(), codec=pa.Codec("zstd", compression_level=1), asbytes=True)
+    return pa.compress(_ints(values), codec="zstd", asbytes=True)
 
 
 def _loose(binary: bytes, n: int) -> np.ndarray:
