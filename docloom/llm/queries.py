@@ -63,8 +63,16 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return harmonic.pack(documents(spark, sf_dir))
 
 
+def pseudonym_key(spark: SparkSession) -> str:
+    """The session's key. A known key undoes pseudonyms, so DEMO_KEY only stands in on masters that are one machine: local ones, and the local-cluster of tests."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"{KEY_SETTING} must name the key of the pseudonyms")
+    return key or DEMO_KEY
+
+
 def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonyms.pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), spark.conf.get(KEY_SETTING, DEMO_KEY))
+    return pseudonyms.pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), pseudonym_key(spark))
 
 
 def op10_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

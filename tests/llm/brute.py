@@ -2,6 +2,7 @@
 
 import datetime
 import hashlib
+import hmac
 import math
 import re
 from collections import Counter
@@ -65,7 +66,7 @@ def secret_spans(text, count_tokens, known, path):
 def permuted(value, high, low, key, label):
     a, b = divmod(value, low)
     for i in range(8):
-        digest = lambda x: int(hashlib.sha256(f"{key}|{label}|{i}|{x}".encode()).hexdigest()[:15], 16)  # noqa: B023, E731
+        digest = lambda x: int(hmac.new(key.encode(), f"{label}|{i}|{x}".encode(), "sha256").hexdigest()[:15], 16)  # noqa: B023, E731
         if i % 2 == 0:
             a = (a + digest(b) % high) % high
         else:
@@ -86,7 +87,7 @@ def luhn(digits):
 def pseudonym(x, key):
     digits = re.sub("[^0-9]", "", x)
     if "@" in x:
-        return "u" + hashlib.sha256(f"{key}|email|{x.lower()}".encode()).hexdigest()[:12] + "@" + x.split("@")[1]
+        return "u" + hmac.new(key.encode(), f"email|{x.lower()}".encode(), "sha256").hexdigest()[:12] + "@" + x.split("@")[1]
     if x.startswith("+1"):
         return refill(x, "1" + str(permuted(int(digits[1:]), 10**5, 10**5, key, "phone")).zfill(10))
     if re.fullmatch(r"\d{4}-\d{2}-\d{2}", x):

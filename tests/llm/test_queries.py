@@ -123,12 +123,42 @@ def test_op9(spark, rows):
 
 
 def test_op9_formats(spark):
-    texts = [*VALUES, *INVALID, "a@b.example and 1.2.3.4, +1 499.555.6503; 4845-1681-1440-7329 or 123-45-6789-0 and 1.2.3.4.5", "", "2020-02-30 1999-12-31x 21 2021-01-01"]
+    texts = [*VALUES, *INVALID, "a@b.example and 1.2.3.4, +1 499.555.6503; 4845-1681-1440-7329 or 123-45-6789-0 and 1.2.3.4.5", "", "2020-02-30 1999-12-31x 21 2021-01-01", "+1 499 555 6503abc@x.example..b@c.example 1.2.3.4x@y.z", "a@b@c.d e@f. .@g.h"]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for r in pseudonyms.pseudonymise(frame, "k").collect():
         assert (r.text, r.n_private) == brute.pseudonymised(texts[r.doc_id], "k")
 
 
+def test_op9_long_words_and_clashing_names(spark):
+    """Time in proportion to the text, and all other columns as they were."""
+    import time
+
+    rows = [(1, "ab" * 500_000, "kept", "too"), (2, "a@" + "b" * 1_000_000 + " 1.2.3.4", "kept", "too"), (3, "1" * 1_000_000, "kept", "too"), (4, "x." * 500_000, "kept", "too")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, `pii new` string, `fo``und` string")
+    began = time.time()
+    got = {r.doc_id: r for r in pseudonyms.pseudonymise(frame, "k").collect()}
+    assert time.time() - began < 30
+    assert all(tuple(r)[2:4] == ("kept", "too") for r in got.values())
+    assert [got[i].n_private for i in (1, 2, 3, 4)] == [0, 1, 0, 0] and got[1].text == rows[0][1]
+
+
+def test_op9_key(spark, monkeypatch):
+    """Long keys are hashed first; on a cluster there is no key but the session's."""
+    key = "k" * 100
+    got = pseudonyms.pseudonymise(spark.createDataFrame([(1, VALUES[0])], "doc_id long, text string"), key).first()
+    assert (got.text, got.n_private) == brute.pseudonymised(VALUES[0], key)
+
+    class Cluster:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda name, default: default)
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="pseudonym.key"):
+        queries.pseudonym_key(Cluster)
+
+
 def test_pipeline(spark, rows, verdicts):
     """The stages one after the other by brute force, down to what is packed."""
     items = duckdb.sql(f"SELECT item_id, text FROM '{SF}/benchmark.parquet'").fetchall()
