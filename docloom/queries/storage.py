@@ -12,7 +12,7 @@ from docloom.functions import text as T
 from docloom.operators import vector_index
 from docloom.queries.bind import CASES_SQL, CORPUS_SQL, SCORES_SQL, Registry, cases, corpus, scores, table
 from docloom.queries.windows import SMALL_INDEX
-from docloom.sources import tables
+from docloom.sources import cache, manifests, tables
 from docloom.sources.shared import checkpoint_dir
 
 query = Registry()
@@ -193,3 +193,40 @@ def a27(s, d):
 def h31(s, d):
     listed = scores(s, d).groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "probs"))).alias("l"))
     return listed.select("document_id", F.size("l").cast("long").alias("chunks"), F.round(F.col("l")[0]["probs"][0], 6).alias("first_p0"), F.round(F.element_at("l", -1)["probs"][0], 6).alias("last_p0"))
+
+
+@query("a12_cache_writers", WITH + "SELECT document_id, sha256('v1|' || document_id) AS cache_key, CASE WHEN doc_id % 2 = 0 THEN 'first' ELSE 'second' END AS writer FROM corpus WHERE doc_id % 2 = 0 OR doc_id % 3 = 0")
+def a12_writers(s, d):
+    """Two writers, who share keys: the first one to commit has them."""
+    base = _fresh(s, "cache")
+    wanted = corpus(s, d).select("doc_id", "document_id", T.joined_hash(F.lit("v1"), F.col("document_id")).alias("cache_key"))
+    for writer, k in (("first", 2), ("second", 3)):
+        cache.commit(wanted.where(F.col("doc_id") % k == 0).select("cache_key", "document_id", F.lit(writer).alias("writer")), base)
+    return cache.cached(s, base, wanted.select("cache_key", "document_id", F.lit("").alias("writer")).schema).drop("part")
+
+
+@query("k02_stale_manifests", WITH + """, n AS (SELECT lang, count(*) AS n FROM corpus GROUP BY 1) SELECT 'split' AS name, 'language-' || lang AS source, 'changed' AS reason FROM n WHERE n % 2 = 1 UNION ALL SELECT 'freeze', 'language-' || lang, 'changed' FROM n WHERE n % 2 = 1
+UNION ALL SELECT 'freeze', 'split', 'follows' WHERE (SELECT count(*) FROM n WHERE n % 2 = 1) > 0""")
+def k02(s, d):
+    """Planted: the manifests of languages with an odd number of documents are built again, with another count, after what follows from them."""
+    base = _fresh(s, "manifests")
+    counts = {r["lang"]: r["n"] for r in corpus(s, d).groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    names = [f"language-{lang}" for lang in sorted(counts)]
+    for lang, n in counts.items():
+        manifests.build(s, base, f"language-{lang}", {"documents": n})
+    manifests.build(s, base, "split", {"documents": sum(counts.values())}, names)
+    manifests.freeze(s, base)
+    for lang, n in counts.items():
+        if n % 2:
+            manifests.build(s, base, f"language-{lang}", {"documents": n - 1})
+    return manifests.stale(s, base)
+
+
+@query("k03_review_flags", WITH + """, f AS (SELECT document_id, effective_family_id, (doc_id % 10) / 10.0 AS family_confidence, CASE doc_id % 6 WHEN 0 THEN 'uncertain_review' WHEN 1 THEN NULL ELSE 'english' END AS status, CASE WHEN doc_id % 97 = 5 THEN 'IRS' ELSE effective_agency END AS agency FROM corpus),
+g AS (SELECT *, count(DISTINCT agency) OVER (PARTITION BY effective_family_id) > 1 AS shared FROM f)
+SELECT document_id, flags FROM (SELECT document_id, concat_ws(',', CASE WHEN family_confidence < 0.3 THEN 'uncertain_family' END, CASE WHEN coalesce(status, 'none') IN ('none', 'uncertain_review') THEN 'unclear_language' END, CASE WHEN shared THEN 'shared_family' END) AS flags FROM g) WHERE flags <> ''""")
+def k03(s, d):
+    status = F.when(F.col("doc_id") % 6 == 0, "uncertain_review").when(F.col("doc_id") % 6 != 1, "english")
+    agency = F.when(F.col("doc_id") % 97 == 5, "IRS").otherwise(F.col("effective_agency"))
+    audit = corpus(s, d).select("document_id", "effective_family_id", (F.col("doc_id") % 10 / 10.0).alias("family_confidence"), status.alias("final_language_status"), agency.alias("effective_agency"))
+    return manifests.review_flags(audit, 0.3).select("document_id", F.array_join("flags", ",").alias("flags"))
