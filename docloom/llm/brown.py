@@ -81,12 +81,23 @@ def _of(binary: bytes | None, kind=np.int32) -> np.ndarray:
 
 
 def _tight(values: np.ndarray) -> bytes:
-    """int32 values, compressed: tokens are what goes through most shuffles."""
-    return pa.compress(_ints(values), codec="zstd", asbytes=True)
+    """Integers of 32 bits, compressed after their number: what goes through most shuffles."""
+    return len(values).to_bytes(8, "little") + pa.compress(_ints(values), codec="zstd", asbytes=True)
 
 
-def _loose(binary: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(pa.decompress(binary, 4 * n, codec="zstd", asbytes=True), dtype=np.int32)
+def _loose(binary: bytes | None) -> np.ndarray:
+    if not binary:
+        return np.empty(0, dtype=np.int32)
+    return np.frombuffer(pa.decompress(binary[8:], 4 * int.from_bytes(binary[:8], "little"), codec="zstd", asbytes=True), dtype=np.int32)
+
+
+def _tight64(values: np.ndarray) -> bytes:
+    """Counts over all documents: low and high halves."""
+    return _tight(np.ascontiguousarray(values, dtype=np.int64).view(np.int32).reshape(-1, 2).T.ravel())
+
+
+def _loose64(binary: bytes | None) -> np.ndarray:
+    return np.ascontiguousarray(_loose(binary).reshape(2, -1).T).ravel().view(np.int64)
 
 
 def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
@@ -156,7 +167,7 @@ def read_batches(docs: DataFrame, p: Brown, n_shards: int, id_column: str, text_
 
 def _train(row: dict) -> np.ndarray:
     """The tokens of a batch's training documents."""
-    return _loose(row["tokens"], int(_of(row["sizes"])[: row["n_train"]].sum()))
+    return _loose(row["tokens"])
 
 
 def _by_shard(shards: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -172,7 +183,7 @@ def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in batch.to_pylist():
             words, shards = row["words"].split(b" "), _of(row["shards"])
             counts = np.bincount(_train(row), minlength=int(shards.sum()) + 1)[1:]
-            yield from _table([(s, row["batch"], b" ".join(words[a:b]), _ints(counts[a:b])) for s, a, b in _by_shard(shards)], ASKED).to_batches()
+            yield from _table([(s, row["batch"], b" ".join(words[a:b]), _tight(counts[a:b])) for s, a, b in _by_shard(shards)], ASKED).to_batches()
 
 
 def _add_up(table: pa.Table) -> pa.Table:
@@ -184,11 +195,11 @@ def _add_up(table: pa.Table) -> pa.Table:
     place = np.empty(len(words), dtype=np.int32)
     place[order] = np.arange(len(words))
     places = place[np.asarray(coded.indices)]
-    counts = np.bincount(places, np.concatenate([_of(c) for c in table.column("counts").to_pylist()]), minlength=len(words)).astype(np.int64)
+    counts = np.bincount(places, np.concatenate([_loose(c) for c in table.column("counts").to_pylist()]), minlength=len(words)).astype(np.int64)
     shard, at = table.column("shard")[0].as_py(), 0
     rows = [(shard, -1, None, counts.tobytes(), b" ".join(words[i] for i in order.tolist()))]
     for batch, own in zip(table.column("batch").to_pylist(), lists, strict=True):
-        rows.append((shard, batch, _ints(places[at : at + len(own)]), counts[places[at : at + len(own)]].tobytes(), None))
+        rows.append((shard, batch, _tight(places[at : at + len(own)]), _tight64(counts[places[at : at + len(own)]]), None))
         at += len(own)
     return _table(rows, KNOWN)
 
@@ -207,7 +218,7 @@ def _answers(shard: int, classes: np.ndarray, known: pa.Table) -> pa.Table:
     """A shard's classes, for itself (batch -1) and for each batch that asked."""
     rows = []
     for batch, places in zip(known.column("batch").to_pylist(), known.column("places").to_pylist(), strict=True):
-        rows.append((shard, batch, (classes if batch < 0 else classes[_of(places)]).tobytes()))
+        rows.append((shard, batch, (classes if batch < 0 else classes[_loose(places)]).tobytes()))
     return _table(rows, CLASSES)
 
 
@@ -231,14 +242,14 @@ def _classes_of(n_words: int, answers: pa.Table) -> np.ndarray:
 
 
 def _tell(k: int, least: int, most: int | None, left: pa.Table, right: pa.Table) -> pa.Table:
-    """Step 3, at a batch: how often each class stands before (0 .. k - 1) and after (k .. 2k - 1) each word that occurs from least to most times, and (2k) the word itself, as pairs of word * (2k + 1) + that and a count; words are numbered as the batch sent them to the shard. With shard -1: the class bigrams."""
+    """Step 3, at a batch: how often each class stands before (0 .. k - 1) and after (k .. 2k - 1) each word that occurs from least to most times, and (2k) the word itself, as word * (2k + 1) + that, each less the one before, and a count; words are numbered as the batch sent them to the shard. With shard -1: the class bigrams."""
     if not left.num_rows:
         return _table([], TOLD)
     row, shards = left.to_pylist()[0], _of(left.column("shards")[0].as_py())
     early = pa.compute.is_valid(right.column("classes"))
     classes = _classes_of(int(shards.sum()), right.filter(early))
     counts = right.filter(pa.compute.invert(early)).sort_by("shard")
-    n = np.concatenate(([0], np.frombuffer(b"".join(counts.column("counts").to_pylist()), dtype=np.int64)))
+    n = np.concatenate(([0], *map(_loose64, counts.column("counts").to_pylist())))
     tokens = _train(row)
     own = classes[tokens].astype(np.int64)
     before = np.concatenate(([END], own[:-1]))
@@ -257,7 +268,7 @@ def _tell(k: int, least: int, most: int | None, left: pa.Table, right: pa.Table)
         a, b = edges[s], edges[s + 1]
         if b > a:
             word = wanted[keys[a:b] // width] - begins[s]
-            rows.append((s, row["batch"], (word * width + keys[a:b] % width).astype(np.int64).tobytes(), _ints(totals[a:b]), None))
+            rows.append((s, row["batch"], _tight(np.diff(word * width + keys[a:b] % width, prepend=0)), _tight(totals[a:b]), None))
     return _table(rows, TOLD)
 
 
@@ -327,12 +338,12 @@ def _move(m: np.ndarray, turn: tuple[int, int] | None, chunk: int, left: pa.Tabl
     present = pa.compute.is_valid(right.column("classes"))
     classes = _of(right.filter(present).column("classes")[0].as_py(), np.uint8).copy()
     known = right.filter(pa.compute.invert(present))
-    places = {b: _of(x) for b, x in zip(known.column("batch").to_pylist(), known.column("places").to_pylist(), strict=True)}
+    places = {b: _loose(x) for b, x in zip(known.column("batch").to_pylist(), known.column("places").to_pylist(), strict=True)}
     keys, counts = [], []
     for row in left.select(["batch", "keys", "counts"]).to_pylist():
-        key = _of(row["keys"], np.int64)
+        key = np.cumsum(_loose(row["keys"]).astype(np.int64))
         keys.append(places[row["batch"]][key // width].astype(np.int64) * width + key % width)
-        counts.append(_of(row["counts"]))
+        counts.append(_loose(row["counts"]))
     if keys:
         key, count = np.concatenate(keys), np.concatenate(counts)
         order = np.argsort(key)
@@ -500,14 +511,14 @@ def score(docs: DataFrame, p: Brown | None = None, id_column: str = "doc_id", te
         early = pa.compute.is_valid(right.column("classes"))
         classes = _classes_of(int(_of(row["shards"]).sum()), right.filter(early)).astype(np.int64)
         counts = right.filter(pa.compute.invert(early)).sort_by("shard")
-        count = np.concatenate(([ends], np.frombuffer(b"".join(counts.column("counts").to_pylist()), dtype=np.int64)))
+        count = np.concatenate(([ends], *map(_loose64, counts.column("counts").to_pylist())))
         classes[count == 0] = unknown
         base = np.log10((count + 0.5) / (n + 0.5 * (v + 1)))
         emission = np.zeros(len(count))
         seen = count > 0
         emission[seen] = np.log10((count[seen] - d) / left_of[classes[seen]])
         sizes = _of(row["sizes"]).astype(np.int64)
-        tokens = np.concatenate((_train(row), _loose(row["held"], int(sizes[row["n_train"] :].sum()))))
+        tokens = np.concatenate((_train(row), _loose(row["held"])))
         own = classes[tokens]
         # each text ends with an end, which is what stands before the next; without training ends it is unknown there, but END before
         before = np.concatenate(([END], own[:-1]))
