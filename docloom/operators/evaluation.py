@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as T
 from docloom.operators.corpus import LABELS
+from docloom.operators.quantiles import with_percentiles
 
 METHODS = ["mean_logits", "mean_probabilities", "majority_vote", "max_confidence"]
 
@@ -91,13 +92,11 @@ def summary_metrics(cases: DataFrame, by: list[str], labels: list[str] = LABELS)
         F.sum(1 - right).cast("long").alias("errors"),
         F.round(100.0 * F.avg((F.col("status") == "success").cast("double")), 6).alias("coverage"),
         F.round(F.avg("latency_ms"), 6).alias("mean_latency"),
-        F.round(F.percentile("latency_ms", 0.5), 6).alias("median_latency"),
-        F.round(F.percentile("latency_ms", 0.95), 6).alias("p95_latency"),
         F.sum("total_tokens").alias("total_tokens"),
         F.round(F.sum("estimated_cost_usd"), 6).alias("total_cost"),
     )
     f1 = label_metrics(cases, by, labels).groupBy(*by).agg(F.round(F.avg("f1"), 6).alias("macro_f1"), F.round(F.coalesce(F.try_divide(F.sum(F.col("f1") * F.col("support")), F.sum("support")), F.lit(0.0)), 6).alias("weighted_f1"), F.round(F.min("f1"), 6).alias("worst_f1"))
-    return plain.join(f1, by)
+    return with_percentiles(plain, cases, by, F.col("latency_ms"), {"median_latency": 0.5, "p95_latency": 0.95}).join(f1, by)
 
 
 def select_method(results: DataFrame, provisional: str = "mean_probabilities") -> DataFrame:

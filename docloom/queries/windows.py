@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from docloom.functions import text as T
 from docloom.operators import checks, retrieval, vector_index
 from docloom.operators import chunks as K
+from docloom.operators.quantiles import with_percentiles
 from docloom.operators.vocabulary import encoded, tokens_sql
 from docloom.queries.bind import CORPUS_SQL, MARKED_SQL, Registry, corpus, marked, table
 from docloom.sources.shared import checkpoint_dir
@@ -141,8 +142,8 @@ def e23(s, d):
 def e20(s, d):
     n = F.col("n")
     counts = chunked(s, d).groupBy("document_id", "effective_agency").agg(F.count("*").alias("n"))
-    p = F.percentile(n, F.array(F.lit(0.5), F.lit(0.9), F.lit(0.95)))
-    return counts.groupBy("effective_agency").agg(F.min(n).alias("least"), F.round(p[0], 6).alias("p50"), F.round(F.avg(n), 6).alias("mean"), F.round(p[1], 6).alias("p90"), F.round(p[2], 6).alias("p95"), F.max(n).alias("most"), F.count_if(n == 1).alias("single"), F.count_if(n > 1).alias("multiple"))
+    plain = counts.groupBy("effective_agency").agg(F.min(n).alias("least"), F.round(F.avg(n), 6).alias("mean"), F.max(n).alias("most"), F.count_if(n == 1).alias("single"), F.count_if(n > 1).alias("multiple"))
+    return with_percentiles(plain, counts, ["effective_agency"], n, {"p50": 0.5, "p90": 0.9, "p95": 0.95})
 
 
 @query("j05_chunk_invariants", "SELECT unnest(['chunk_without_parent', 'chunk_split_differs', 'chunk_id_in_splits', 'document_chunks_in_splits', 'family_chunks_in_splits', 'chunk_id_repeats', 'indices_not_contiguous', 'total_chunks_differs', 'empty_chunk', 'document_without_chunk']) AS \"check\", 0::BIGINT AS violations")
