@@ -117,3 +117,29 @@ def test_family_split_of_nothing(spark):
 def test_stratified_split_keeps_null_keys(spark):
     df = spark.createDataFrame([(None, "x"), ("1", "x"), ("2", None)], "k string, label string")
     assert splitting.stratified_split(df, "label", "k").count() == 3
+
+
+def test_near_duplicates_of_long_and_short_texts(spark):
+    from docloom.operators import corpus
+
+    r = random.Random(2)
+    texts = [" ".join(f"w{int(r.paretovariate(0.7)) % 300}" for _ in range(r.choice([3, 40, 400]))) for _ in range(120)]
+    texts += [" ".join(t.split()[: -len(t.split()) // 9 or None]) for t in texts[:60]]
+    df = spark.createDataFrame([(f"{i:03}", t, i) for i, t in enumerate(texts)], "document_id string, text string, hash int").repartition(6)
+    once = {}
+    for i, t in enumerate(texts):
+        once.setdefault(t, f"{i:03}")
+    known = sorted({w for t in texts for w in t.split()})
+    tf = np.array([[t.split().count(w) for w in known] for t in once], dtype=float)
+    copies = np.array([texts.count(t) for t in once])
+    w = tf * (np.log((1 + len(texts)) / (1 + copies @ (tf > 0))) + 1)
+    w /= np.linalg.norm(w, axis=1, keepdims=True)
+    ids = list(once.values())
+    for threshold in (0.6, 0.92):
+        near = w @ w.T
+        want = {(a, b): near[i, j] for i, a in enumerate(ids) for j, b in enumerate(ids) if a < b and near[i, j] >= threshold}
+        got = {(x.a, x.b): x.similarity for x in corpus.near_duplicate_pairs(df, threshold, max_features=None).collect()}
+        assert got == pytest.approx(want) and want
+        vectors = corpus.tfidf_vectors(df.selectExpr("document_id", "text", "1L AS copies"), df.count(), threshold)
+        assert {(x.a, x.b) for x in corpus.near_duplicate_candidates(vectors, threshold).collect()} >= want.keys()
+    assert corpus.near_duplicate_pairs(df.where("false")).count() == 0
