@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.operators.chunks import masked
+from docloom.sources.shared import materialise
 
 
 def violations(name: str, rows: DataFrame) -> DataFrame:
@@ -39,6 +40,11 @@ def split_checks(eligible: DataFrame, split: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def slim_chunks(chunks: DataFrame) -> DataFrame:
+    """chunks as a table that chunk_checks() reads several times, so that texts are cut once; of a text it has what the checks take."""
+    return materialise(chunks.withColumn("chunk_text", F.substring(F.trim("chunk_text"), 1, 1)), "chunks")
+
+
 def chunk_checks(split: DataFrame, chunks: DataFrame) -> dict[str, DataFrame]:
     """Parents, splits, leakage, ids, indices, totals, empties, and coverage of chunks."""
     parents = split.select("document_id", F.col("split").alias("parent_split"))

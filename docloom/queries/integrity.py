@@ -35,7 +35,7 @@ def j14(s, d):
         prints = []
         for dealt in (corpus(s, d).repartition(7, "source"), corpus(s, d).repartition(3, "document_id")):
             docs = dealt.select("document_id", "text", "effective_agency", "effective_family_id")
-            made = K.chunk(docs.drop("effective_agency"), WINDOW, OVERLAP).select("chunk_id") if name == "chunks" else splitting.family_split(docs).select("effective_family_id", "split")
+            made = K.chunk(docs.select("document_id", "text"), WINDOW, OVERLAP, columns=["chunk_id"]) if name == "chunks" else splitting.family_split(docs).select("effective_family_id", "split")
             prints.append(splitting.fingerprint_at_scale(made, made.columns).first()[0])
         out.append((name, prints[0] == prints[1]))
     return s.createDataFrame(out, "step string, same boolean")

@@ -13,7 +13,8 @@ from docloom.queries.bind import CASES_SQL, CORPUS_SQL, Registry, cases, corpus
 from docloom.queries.corpus import fingerprint_sql
 from docloom.queries.corpus import _STATUS, _decided
 from docloom.queries.scalars import FAMILY_SQL
-from docloom.queries.windows import CHUNK_SQL, DIVERSE, SELECTED_SQL, VECTORS, chunked, nearest, vectors
+from docloom.queries.windows import CHUNK_SQL, DIVERSE, OVERLAP, SELECTED_SQL, VECTORS, WINDOW, chunked, nearest, saved_chunks, vectors
+from docloom.sources.shared import materialise
 
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
@@ -22,7 +23,8 @@ WITH = f"WITH {CORPUS_SQL} "
 
 @query("c08_resolved_selections", f"WITH {CORPUS_SQL}, {CHUNK_SQL}, {SELECTED_SQL} SELECT s.document_id, s.condition, sha256(string_agg(c.chunk_text, chr(10) || chr(10) ORDER BY c.chunk_index)) AS digest, string_agg(c.chunk_id, ',' ORDER BY c.chunk_index) AS source_chunk_ids FROM (SELECT *, unnest(idx) AS i FROM sel) s JOIN chunks c ON c.document_id = s.document_id AND c.chunk_index = s.i GROUP BY 1, 2")
 def c08(s, d):
-    cut = chunked(s, d)
+    docs = corpus(s, d).select("document_id", "text")
+    cut = materialise(K.chunk(docs, WINDOW, OVERLAP, ends_only=True, columns=K.REGISTERED), "chunks")
     taken = K.selections(cut.where("chunk_index = 0").select("document_id", "total_chunks"))
     return K.resolve(taken, cut, "chunk_text").select("document_id", "condition", T.sha256(F.col("text")).alias("digest"), "source_chunk_ids")
 
@@ -40,7 +42,7 @@ def d02(s, d):
 
 @query("d04_chunk_lineage", f"WITH {CORPUS_SQL}, {CHUNK_SQL} SELECT chunk_id, source, lang FROM chunks JOIN corpus USING (document_id)")
 def d04(s, d):
-    cut, docs = chunked(s, d), corpus(s, d)
+    cut, docs = chunked(s, d, "document_id", "effective_agency", "chunk_id"), corpus(s, d)
     missing = [c for c in ("text", "effective_agency", "source", "lang") if c not in cut.columns and c != "text"]
     return cut.join(docs.select("document_id", *missing), "document_id").select("chunk_id", "source", "lang")
 
@@ -94,7 +96,7 @@ def h26(s, d):
 @query("h28_combined_weights", f"WITH {CORPUS_SQL}, {CHUNK_SQL}, c AS (SELECT effective_agency AS label, count(*) AS n FROM corpus GROUP BY 1), r AS (SELECT label, CASE WHEN max(n) OVER () / min(n) OVER () < 4.0 THEN 1.0 ELSE sum(n) OVER () / (count(*) OVER () * n) END AS raw FROM c), w AS (SELECT label, round(raw / avg(raw) OVER (), 6) AS cw FROM r) SELECT chunk_id, round(cw / count(*) OVER (PARTITION BY document_id), 9) AS weight FROM chunks JOIN w ON label = effective_agency")
 def h28(s, d):
     classes = E.class_weights(corpus(s, d).groupBy(F.col("effective_agency").alias("label")).agg(F.count("*").alias("n")))
-    weighted = E.chunk_weights(chunked(s, d)).join(classes.select(F.col("label").alias("effective_agency"), F.col("weight").alias("class_weight")), "effective_agency")
+    weighted = E.chunk_weights(saved_chunks(s, d, "document_id", "effective_agency", "chunk_id")).join(classes.select(F.col("label").alias("effective_agency"), F.col("weight").alias("class_weight")), "effective_agency")
     return weighted.select("chunk_id", F.round(F.col("class_weight") / F.col("n_chunks"), 9).alias("weight"))
 
 

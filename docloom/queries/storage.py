@@ -13,7 +13,7 @@ from docloom.operators import vector_index
 from docloom.queries.bind import CASES_SQL, CORPUS_SQL, SCORES_SQL, Registry, cases, corpus, scores, table
 from docloom.queries.windows import SMALL_INDEX
 from docloom.sources import cache, manifests, tables
-from docloom.sources.shared import checkpoint_dir
+from docloom.sources.shared import checkpoint_dir, materialise
 
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
@@ -181,7 +181,7 @@ def a27(s, d):
     base = _fresh(s, "models")
     c = corpus(s, d)
     agency = F.element_at(F.create_map(*(F.lit(x) for p in zip(("en", "fr", "de", "es"), LABELS, strict=True) for x in p)), F.col("lang"))
-    cut = chunk(c.select("document_id", "text", agency.alias("agency")))
+    cut = materialise(chunk(c.select("document_id", "text", agency.alias("agency")), columns=["document_id", "agency", "chunk_index", "chunk_text"]), "chunks")
     model = classifier.train(cut, 1 << 8, 3)
     classifier.save_artifact(model, base, "m1", 1)
     again = classifier.load_artifact(s, base, "m1")

@@ -71,3 +71,35 @@ def test_chunks_are_cut_from_the_text(spark):
     few = K.chunk(docs, 7, 2, ends_only=True).groupBy("row").agg(F.sort_array(F.collect_list("chunk_index")).alias("i"), F.max("total_chunks").alias("n")).collect()
     assert all(r.i == sorted({0, r.n // 2, r.n - 1}) for r in few) and len(few) == len(got)
     assert K.chunk(docs.limit(0)).count() == 0
+
+
+def test_tokens_of_few_texts_at_a_time(spark, monkeypatch):
+    """A batch is taken in steps of bounded bytes, a longer text by itself; what is made is the same."""
+    import pyarrow as pa
+
+    from docloom.operators import vocabulary as V
+
+    texts = ["one two three", None, "x " * 100, "", "é à  日本語　end \n", "last"]
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    whole = V.Encoder(V.read_vocabulary(V.default_vocabulary())).encode_all(texts)
+    monkeypatch.setattr(V, "STEP_BYTES", 20)
+    steps = list(V._parts(iter([batch]), 0))
+    assert all(len(t) == 1 or sum(len((x or "").encode()) for x in t) <= 20 for _, t in steps)
+    assert len(steps) > 2 and [x for _, t in steps for x in t] == texts
+    monkeypatch.setattr(V, "REMEMBERED", 3)
+    encoder = V.Encoder(V.read_vocabulary(V.default_vocabulary()))
+    assert [i for t in texts for i in encoder.encode(t)[0]] == whole[1].tolist()
+    assert [i for t in texts for i in encoder.encode(t)[2]] == whole[3].tolist()
+
+
+def test_chunks_have_what_is_asked_for(spark):
+    """No text goes back with each of its chunks, and what a query does not take is not made."""
+    from docloom.operators import vocabulary as V
+    from docloom.operators.chunks import chunk
+
+    docs = spark.createDataFrame([("a", "word " * 1200), ("b", None)], "document_id string, text string")
+    assert "text" not in V.cut(docs, 510, 128).columns
+    slim = chunk(docs, columns=["document_id", "chunk_id"])
+    assert slim.columns == ["document_id", "chunk_id"]
+    assert "chunk_text" not in slim._jdf.queryExecution().analyzed().toString()
+    assert sorted(r["chunk_id"] for r in slim.collect()) == sorted(r["chunk_id"] for r in chunk(docs).collect())
