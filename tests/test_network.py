@@ -1,8 +1,10 @@
 """Training by epochs against the same steps in numpy, and attributions that add up."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField
 
 from docloom.operators import corpus
 from docloom.operators.chunks import chunk
@@ -96,3 +98,34 @@ def test_shares_add_up_and_are_merged_to_words(spark):
     rows = network.word_shares(model, docs).collect()
     assert {r.word for r in rows} == {"unbelievable", "words,", "words"} and {r.document_id for r in rows} == {"1"}
     assert sum(r.share for r in rows) == pytest.approx(rows[0].total) == pytest.approx(rows[0].logit - rows[0].empty_logit, abs=1e-3)
+
+
+def test_scores_and_shares_of_few_rows_at_a_time(spark, monkeypatch):
+    """No task has the token vectors of a whole batch of chunks, and of a document only the n largest shares leave it."""
+    plain = network.forward
+    p = network.NetworkPlan(buckets=64, hidden=2)
+    theta = network.start(p).theta
+
+    def counted(theta, plan, tokens, sizes):
+        if len(sizes) > 512:
+            raise ValueError("too many chunks at a time")
+        return plain(theta, plan, tokens, sizes)
+
+    class Task:
+        """Stands for a table, and keeps the function that its tasks would run."""
+
+        schema = {"document_id": StructField("document_id", StringType())}
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, f, _):
+            return f
+
+    monkeypatch.setattr(network, "forward", counted)
+    batch = pa.RecordBatch.from_pydict({"document_id": [str(i) for i in range(1300)], "chunk_index": [0] * 1300, "chunk_ids": [[i, 7] for i in range(1300)]})
+    assert [r for b in network.scored(theta, p, Task())(iter([batch])) for r in b.column("document_id").to_pylist()] == batch.column("document_id").to_pylist()
+    monkeypatch.setattr(network, "forward", plain)
+    docs = spark.createDataFrame([("a", " ".join(f"word{i}" for i in range(200))), ("b", "same same"), ("c", None)], "document_id string, text string")
+    rows = network.word_shares(network.Trained(p, theta, 1), docs, n=3).collect()
+    assert {d: sum(r["document_id"] == d for r in rows) for d in "abc"} == {"a": 6, "b": 1, "c": 0}

@@ -83,7 +83,7 @@ def test_tokens_of_few_texts_at_a_time(spark, monkeypatch):
     batch = pa.RecordBatch.from_pydict({"text": texts})
     whole = V.Encoder(V.read_vocabulary(V.default_vocabulary())).encode_all(texts)
     monkeypatch.setattr(V, "STEP_BYTES", 20)
-    steps = list(V._parts(iter([batch]), 0))
+    steps = list(V.text_steps(iter([batch]), 0))
     assert all(len(t) == 1 or sum(len((x or "").encode()) for x in t) <= 20 for _, t in steps)
     assert len(steps) > 2 and [x for _, t in steps for x in t] == texts
     monkeypatch.setattr(V, "REMEMBERED", 3)
