@@ -143,3 +143,17 @@ def test_near_duplicates_of_long_and_short_texts(spark):
         vectors = corpus.tfidf_vectors(df.selectExpr("document_id", "text", "1L AS copies"), df.count(), threshold)
         assert {(x.a, x.b) for x in corpus.near_duplicate_candidates(vectors, threshold).collect()} >= want.keys()
     assert corpus.near_duplicate_pairs(df.where("false")).count() == 0
+
+
+def test_near_duplicates_of_many_blocks(spark, monkeypatch):
+    """Documents that share a term of their prefixes meet block by block: the same pairs, whatever the size of a block."""
+    from docloom.operators import corpus
+
+    r = random.Random(5)
+    texts = [" ".join(["shared", *(f"w{r.randrange(40)}" for _ in range(r.choice([2, 5, 9])))]) for _ in range(90)]
+    df = spark.createDataFrame([(f"{i:03}", t) for i, t in enumerate(texts)], "document_id string, text string")
+    got = []
+    for size in (1 << 15, 7):
+        monkeypatch.setattr(corpus, "PAIR_BLOCK", size)
+        got.append({(x.a, x.b, round(x.similarity, 9)) for x in corpus.near_duplicate_pairs(df, 0.5, max_features=None).collect()})
+    assert got[0] == got[1] and len(got[0]) > 3
