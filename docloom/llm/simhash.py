@@ -31,6 +31,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -193,11 +194,17 @@ def verified(found: DataFrame, pairs: DataFrame, p: Similarity) -> DataFrame:
     return pairs.join(bags[0], "a").join(bags[1], "b").where(similar).select("a", "b")
 
 
+#: Words of 64 bits for the parities of a set's parts.
+PARITIES = 8
+
+
 def similar_in_buckets(found: DataFrame, members: DataFrame, groups: DataFrame, p: Similarity) -> DataFrame:
     """(a, b): the similar pairs of different components (groups) among the members (key, band, bucket) of buckets that hold several.
 
     Similar sets share a shingle of their prefixes, beyond which what is left is too small a part of the set, whatever common order
-    shingles have; rare ones come first. Nothing before the first shared one is shared, so the places of it bound what both can have."""
+    shingles have; rare ones come first. Nothing before the first shared one is shared, so the places of it bound what both can have.
+    A pair must hold that bound at a shared shingle (at the first one if at any), and the parities of the sets in 512 parts
+    by hash must differ in no more parts than similar sets have members that the other lacks; no other pair leaves the join."""
     known = members.join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     known = materialise(known, "known")
     open_ = known.groupBy("band", "bucket").agg((F.min("component") != F.max("component")).alias("several")).where("several")
@@ -208,14 +215,18 @@ def similar_in_buckets(found: DataFrame, members: DataFrame, groups: DataFrame,
     # a shingle that one document has can't be shared, but has its place
     rank = F.row_number().over(W.partitionBy("key", "same").orderBy("df", "shingle"))
     prefix = F.col("n") - F.ceil(p.least * F.col("n") - 1e-9) + 1
-    first = sets.join(counts, "shingle").withColumn("place", rank).where((F.col("place") <= prefix) & (F.col("df") > 1))
-    first = materialise(first.select("key", "component", "n", "shingle", "place"), "prefixes")
-    left, right = (first.select("shingle", F.col("key").alias(c), F.col("component").alias(f"c_{c}"), F.col("n").alias(f"n_{c}"), F.col("place").alias(f"place_{c}")) for c in "ab")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright("shingle", 3), F.lit(64)).cast("int"))
+    odd = {f"odd{k}": F.bit_xor(F.when(F.pmod("shingle", F.lit(PARITIES)) == k, bit).otherwise(F.lit(0).cast("long"))).over(W.partitionBy("key", "same")) for k in range(PARITIES)}
+    first = sets.join(counts, "shingle").withColumns({"place": rank} | odd).where((F.col("place") <= prefix) & (F.col("df") > 1))
+    first = materialise(first.select("key", "component", "n", "shingle", "place", *odd), "prefixes")
+    left, right = (first.select("shingle", F.col("key").alias(c), F.col("component").alias(f"c_{c}"), F.col("n").alias(f"n_{c}"), F.col("place").alias(f"place_{c}"), *(F.col(o).alias(f"{o}_{c}") for o in odd)) for c in "ab")
     sized = F.least("n_a", "n_b") >= p.least * F.greatest("n_a", "n_b")
-    met = left.join(right, "shingle").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & sized)
-    pairs = met.groupBy("a", "b", "n_a", "n_b").agg(F.min("place_a").alias("place_a"), F.min("place_b").alias("place_b"))
-    most = 1 + F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
-    return verified(found, pairs.where(most >= p.least / (1 + p.least) * (F.col("n_a") + F.col("n_b")) - 1e-9).select("a", "b").distinct(), p)
+    both = F.col("n_a") + F.col("n_b")
+    placed = 1 + F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) >= p.least / (1 + p.least) * both - 1e-9
+    differ = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{o}_a").bitwiseXOR(F.col(f"{o}_b"))) for o in odd))
+    even = differ <= (1 - p.least) / (1 + p.least) * both + 1e-9
+    met = left.join(right, "shingle").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & sized & placed & even)
+    return verified(found, met.select("a", "b").distinct(), p)
 
 
 def similar_documents(docs: DataFrame, p: Similarity | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

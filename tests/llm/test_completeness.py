@@ -109,3 +109,25 @@ def test_random_strings_of_one_case_and_within_paths():
     assert sum(any(a <= len(path) and b >= len(path) + 20 for a, _, b in spans(path + k)) for k in keys) >= 190
     for clean in (path + "index", "550e8400-e29b-41d4-a716-446655440000", "internationalization-and-localization", "sha256-" + keys[0] * 2, "2020-01-02_2021-03-04/2022"):
         assert spans(clean) == []
+
+
+def test_near_copies_make_no_pairs_in_the_prefix_join(spark):
+    """Texts near to one text but not to each other: no pair leaves the join that the parities of the sets exclude."""
+    import random
+
+    from docloom.llm import simhash
+
+    r = random.Random(3)
+    base = [r.randrange(-(1 << 31), 1 << 31) for _ in range(60)]
+    bags = [[*base[:40], *(r.randrange(-(1 << 31), 1 << 31) for _ in range(20))] for _ in range(40)]
+    bags += [[*bags[0][:58], 1, 2], [*bags[1][:59], 3]]
+    found = spark.createDataFrame([(i, i, b) for i, b in enumerate(bags)], "key long, same long, bag array<int>")
+    members = found.selectExpr("key", "0 band", "0L bucket")
+    groups = spark.createDataFrame([], "node long, component long")
+    asked = []
+    plain, simhash.verified = simhash.verified, lambda f, pairs, p: asked.append(pairs.count()) or plain(f, pairs, p)
+    try:
+        got = {(x.a, x.b) for x in simhash.similar_in_buckets(found, members, groups, simhash.Similarity()).collect()}
+    finally:
+        simhash.verified = plain
+    assert got == {(0, 40), (1, 41)} and asked[0] < 50
