@@ -103,3 +103,32 @@ def test_chunks_have_what_is_asked_for(spark):
     assert slim.columns == ["document_id", "chunk_id"]
     assert "chunk_text" not in slim._jdf.queryExecution().analyzed().toString()
     assert sorted(r["chunk_id"] for r in slim.collect()) == sorted(r["chunk_id"] for r in chunk(docs).collect())
+
+
+def test_new_words_are_covered_together():
+    pieces = V.read_vocabulary(V.default_vocabulary())
+    trie = V.Trie(pieces)
+    rng = random.Random(5)
+    words = ["".join(rng.choice("aetnß1é日😀zq") for _ in range(rng.randrange(1, 12))).encode() for _ in range(300)] + [b" ", b"the"]
+    whole = V.np.frombuffer(b"".join(words), V.np.uint8)
+    ends = V.np.cumsum([len(w) for w in words])
+    starts = ends - [len(w) for w in words]
+    found = list(zip(*(x.tolist() for x in trie.cover_all(whole, starts, ends)), strict=True))
+    at = {i: [] for i in range(len(words))}
+    for word, first, end, piece in found:
+        assert first == (starts[word] if not at[word] else starts[word] + at[word][-1][1])
+        at[word].append((piece, end - starts[word]))
+    assert [at[i] for i in range(len(words))] == [trie.cover(w) for w in words]
+    # a call covers the words that are new to it at once, and known ones not again
+    encoder, calls = V.Encoder(pieces), []
+    encoder.trie.cover_all = lambda *a, f=encoder.trie.cover_all: calls.append(len(a[1])) or f(*a)
+    encoder.encode_all(["one two three two", "one four"])
+    encoder.encode_all(["one two", "one three"])
+    assert calls == [4]
+
+
+def test_texts_of_a_distribution_are_cut_once(spark):
+    from docloom.queries import queries
+
+    plan = queries()["e20_chunk_distribution"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan
