@@ -12,16 +12,36 @@ from pyspark.sql import functions as F
 
 #: The query block that is sent to all executors is at most this large.
 BLOCK_BYTES = 64 << 20
+#: So is what a task keeps of a block, at so many bytes a row; rows of the corpus that it compares at a time; queries that leave it at a time.
+KEPT_BYTES, KEPT_ROW_BYTES, FRAME_ROWS, OUT_QUERIES = 64 << 20, 112, 2048, 512
+
+
+def _keep(kept: tuple[np.ndarray, np.ndarray, np.ndarray], sizes: np.ndarray, q: np.ndarray, similarity: np.ndarray, keys: np.ndarray, ids: np.ndarray) -> None:
+    """Takes rows of queries q into what is kept of each query (similarity, order among equals, id: a line of k places, of which sizes are taken), best first."""
+    if not len(q):
+        return
+    k, of = kept[0].shape[1], np.unique(q)
+    line, place = np.nonzero(np.arange(k) < sizes[of, None])
+    line = of[line]
+    q, similarity, keys, ids = (np.concatenate(x) for x in ((line, q), (kept[0][line, place], similarity), (kept[1][line, place], keys), (kept[2][line, place], ids)))
+    order = np.lexsort((keys, -similarity, q))
+    q = q[order]
+    first = np.searchsorted(q, of)
+    place = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
+    q, place, order = q[place < k], place[place < k], order[place < k]
+    for to, values in zip(kept, (similarity, keys, ids), strict=True):
+        to[q, place] = values[order]
+    sizes[of] = np.minimum(np.diff(np.append(first, len(ids))), k)
 
 
 def nearest(corpus: DataFrame, queries: DataFrame, k: int = 20, seed: int = 42) -> DataFrame:
     """(query_id, chunk_id, similarity, place): exact cosine top k. Both have an id and a vector (chunk_id, vector; query_id, vector).
 
-    Queries go out in blocks of bounded size; each partition of the corpus keeps its own k best of every query, so
-    that only partitions times k rows a query are shuffled. Equal similarities (to six places) are ordered by a seeded hash."""
+    Queries go out in blocks of bounded size, and what a partition of the corpus keeps of a block, its own k best of every query,
+    is bounded too; only partitions times k rows a query are shuffled. Equal similarities (to six places) are ordered by a seeded hash."""
     first = queries.select(F.size("vector").alias("n")).first()
     width = first["n"] if first else 0
-    per_block = max(1, BLOCK_BYTES // (8 * max(1, width)))
+    per_block = max(1, min(BLOCK_BYTES // (8 * max(1, width)), KEPT_BYTES // (KEPT_ROW_BYTES * k)))
     count = queries.count()
     parts = []
     for b in range(max(1, -(-count // per_block))):
@@ -38,25 +58,28 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int = 20, seed: int = 42)
             import hashlib
 
             own_ids, own = shared.value
-            kept: pd.DataFrame | None = None
-            for frame in frames:
-                if not len(frame) or not len(own_ids):
-                    continue
-                vectors = np.array([np.asarray(v, dtype=np.float64) for v in frame["vector"]])
-                vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
-                keys = np.array([hashlib.sha256(f"{seed}:{c}".encode()).hexdigest() for c in frame["chunk_id"]])
-                chunk_ids, made = frame["chunk_id"].to_numpy(), []
-                # so many queries at a time that their scores take no more room than a block
-                some = max(1, BLOCK_BYTES // (8 * len(frame)))
-                for at in range(0, len(own_ids), some):
-                    found = np.round(vectors @ own[at : at + some].T, 6) + 0.0
-                    # all that are as near as the k-th; ties are ordered below
-                    row, q = np.nonzero(found >= np.partition(found, -min(k, len(found)), axis=0)[-min(k, len(found))])
-                    made.append(pd.DataFrame({"query_id": own_ids[at + q], "chunk_id": chunk_ids[row], "similarity": found[row, q], "order_key": keys[row]}))
-                kept = pd.concat([*([kept] if kept is not None else []), *made])
-                kept = kept.sort_values(["query_id", "similarity", "order_key"], ascending=[True, False, True]).groupby("query_id").head(k)
-            if kept is not None:
-                yield kept
+            # of each query the rows kept: similarity, the order among equals, id; and how many
+            kept = np.full((len(own_ids), k), -np.inf), np.full((len(own_ids), k), b"", dtype="S32"), np.full((len(own_ids), k), None, dtype=object)
+            sizes = np.zeros(len(own_ids), dtype=np.int64)
+            for whole in frames:
+                for at_row in range(0, len(whole), FRAME_ROWS):
+                    frame = whole.iloc[at_row : at_row + FRAME_ROWS]
+                    vectors = np.array([np.asarray(v, dtype=np.float64) for v in frame["vector"]])
+                    vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
+                    keys = np.array([hashlib.sha256(f"{seed}:{c}".encode()).digest() for c in frame["chunk_id"]], dtype="S32")
+                    chunk_ids = frame["chunk_id"].to_numpy(dtype=object)
+                    # so many queries at a time that their scores take a part of a block
+                    some = max(1, BLOCK_BYTES // (64 * len(frame)))
+                    for at in range(0, len(own_ids), some):
+                        found = np.round(vectors @ own[at : at + some].T, 6) + 0.0
+                        # all that are as near as the k-th here and the k-th kept; ties are ordered below
+                        least = np.maximum(np.partition(found, -min(k, len(found)), axis=0)[-min(k, len(found))], kept[0][at : at + some].min(axis=1))
+                        row, q = np.nonzero(found >= least)
+                        _keep(kept, sizes, at + q, found[row, q], keys[row], chunk_ids[row])
+            for at in range(0, len(own_ids), OUT_QUERIES):
+                q, place = np.nonzero(np.arange(k) < sizes[at : at + OUT_QUERIES, None])
+                if len(q):
+                    yield pd.DataFrame({"query_id": own_ids[at + q], "chunk_id": kept[2][at + q, place], "similarity": kept[0][at + q, place], "order_key": [x.ljust(32, b"\0").hex() for x in kept[1][at + q, place].tolist()]})
 
         parts.append(corpus.select("chunk_id", "vector").mapInPandas(best, f"query_id {kind_q}, chunk_id {kind}, similarity double, order_key string"))
     rows = parts[0]

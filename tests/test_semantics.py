@@ -375,3 +375,23 @@ def test_model_inputs_cut_and_pad(spark):
     docs = spark.createDataFrame([([7, 8],), ([],), ([1, 2, 3, 4, 5],)], "ids array<int>")
     got = [(r[0], r[1]) for r in docs.select(*K.model_inputs(F.col("ids"), 5)).collect()]
     assert got == [([101, 7, 8, 102, 0], [1, 1, 1, 1, 0]), ([101, 102, 0, 0, 0], [1, 1, 0, 0, 0]), ([101, 1, 2, 3, 4], [1] * 5)]
+
+
+def test_what_a_task_keeps_of_neighbours_is_bounded(spark, monkeypatch):
+    """Many queries, with ties and an incoming order that is the worst, in small steps: the same rows as all at once by hand."""
+    import hashlib
+
+    monkeypatch.setattr(retrieval, "KEPT_BYTES", 112 * 4 * 10)
+    monkeypatch.setattr(retrieval, "FRAME_ROWS", 3)
+    monkeypatch.setattr(retrieval, "OUT_QUERIES", 2)
+    rows = [(f"c{i}", [1.0, 5.0 / (1 + i // 3)]) for i in range(40)]
+    asked = [(f"q{i}", [1.0, i / 10]) for i in range(25)]
+    v, q = spark.createDataFrame(rows, "chunk_id string, vector array<double>").repartition(2), spark.createDataFrame(asked, "query_id string, vector array<double>")
+    assert retrieval.nearest(v, q, 4)._jdf.queryExecution().analyzed().toString().count("MapInPandas") == 3  # blocks of ten queries at most
+    got = {}
+    for r in retrieval.nearest(v, q, 4).orderBy("query_id", "place").collect():
+        got.setdefault(r.query_id, []).append((r.chunk_id, r.similarity))
+    cos = lambda a, b: round((a[0] * b[0] + a[1] * b[1]) / (math.hypot(*a) * math.hypot(*b)), 6)
+    for name, x in asked:
+        near = sorted(((c, cos(x, y)) for c, y in rows), key=lambda t: (-t[1], hashlib.sha256(f"42:{t[0]}".encode()).hexdigest()))[:4]
+        assert got[name] == near
