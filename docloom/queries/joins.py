@@ -13,7 +13,7 @@ from docloom.queries.bind import CASES_SQL, CORPUS_SQL, Registry, cases, corpus
 from docloom.queries.corpus import fingerprint_sql
 from docloom.queries.corpus import _STATUS, _decided
 from docloom.queries.scalars import FAMILY_SQL
-from docloom.queries.windows import CHUNK_SQL, DIVERSE, OVERLAP, SELECTED_SQL, VECTORS, WINDOW, chunked, nearest, saved_chunks, vectors
+from docloom.queries.windows import CHUNK_SQL, DIVERSE, OVERLAP, SELECTED_SQL, VECTORS, WINDOW, chunked, nearest, saved_chunks, saved_nearest, vectors
 from docloom.sources.shared import materialise
 
 query = Registry()
@@ -77,7 +77,7 @@ def e16(s, d):
 
 @query("g07_before_and_after", f"WITH RECURSIVE {VECTORS}, {DIVERSE} SELECT query_id, string_agg(chunk_id, ',' ORDER BY place) FILTER (place <= 5) AS before, (SELECT string_agg(c.chunk_id, ',' ORDER BY new_place) FROM chosen c WHERE c.query_id = knn.query_id) AS after FROM knn GROUP BY query_id")
 def g07(s, d):
-    pool = nearest(s, d)
+    pool = saved_nearest(s, d)
     listed = lambda df, place, name: df.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(place, "chunk_id"))), lambda x: x["chunk_id"]), ",").alias(name))
     return listed(pool.where("place <= 5"), "place", "before").join(listed(retrieval.diversified(pool), "new_place", "after"), "query_id")
 
