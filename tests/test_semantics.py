@@ -395,3 +395,23 @@ def test_what_a_task_keeps_of_neighbours_is_bounded(spark, monkeypatch):
     for name, x in asked:
         near = sorted(((c, cos(x, y)) for c, y in rows), key=lambda t: (-t[1], hashlib.sha256(f"42:{t[0]}".encode()).hexdigest()))[:4]
         assert got[name] == near
+
+
+def test_terms_by_class_send_no_terms_of_documents(spark, monkeypatch):
+    """Pairs of words below the last one kept are left out, others not; steps of some words; the same as from all terms of all documents."""
+    import random
+
+    rng = random.Random(8)
+    words = [f"w{i}é" for i in range(30)]
+    docs = [(str(i), rng.choice(["x", "y", None]), " ".join(rng.choices(words, [1 / (1 + j) for j in range(30)], k=rng.randrange(40)))) for i in range(60)] + [("e", "x", None), ("f", "y", ""), (None, "y", "w0é w1é w0é w1é")]
+    df = spark.createDataFrame(docs, "document_id string, kind string, text string").repartition(3)
+    monkeypatch.setattr(corpus, "WORD_STEP", 50)
+    for most, least_words in ((12, corpus.MOST_WORDS), (12, 3), (1000, corpus.MOST_WORDS)):
+        monkeypatch.setattr(corpus, "MOST_WORDS", least_words)
+        weights = corpus.tfidf(df, ["the"], 2, most).join(df.select("document_id", "kind"), "document_id").where("kind is not null")
+        sizes = {r.kind: r["count"] for r in df.groupBy("kind").count().collect()}
+        want = {(r.kind, r.term): round(r.s / sizes[r.kind], 6) for r in weights.groupBy("kind", "term").agg(F.sum("weight").alias("s")).collect()}
+        made = corpus.tfidf_by_class(df, "kind", 10_000, ["the"], 2, most)
+        got = {(r.kind, r.term): r.score for r in made.collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+        assert "hashpartitioning(document_id" not in made._jdf.queryExecution().executedPlan().toString()
