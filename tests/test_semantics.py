@@ -415,3 +415,38 @@ def test_terms_by_class_send_no_terms_of_documents(spark, monkeypatch):
         got = {(r.kind, r.term): r.score for r in made.collect()}
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
         assert "hashpartitioning(document_id" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_reruns_are_dealt_out_over_the_session_s_partitions(spark, monkeypatch):
+    from docloom.queries import integrity
+
+    parts, of = [], splitting.fingerprint_at_scale
+    monkeypatch.setattr(splitting, "fingerprint_at_scale", lambda df, *a: parts.append(df._jdf.queryExecution().analyzed().toString()) or of(df, *a))
+    spark.conf.set("spark.sql.shuffle.partitions", 5)
+    try:
+        integrity.j14(spark, "/root/testdata/sf0.001")
+        integrity.j18b(spark, "/root/testdata/sf0.001")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    dealt = [p for p in parts if "RepartitionByExpression" in p]
+    assert len(dealt) == 2 and all(", 5" in p.partition("RepartitionByExpression")[2].partition("\n")[0] for p in dealt)
+
+
+def test_masked_texts_are_not_sent(spark):
+    plain = spark.createDataFrame([("a", "see www.x.gov now"), ("b", None), ("c", "plain")], "document_id string, text string")
+    hidden = spark.createDataFrame([("a", "see [AGENCY_URL] now"), ("b", ""), ("c", "other")], "document_id string, masked_text string")
+    out = checks.masked_index_checks(plain, hidden)
+    assert {n: d.count() for n, d in out.items()} == {"masked_text_differs": 1, "identifier_in_masked_text": 0}
+    assert {len(r["was"]) for r in out["masked_text_differs"].collect()} == {64}
+
+
+def test_training_takes_saved_counts(spark, monkeypatch):
+    from docloom.plans import classifier
+
+    saved, of = [], classifier.materialise
+    monkeypatch.setattr(classifier, "materialise", lambda df, label: saved.append(df.columns) or of(df, label))
+    rows = [(str(i), a, i % 2, f"{a} text {i}") for i in range(12) for a in ("USCIS", "IRS")]
+    chunks = spark.createDataFrame([(f"{a}{d}", a, k, t) for d, a, k, t in rows], "document_id string, agency string, chunk_index int, chunk_text string")
+    model = classifier.train(chunks, 64, 5)
+    assert saved == [["features", "label", "w"]]
+    assert {(r.document_id[:-1].rstrip("0123456789"), r.predicted) for r in classifier.predict(model, chunks).collect()} == {("USCIS", "USCIS"), ("IRS", "IRS")}
