@@ -10,6 +10,7 @@ from docloom.operators import checks, splitting
 from docloom.operators import chunks as K
 from docloom.queries.bind import CASES_SQL, CONDITIONS, CORPUS_SQL, METHODS, Registry, cases, corpus, marked
 from docloom.queries.windows import OVERLAP, WINDOW
+from docloom.sources.shared import materialise
 
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
@@ -29,13 +30,15 @@ def e27(s, d):
 
 @query("j14_rerun_determinism", "SELECT unnest(['chunks', 'split']) AS step, true AS same")
 def j14(s, d):
-    """Each step from rows dealt out in two ways: the fingerprints agree."""
+    """Each step from rows as they lie and from rows dealt out anew, by id, in as many parts as the session shuffles to: the fingerprints agree."""
     out = []
+    parts = int(s.conf.get("spark.sql.shuffle.partitions"))
     for name in ("chunks", "split"):
         prints = []
-        for dealt in (corpus(s, d).repartition(7, "source"), corpus(s, d).repartition(3, "document_id")):
-            docs = dealt.select("document_id", "text", "effective_agency", "effective_family_id")
-            made = K.chunk(docs.select("document_id", "text"), WINDOW, OVERLAP, columns=["chunk_id"]) if name == "chunks" else splitting.family_split(docs).select("effective_family_id", "split")
+        # a step takes its own columns only, so that no more is dealt out
+        c = corpus(s, d).select(*(("document_id", "text") if name == "chunks" else ("document_id", "effective_agency", "effective_family_id")))
+        for docs in (c, c.repartition(parts, "document_id")):
+            made = K.chunk(docs, WINDOW, OVERLAP, columns=["chunk_id"]) if name == "chunks" else splitting.family_split(docs).select("effective_family_id", "split")
             prints.append(splitting.fingerprint_at_scale(made, made.columns).first()[0])
         out.append((name, prints[0] == prints[1]))
     return s.createDataFrame(out, "step string, same boolean")
@@ -84,11 +87,14 @@ def j19(s, d):
 UNION ALL SELECT 'query_fingerprint_differs', (SELECT count(*) FROM corpus WHERE doc_id % 50 = 0 AND coalesce(text, '') <> '') UNION ALL SELECT 'corpus_fingerprint_differs', 0 UNION ALL SELECT 'retrieval_order_differs', (SELECT 2 * count(*) FROM corpus WHERE doc_id % 40 = 0) UNION ALL SELECT 'older_store_changed', 1""")
 def j18b(s, d):
     plain = marked(s, d).select("document_id", "doc_id", "text")
-    hidden = K.masked(plain, "text").select("document_id", F.when(F.col("doc_id") % 20 == 0, F.col("text")).otherwise(F.col("masked_text")).alias("masked_text"))
+    # taken by two checks: texts are masked once
+    hidden = materialise(K.masked(plain, "text").select("document_id", F.when(F.col("doc_id") % 20 == 0, F.col("text")).otherwise(F.col("masked_text")).alias("masked_text")), "hidden")
     c = corpus(s, d)
     print_ = lambda text: T.sha256(F.coalesce(text, F.lit("")))
     asked = c.select("document_id", print_(F.when(F.col("doc_id") % 50 != 0, F.col("text"))).alias("text_fingerprint"))
-    prints = tuple(splitting.fingerprint_at_scale(c.repartition(n), ["document_id", "text"]).withColumn("name", F.lit("corpus")) for n in (3, 7))
+    # of rows as they lie and dealt out anew, in as many parts as the session shuffles to
+    parts = int(s.conf.get("spark.sql.shuffle.partitions"))
+    prints = tuple(splitting.fingerprint_at_scale(x, ["document_id", "text"]).withColumn("name", F.lit("corpus")) for x in (c, c.select("document_id", "text").repartition(parts, "document_id")))
     order = lambda swapped: c.select("doc_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("place")).select(F.col("doc_id").alias("query_id"), "place", F.when((F.col("doc_id") % 40 == 0) & F.lit(swapped), 3 - F.col("place")).otherwise(F.col("place")).alias("chunk_id"))
     stores = tuple(s.range(2).select(F.concat(F.lit("store"), "id").alias("name"), (F.col("id") * 3 + x * F.col("id")).alias("fingerprint")) for x in (0, 1))
     return checks.report(checks.masked_index_checks(plain, hidden) | checks.rebuild_checks(asked, c.select("document_id", print_(F.col("text")).alias("text_fingerprint")), prints, (order(False), order(True)), stores))
