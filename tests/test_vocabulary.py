@@ -132,3 +132,20 @@ def test_texts_of_a_distribution_are_cut_once(spark):
 
     plan = queries()["e20_chunk_distribution"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" not in plan
+
+
+def test_a_task_remembers_few_words():
+    """What a task keeps of words doesn't grow with its texts, and what it makes stays the same."""
+    import pyarrow as pa
+
+    def word(i):
+        return "".join(chr(97 + i // 26**k % 26) for k in range(4))
+
+    texts = [" ".join(word(i) for i in range(at, at + 2000)) for at in range(0, 180_000, 2000)]
+    encoder, most, n = V.Encoder(V.read_vocabulary(V.default_vocabulary())), 0, 0
+    for _, step in V.text_steps(iter([pa.RecordBatch.from_pydict({"text": texts})]), 0):
+        offsets, _, starts, ends = encoder.encode_all(step)
+        assert sum(map(len, step)) <= 1 << 19
+        assert all((starts[a], ends[b - 1]) == (0, len(t)) for t, a, b in zip(step, offsets[:-1], offsets[1:], strict=True))
+        most, n = max(most, len(encoder.known)), n + len(step)
+    assert n == len(texts) and most < 1 << 17
