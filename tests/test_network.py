@@ -129,3 +129,28 @@ def test_scores_and_shares_of_few_rows_at_a_time(spark, monkeypatch):
     docs = spark.createDataFrame([("a", " ".join(f"word{i}" for i in range(200))), ("b", "same same"), ("c", None)], "document_id string, text string")
     rows = network.word_shares(network.Trained(p, theta, 1), docs, n=3).collect()
     assert {d: sum(r["document_id"] == d for r in rows) for d in "abc"} == {"a": 6, "b": 1, "c": 0}
+
+
+def test_memory_of_scores_is_that_of_few_chunks():
+    """Chunks of full length are scored in a few megabytes, however many a batch has."""
+    import tracemalloc
+
+    class Chunks:
+        schema = {"document_id": StructField("document_id", StringType())}
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, f, _):
+            return f
+
+    p = network.NetworkPlan()
+    theta, n = network.start(p).theta, 600
+    ids = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * 510, pa.int32()), pa.array(np.arange(n * 510) % 50_000, pa.int32()))
+    batch = pa.RecordBatch.from_arrays([pa.array(map(str, range(n))), pa.array([0] * n, pa.int32()), ids], names=["document_id", "chunk_index", "chunk_ids"])
+    tracemalloc.start()
+    found = [x for b in network.scored(theta, p, Chunks())(iter([batch])) for x in b.column("probs").to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    whole = network.forward(theta, p, *network._tokens(batch, p))[2]
+    assert np.abs(np.array(found) - whole).max() < 1e-9 and peak < 32 << 20
