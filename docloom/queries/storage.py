@@ -185,8 +185,9 @@ def a27(s, d):
     model = classifier.train(cut, 1 << 8, 3)
     classifier.save_artifact(model, base, "m1", 1)
     again = classifier.load_artifact(s, base, "m1")
-    both = classifier.predict(model, cut).join(classifier.predict(again, cut).withColumnRenamed("predicted", "again"), "document_id")
-    return both.join(c.select("document_id", "lang"), "document_id").groupBy("lang").agg(F.count("*").alias("documents"), F.count_if(F.col("predicted") == F.col("again")).alias("same"))
+    # documents without tokens have no chunks, and no prediction of either model
+    both = c.select("document_id", "lang").join(classifier.predict(model, cut), "document_id", "left").join(classifier.predict(again, cut).withColumnRenamed("predicted", "again"), "document_id", "left")
+    return both.groupBy("lang").agg(F.count("*").alias("documents"), F.count_if(F.col("predicted").eqNullSafe(F.col("again"))).alias("same"))
 
 
 @query("h31_document_vectors", f"WITH {SCORES_SQL} SELECT document_id, count(*) AS chunks, round(arg_min(p0, chunk_index), 6) AS first_p0, round(arg_max(p0, chunk_index), 6) AS last_p0 FROM scores GROUP BY 1")
